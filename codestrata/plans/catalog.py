@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from codestrata.plans import architecture, evolution  # noqa: F401
+from codestrata.plans import architecture, evolution, structure  # noqa: F401
 from codestrata.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -92,6 +92,16 @@ RULES_SQL = """SELECT * FROM (VALUES
  ('service-to-db-allowed', 'calls', 'service', 'database', true, 0)
 ) AS r(rule_name, edge, rule_from, rule_to, allowed, severity)"""
 
+# Function definitions as parsed, repeats included: the caller side of every line, and the callee side of lines
+# whose callee is module-level (so some calls have no definition to land on).
+FUNCTION_ROWS_SQL = f"""SELECT {path_of('l_partkey')} AS module_path, {class_of('l_returnflag')} AS class_name, CONCAT('fn_', CAST(l_linenumber AS STRING)) AS name,
+ CONCAT('fn_', CAST(l_linenumber AS STRING), '(', l_linestatus, ', ', CAST(l_orderkey % 5 AS STRING), ')') AS signature, l_orderkey AS ord FROM lineitem
+ UNION ALL SELECT {path_of('l_suppkey')}, {class_of('l_linestatus')}, CONCAT('fn_', CAST(l_linenumber % 3 AS STRING)),
+ CONCAT('fn_', CAST(l_linenumber % 3 AS STRING), '(x)'), -1 FROM lineitem WHERE l_linestatus = 'O'"""
+FUNCTIONS_SQL = """SELECT module_path, class_name, name, signature FROM (SELECT *, ROW_NUMBER() OVER
+ (PARTITION BY module_path, class_name, name ORDER BY ord DESC, signature DESC) AS n FROM function_rows) WHERE n = 1"""
+CLASSES_SQL = "SELECT DISTINCT module_path, class_name AS name FROM function_rows WHERE class_name IS NOT NULL"
+
 COMMITS_SQL = f"""SELECT {hash_of('o_orderkey')} AS hash, substr({hash_of('o_orderkey')}, 1, 7) AS short, o_orderkey AS k,
  {author_of('o_custkey')} AS author, substr(sha1(lower(CONCAT('c', CAST(o_custkey AS STRING)))), 1, 12) AS author_id,
  {iso_of('o_orderdate')} AS date, CONCAT(o_orderpriority, ' change ', o_orderstatus) AS subject FROM orders"""
@@ -150,6 +160,32 @@ class Tables:
             F.expr(path_of("l_suppkey")).alias("callee_module"), F.expr(class_of("l_linestatus")).alias("callee_class"),
             F.format_string("fn_%d", F.col("l_linenumber") % 3).alias("callee_name"))
 
+    @cached_property
+    def function_rows(self) -> DataFrame:
+        """module_path, class_name, name, signature, ord: definitions before the upsert."""
+        li = self.table("lineitem")
+        own = li.select(
+            F.expr(path_of("l_partkey")).alias("module_path"), F.expr(class_of("l_returnflag")).alias("class_name"),
+            F.format_string("fn_%d", "l_linenumber").alias("name"),
+            F.format_string("fn_%d(%s, %d)", "l_linenumber", "l_linestatus", F.col("l_orderkey") % 5).alias("signature"),
+            F.col("l_orderkey").alias("ord"))
+        other = li.filter("l_linestatus = 'O'").select(
+            F.expr(path_of("l_suppkey")).alias("module_path"), F.expr(class_of("l_linestatus")).alias("class_name"),
+            F.format_string("fn_%d", F.col("l_linenumber") % 3).alias("name"),
+            F.format_string("fn_%d(x)", F.col("l_linenumber") % 3).alias("signature"), F.lit(-1).cast("bigint").alias("ord"))
+        return own.unionByName(other)
+
+    @cached_property
+    def functions(self) -> DataFrame:
+        from codestrata.operators.graph import upsert
+
+        return upsert(self.function_rows, ["module_path", "class_name", "name"], ["ord", "signature"], ["signature"])
+
+    @cached_property
+    def classes(self) -> DataFrame:
+        rows = self.function_rows.filter("class_name IS NOT NULL")
+        return rows.select("module_path", F.col("class_name").alias("name")).distinct()
+
     @cached_property
     def months(self) -> DataFrame:
         """m, idx: the snapshot sequence (one row per calendar month, so the ranking window is bounded)."""

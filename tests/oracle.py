@@ -31,7 +31,7 @@ def _cell(value):
     if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return None
     if isinstance(value, float):
-        return float(f"{value:.9g}")
+        return int(value) if value.is_integer() else float(f"{value:.9g}")
     return value
 
 
