@@ -177,14 +177,37 @@ def dependency_decisions(changes: DataFrame) -> DataFrame:
         "n_added", "n_removed")
 
 
-def merge_same_commit(decisions: DataFrame) -> DataFrame:
-    """One row per (sha, kind): significances add up, packages unite, the subject comes from the most
-    significant manifest. A commit touches few manifests, so the lists stay short."""
-    merged = decisions.groupBy("sha", "kind").agg(
-        F.max_by("subject", F.struct("significance", "manifest")).alias("subject"), F.round(F.sum("significance"), 3).alias("significance"),
-        F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("packages")))), 1, NAMED_PACKAGES).alias("packages"),
-        F.array_join(F.sort_array(F.collect_set("manifest")), ", ").alias("manifest"), F.count(F.lit(1)).alias("n_manifests"))
-    return merged
+def merge_same_commit(found: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row per (sha, kind) when a commit changes several manifests: significances add up, and the subject
+    is rebuilt from the united packages. Only names that can be shown are listed; the rest is counted."""
+    kept = found.groupBy("sha", "kind").agg(
+        F.round(F.sum("significance"), 3).alias("significance"), F.count(F.lit(1)).alias("n_manifests"),
+        F.min("subject").alias("_own"), F.array_join(F.sort_array(F.collect_set("manifest")), ", ").alias("manifest"))
+    several = kept.filter("n_manifests > 1").select("sha", "kind")
+    # (sha, kind, side, package) over all manifests of the group; 'packages' carries the named ones.
+    sides = changes.join(found.select("sha", "manifest", "kind"), ["sha", "manifest"]).select("sha", "kind", "side", "package")
+    listed = found.select("sha", "kind", F.lit("packages").alias("side"), F.explode("packages").alias("package"))
+    united = sides.unionByName(listed).join(several, ["sha", "kind"], "left_semi").distinct()
+    facts = united.withColumn("category", category(F.col("package"))).withColumn("low", F.col("package").rlike(LOW_SIGNAL))
+    rank = F.row_number().over(Window.partitionBy("sha", "kind", "side").orderBy(*_curated_first([])))
+    named = facts.withColumn("n", rank).filter(F.col("n") <= NAMED_PACKAGES).select(
+        "sha", "kind", "side", F.struct("n", "package", describe(F.col("package")).alias("shown")).alias("item"))
+    lists = named.groupBy("sha", "kind").agg(*[
+        F.sort_array(F.collect_list(F.when(F.col("side") == s, F.col("item")))).alias(s) for s in ("added", "removed", "packages")])
+    n_added = facts.groupBy("sha", "kind").agg(F.count_if(F.col("side") == "added").alias("_n_added"))
+
+    def shown(column, limit):
+        return F.array_join(F.transform(F.slice(column, 1, limit), lambda x: x["shown"]), ", ")
+
+    more = F.when(F.col("_n_added") > 4, F.format_string(" (and %d more)", F.col("_n_added") - 4)).otherwise("")
+    subject = (
+        F.when(F.col("kind") == "initial_stack", F.concat(F.lit("Initial technology stack: "), shown("packages", 6)))
+        .when(F.col("kind") == "dependency_replace", F.concat(F.lit("Replace "), shown("removed", 3), F.lit(" with "), shown("added", 3)))
+        .when(F.col("_n_added") > 0, F.concat(F.lit("Adopt "), shown("added", 4), more))
+        .otherwise(F.concat(F.lit("Drop "), shown("removed", 4))))
+    return kept.join(lists, ["sha", "kind"], "left").join(n_added, ["sha", "kind"], "left").select(
+        "sha", "kind", F.when(F.col("n_manifests") > 1, subject).otherwise(F.col("_own")).alias("subject"), "significance",
+        "manifest", "n_manifests", F.transform("packages", lambda x: x["package"]).alias("packages"))
 
 
 # --- other detectors ----------------------------------------------------------------------------------------

@@ -97,7 +97,7 @@ def snap_judged(t):
   FROM v LEFT JOIN fan ON fan.dst = v.callee_module
   LEFT JOIN seen s ON v.edge = 'imports' AND s.rule_name = v.rule_name AND s.src = v.caller_module AND s.dst = v.callee_module
   GROUP BY 1, 2, 3)
- SELECT rule_name, CAST(severity AS BIGINT) AS severity, edge, ROUND(score, 2) AS score, occurrences, max_fan_in, introduced_idx,
+ SELECT rule_name, CAST(severity AS BIGINT) AS severity, edge, ROUND(score, 2) AS score, occurrences, max_fan_in, COALESCE(introduced_idx, -1) AS introduced_idx,
   ROW_NUMBER() OVER (ORDER BY score DESC, rule_name) AS rank,
   CASE WHEN ROUND(score, 2) >= 0.66 * MAX(score) OVER () THEN 'High' WHEN ROUND(score, 2) >= 0.33 * MAX(score) OVER () THEN 'Medium' ELSE 'Low' END AS priority
  FROM g""")
@@ -107,4 +107,5 @@ def priority_groups(t):
     found = rules.violations(judged(t)).join(F.broadcast(t.last_idx))
     ranked = rules.prioritize(found.drop("last"), t.imports, seen, t.last_idx.first()["last"])
     return ranked.select("rule_name", F.col("severity").cast("bigint").alias("severity"), "edge",
-                         F.round("score", 2).alias("score"), "occurrences", "max_fan_in", "introduced_idx", "rank", "priority")
+                         F.round("score", 2).alias("score"), "occurrences", "max_fan_in",
+                         F.coalesce("introduced_idx", F.lit(-1)).alias("introduced_idx"), "rank", "priority")

@@ -101,14 +101,29 @@ def dependency_decisions(t):
     return decisions.dependency_decisions(changed_packages(t)).drop("packages")
 
 
-@query("merged_decisions", DECIDE + """, m AS (SELECT substr(sha, 1, 3) AS sha, kind, manifest, subject, significance FROM d)
- SELECT sha, kind, arg_max(subject, {'s': significance, 'm': manifest, 'x': subject}) AS subject, ROUND(SUM(significance), 3) AS significance,
- string_agg(DISTINCT manifest, ', ' ORDER BY manifest) AS manifest, COUNT(*) AS n_manifests FROM m GROUP BY 1, 2""")
+@query("merged_decisions", DECIDE + f""", m AS (SELECT {hash_of('(k - k % 4)')} AS sha, kind, sha || '/' || manifest AS manifest, subject, significance, k, sha AS own FROM d),
+ grp AS (SELECT sha, kind, COUNT(*) AS n, MIN(subject) AS own, ROUND(SUM(significance), 3) AS significance, string_agg(manifest, ', ' ORDER BY manifest) AS manifest FROM m GROUP BY 1, 2),
+ side AS (SELECT DISTINCT m.sha, m.kind, n.side, n.pkg, n.shown, n.cat IS NULL AS unc, n.low FROM m JOIN n ON n.k = m.k),
+ packs AS (SELECT DISTINCT m.sha, m.kind, n.pkg, n.shown, n.cat IS NULL AS unc, n.low FROM m JOIN n ON n.k = m.k AND n.side = 'added' WHERE m.kind = 'initial_stack'
+  AND n.lead <= CASE WHEN nn > 0 THEN LEAST(12, nn) ELSE 5 END),
+ sr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY sha, kind, side ORDER BY unc, low, pkg) AS r FROM side),
+ pr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY sha, kind ORDER BY unc, low, pkg) AS r FROM packs),
+ tx AS (SELECT sha, kind, string_agg(shown, ', ' ORDER BY r) FILTER (side = 'added' AND r <= 4) AS a4, string_agg(shown, ', ' ORDER BY r) FILTER (side = 'added' AND r <= 3) AS a3,
+  string_agg(shown, ', ' ORDER BY r) FILTER (side = 'removed' AND r <= 4) AS r4, string_agg(shown, ', ' ORDER BY r) FILTER (side = 'removed' AND r <= 3) AS r3,
+  COUNT(CASE WHEN side = 'added' THEN 1 END) AS na FROM sr GROUP BY 1, 2),
+ px AS (SELECT sha, kind, string_agg(shown, ', ' ORDER BY r) AS p6 FROM pr WHERE r <= 6 GROUP BY 1, 2)
+ SELECT g.sha, g.kind, CASE WHEN n = 1 THEN g.own WHEN g.kind = 'initial_stack' THEN 'Initial technology stack: ' || p6 WHEN g.kind = 'dependency_replace' THEN 'Replace ' || r3 || ' with ' || a3
+  WHEN na > 0 THEN 'Adopt ' || a4 || CASE WHEN na > 4 THEN ' (and ' || (na - 4) || ' more)' ELSE '' END ELSE 'Drop ' || r4 END AS subject, significance, manifest, n AS n_manifests
+ FROM grp g LEFT JOIN tx USING (sha, kind) LEFT JOIN px USING (sha, kind)""")
 def merged_decisions(t):
-    """Decisions of one commit and kind merged (commits are grouped by hash prefix here, so groups are large)."""
-    found = decisions.dependency_decisions(changed_packages(t)).withColumn("sha", F.substring("sha", 1, 3))
-    # ties between equal significances and manifests are settled by the subject text
-    return decisions.merge_same_commit(found.withColumn("manifest", F.col("manifest"))).drop("packages")
+    """Decisions of one commit and kind merged: four orders act as one commit with a manifest each."""
+    keys = t.table("orders").select(F.expr(hash_of("o_orderkey")).alias("sha"), F.expr(hash_of("(o_orderkey - o_orderkey % 4)")).alias("group"))
+
+    def regroup(df):
+        return df.join(keys, "sha").withColumn("manifest", F.concat("sha", F.lit("/"), "manifest")).withColumn("sha", F.col("group")).drop("group")
+
+    changes = changed_packages(t)
+    return decisions.merge_same_commit(regroup(decisions.dependency_decisions(changes)), regroup(changes)).drop("packages")
 
 
 @query("restructures", with_(files=FILES_SQL) + """ SELECT hash AS sha, 'Restructure: ' || COUNT(old_path) || ' files moved or renamed' AS subject,
@@ -342,7 +357,7 @@ def focus_files(t):
 CONFIDENCE_SQL = """, r AS (SELECT decision, ROUND(relevance, 3) AS relevance, ROW_NUMBER() OVER (PARTITION BY decision ORDER BY ROUND(relevance, 3) DESC, i) + 1 AS rank
   FROM scored JOIN idx USING (hash) WHERE relevance >= 0.35), e AS (SELECT decision, AVG(relevance) AS m, COUNT(*) AS n FROM r WHERE rank <= 12 GROUP BY 1),
  c AS (SELECT d.sha AS decision, GREATEST(0.1::DOUBLE, LEAST(0.95::DOUBLE, 0.3 + 0.35 * COALESCE(m, 0) + 0.05 * LEAST(COALESCE(n, 0), 6))) AS cap FROM decision d LEFT JOIN e ON e.decision = d.sha)
- SELECT decision, ROUND(cap, 4) AS cap, CASE WHEN cap >= 0.7 THEN 'High' WHEN cap >= 0.45 THEN 'Medium' ELSE 'Low' END AS label FROM c"""
+ SELECT decision, ROUND(cap, 8) AS cap, CASE WHEN cap >= 0.7 THEN 'High' WHEN cap >= 0.45 THEN 'Medium' ELSE 'Low' END AS label FROM c"""
 
 
 @query("confidence_caps", with_(**EVIDENCE_SQL) + CONFIDENCE_SQL)
@@ -353,4 +368,4 @@ def confidence_caps(t):
     sums = listed.groupBy("decision").agg(F.avg("relevance").alias("m"), F.count(F.lit(1)).alias("n"), F.max(text.has_rationale(F.col("subject"))).alias("r"))
     cap = relevance.confidence_cap(F.col("m"), F.coalesce("n", F.lit(0)), F.coalesce("r", F.lit(False)), F.lit(False))
     return dated.select("decision").join(sums, "decision", "left").withColumn("cap", cap).select(
-        "decision", F.round("cap", 4).alias("cap"), relevance.confidence_label(F.col("cap")).alias("label"))
+        "decision", F.round("cap", 8).alias("cap"), relevance.confidence_label(F.col("cap")).alias("label"))

@@ -15,10 +15,11 @@ SNAPS = dict(months=MONTHS_SQL, snap=SNAP_IMPORTS_SQL)
 
 @query("validity_intervals", with_(**SNAPS) + """, g AS (SELECT src, dst, idx, idx - ROW_NUMBER() OVER (PARTITION BY src, dst ORDER BY idx) AS grp FROM snap)
  SELECT src AS "from", dst AS "to", MIN(idx) AS valid_from_idx,
-  CASE WHEN MAX(idx) < (SELECT MAX(idx) FROM months) THEN MAX(idx) + 1 END AS valid_to_idx FROM g GROUP BY src, dst, grp""")
+  CASE WHEN MAX(idx) < (SELECT MAX(idx) FROM months) THEN MAX(idx) + 1 ELSE -1 END AS valid_to_idx FROM g GROUP BY src, dst, grp""")
 def validity_intervals(t):
-    """Half-open validity per import edge over the snapshot sequence."""
-    return temporal.intervals(t.snap_imports, ["from", "to"], t.last_idx)
+    """Half-open validity per import edge over the snapshot sequence; -1 stands for still live."""
+    spans = temporal.intervals(t.snap_imports, ["from", "to"], t.last_idx)
+    return spans.withColumn("valid_to_idx", F.coalesce("valid_to_idx", F.lit(-1)))
 
 
 @query("graph_at_snapshot", with_(**SNAPS) + " SELECT src AS \"from\", dst AS \"to\" FROM snap WHERE idx = 40")

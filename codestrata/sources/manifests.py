@@ -48,25 +48,29 @@ def _keys(section: Column) -> Column:
     return F.regexp_extract_all(section, F.lit(r'(?m)^\s*"?([A-Za-z0-9_.@/-]+)"?\s*='), F.lit(1))
 
 
-def _quoted(body: Column) -> Column:
-    return F.transform(F.regexp_extract_all(body, F.lit("\"[^\"]+\"|'[^']+'"), F.lit(0)), requirement_name)
+# How a raw entry becomes a package name, applied after the entries are exploded into rows, where the
+# expressions are compiled; inside array lambdas they would be interpreted per element.
+_LINE, _SPEC, _KEY, _NPM = range(4)
+
 
+def _entries(raw: Column, dev, form: int) -> Column:
+    dev = dev if isinstance(dev, Column) else F.lit(dev)
+    return F.transform(F.coalesce(raw, F.array().cast("array<string>")),
+                       lambda r: F.struct(r.alias("raw"), dev.alias("dev"), F.lit(form).alias("form")))
 
-def _flagged(names: Column, dev: bool) -> Column:
-    return F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.struct(n.alias("package"), F.lit(dev).alias("dev")))
+
+def _quoted(body: Column) -> Column:
+    return F.regexp_extract_all(body, F.lit("\"[^\"]+\"|'[^']+'"), F.lit(0))
 
 
 def _requirements(content: Column, name: Column) -> Column:
-    dev = name.rlike("dev|test|lint|doc")
-    lines = F.transform(F.split(content, r"\r?\n|\r"), lambda line: requirement_name(F.substring_index(line, "#", 1)))
-    return F.transform(lines, lambda n: F.struct(n.alias("package"), dev.alias("dev")))
+    return _entries(F.split(content, r"\r?\n|\r"), name.rlike("dev|test|lint|doc"), _LINE)
 
 
 def _package_json(content: Column) -> Column:
     doc = F.from_json(content, _PACKAGE_JSON)
-    lower = lambda m: F.transform(F.map_keys(m), F.lower)
-    return F.concat(_flagged(lower(doc["dependencies"]), False), _flagged(lower(doc["peerDependencies"]), False),
-                    _flagged(lower(doc["devDependencies"]), True))
+    return F.concat(_entries(F.map_keys(doc["dependencies"]), False, _NPM), _entries(F.map_keys(doc["peerDependencies"]), False, _NPM),
+                    _entries(F.map_keys(doc["devDependencies"]), True, _NPM))
 
 
 def _pyproject(content: Column) -> Column:
@@ -76,14 +80,12 @@ def _pyproject(content: Column) -> Column:
     poetry = F.filter(_keys(_section(content, r"tool\.poetry\.dependencies")), lambda k: F.lower(k) != "python")
     groups = F.flatten(F.transform(
         F.regexp_extract_all(content, F.lit(r"(?ms)^\[tool\.poetry\.(?:dev-dependencies|group\.[\w-]+\.dependencies)\]\s*$(.*?)(?=^\[|\z)"), F.lit(1)), _keys))
-    return F.concat(
-        _flagged(_quoted(items), False), _flagged(_quoted(_section(content, r"project\.optional-dependencies")), True),
-        _flagged(F.transform(poetry, normalize), False), _flagged(F.transform(groups, normalize), True))
+    return F.concat(_entries(_quoted(items), False, _SPEC), _entries(_quoted(_section(content, r"project\.optional-dependencies")), True, _SPEC),
+                    _entries(poetry, False, _KEY), _entries(groups, True, _KEY))
 
 
 def _pipfile(content: Column) -> Column:
-    return F.concat(_flagged(F.transform(_keys(_section(content, "packages")), normalize), False),
-                    _flagged(F.transform(_keys(_section(content, "dev-packages")), normalize), True))
+    return F.concat(_entries(_keys(_section(content, "packages")), False, _KEY), _entries(_keys(_section(content, "dev-packages")), True, _KEY))
 
 
 def manifest_packages(files: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,8 +98,12 @@ def manifest_packages(files: DataFrame, keys: list[str]) -> DataFrame:
         .when(name == "Pipfile", _pipfile(content))
     )
     rows = files.filter(paths.is_manifest(F.col("path"))).select(*keys, "path", F.explode(found).alias("p"))
-    return rows.filter("p.package IS NOT NULL").groupBy(*keys, "path", F.col("p.package").alias("package")).agg(
-        F.min("p.dev").alias("dev")).withColumn("ecosystem", F.when(paths.basename(F.col("path")) == "package.json", "npm").otherwise("pypi"))
+    raw, form = F.col("p.raw"), F.col("p.form")
+    package = (F.when(form == _LINE, requirement_name(F.substring_index(raw, "#", 1))).when(form == _SPEC, requirement_name(raw))
+               .when(form == _KEY, normalize(raw)).otherwise(F.lower(raw)))
+    named = rows.select(*keys, "path", package.alias("package"), F.col("p.dev").alias("dev")).filter("package IS NOT NULL")
+    return named.groupBy(*keys, "path", "package").agg(F.min("dev").alias("dev")).withColumn(
+        "ecosystem", F.when(paths.basename(F.col("path")) == "package.json", "npm").otherwise("pypi"))
 
 
 def external_imports(files: DataFrame, keys: list[str]) -> DataFrame:

@@ -30,6 +30,7 @@ def _kind(dtype) -> str:
 def _cell(value):
     if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return None
+    value = value.item() if hasattr(value, "item") else value
     if isinstance(value, float):
         return int(value) if value.is_integer() else float(f"{value:.9g}")
     return value
