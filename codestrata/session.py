@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # monotonically_increasing_id() keeps the position inside a partition in the low 33 bits.
@@ -62,27 +62,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def global_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
-    """Consecutive 0-based positions over a total order, without a single-partition window.
-
-    Rows are range-partitioned on the order columns (sampled bounds; unique tails keep ranges even when
-    a third of the rows share a timestamp), numbered inside their partition, and shifted by the number of
-    rows in earlier partitions. The written checkpoint pins the numbering: the offsets and the rows are
-    read from the same files."""
+def _numbered_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows sorted into range partitions, with ``_at`` (partition id and position) pinned by a checkpoint, so
+    that totals per partition and the rows themselves are read from the same files. Sampled bounds over unique
+    tails keep the ranges even when a third of the rows share the leading key."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = cut_lineage(ranged.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", _POSITION_BITS)
-    # One row per partition, so this window is bounded by the partition count, not by the data.
-    sizes = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
-    offsets = sizes.select(
-        "_part",
-        F.coalesce(F.expr("sum(_rows) over (order by _part rows between unbounded preceding and 1 preceding)"),
-                   F.lit(0)).alias("_offset"),
-    )
+    return cut_lineage(ranged.withColumn("_at", F.monotonically_increasing_id())).withColumn(
+        "_part", F.shiftright("_at", _POSITION_BITS))
+
+
+def _before_partition(totals: DataFrame) -> DataFrame:
+    """(_part, _offset): the running total of earlier partitions. One row per partition, so the window is
+    bounded by the partition count, not by the data."""
+    before = "sum(_total) over (order by _part rows between unbounded preceding and 1 preceding)"
+    return totals.select("_part", F.coalesce(F.expr(before), F.lit(0)).alias("_offset"))
+
+
+def global_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
+    """Consecutive 0-based positions over a total order, without a single-partition window."""
+    numbered = _numbered_ranges(df, order)
+    offsets = _before_partition(numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_total")))
     position = F.col("_at").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
-    return (
-        numbered.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, (F.col("_offset") + position).cast("bigint"))
-        .drop("_part", "_at", "_offset")
-    )
+    return numbered.join(F.broadcast(offsets), "_part").withColumn(
+        name, (F.col("_offset") + position).cast("bigint")).drop("_part", "_at", "_offset")
+
+
+def running_total(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """Sum of ``value`` over all earlier rows of a total order (exclusive), partition by partition: a window
+    inside each range partition plus the total of the partitions before it."""
+    numbered = _numbered_ranges(df, order)
+    offsets = _before_partition(numbered.groupBy("_part").agg(F.sum(value).alias("_total")))
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    return numbered.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(offsets), "_part").withColumn(
+        name, (F.col("_offset") + F.col("_inside")).cast("bigint")).drop("_part", "_at", "_offset", "_inside")
