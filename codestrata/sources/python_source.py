@@ -7,11 +7,16 @@ from __future__ import annotations
 
 import ast
 import re
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The helpers travel with the task, so workers need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # One wide row type for all facts:
 #   class     (name=class)
 #   function  (owner=class or null, name, detail=signature)
