@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codestrata.operators import resolve_python
+from codestrata.operators import resolve_python, resolve_script
 from codestrata.plans.registry import query
 from codestrata.session import cut_lineage
 from codestrata.sources import python_source
@@ -96,3 +96,71 @@ def python_calls(t):
     """Resolved calls: re-exports, module attributes, dotted receivers, class methods, injected fields."""
     facts, index = parsed(t)
     return resolve_python.call_edges(facts, index, resolve_python.name_table(facts, index))
+
+
+# --- JavaScript / TypeScript: a customer is a folder with a service and a barrel, an order a module using it ----
+
+WEB = "CONCAT('web', CAST({c} % 5 AS STRING), '/src/c', CAST({c} AS STRING), '/')"
+SCRIPT_FORMS = [
+    "import {{ load{c} }} from '@/c{c}/svc';\nexport function run(x: string) {{ load{c}('a'); const f = () => hidden(); return [x]; }}\n",
+    "const {{ go }} = require('../src/c{c}');\nfunction run() {{ return go(1); }}\nmodule.exports = {{ run }};\n",
+    "import * as m from '../src/c{c}/index.js';\nexport const run = async (x) => m.load{c}(2);\n",
+    "import {{ Repo{c} }} from '../src/c{c}';\nexport class Job {{\n  constructor(private readonly repo: Repo{c}, plain: Repo{c}) {{}}\n  run() {{ this.repo.save(1); this.plain.save(1); }}\n}}\n",
+    "import Repo from '@/c{c}/svc.js';\nexport function run() {{ return Repo.save(1); }}\n",
+    "import express from 'express';\nexport function run() {{ express.get(); }}\n",
+    "import {{ Repo{c} as R }} from '@/c{c}';\nexport function run() {{ R.make(); const y = {{}}; y.save(); }}\n",
+    "import './../src/c{c}/svc';\n",
+]
+
+
+def script_sources(t):
+    svc = ("export function load{k}(a: string) {{ return helper(a); }} // load(x)\nfunction helper(a) {{ return /[(]/.test(a); }}\n"
+           "export class Repo{k} {{\n  save(x) {{ return this.check(x); }}\n  check(x) {{ return `${{x}}`; }}\n  static make() {{ return 1; }}\n}}\n")
+    barrel = "export * from './svc';\nexport {{ load{k} as go }} from './svc';\n"
+    plain = lambda text: text.replace("{{", "{").replace("}}", "}")
+    c = t.table("customer").select(F.col("c_custkey").cast("string").alias("k"), F.expr(WEB.format(c="c_custkey")).alias("dir"))
+    fill = lambda text, mark: F.replace(F.lit(plain(text)), F.lit(mark), F.col(mark.strip("{}")))
+    own = c.select(F.explode(F.array(F.struct(F.concat("dir", F.lit("svc.ts")).alias("path"), fill(svc, "{k}").alias("content")),
+                                     F.struct(F.concat("dir", F.lit("index.js")).alias("path"), fill(barrel, "{k}").alias("content")))).alias("f")).select("f.*")
+    o = t.table("orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("c"), (F.col("o_orderkey") % 8).cast("int").alias("form"))
+    content = F.replace(F.get(F.array(*[F.lit(plain(f)) for f in SCRIPT_FORMS]), F.col("form")), F.lit("{c}"), F.col("c"))
+    path = F.expr("CONCAT('web', CAST(CAST(c AS BIGINT) % 5 AS STRING), '/jobs/o', CAST(o_orderkey AS STRING), CASE WHEN form = 1 THEN '.js' ELSE '.ts' END)")
+    return own.unionByName(o.select(path.alias("path"), content.alias("content")))
+
+
+def script_configs(t):
+    """One configuration chain per region: tsconfig.json extends base.json, which declares the alias."""
+    r = t.table("region").select(F.format_string("web%d/", "r_regionkey").alias("dir"))
+    pairs = F.array(F.struct(F.concat("dir", F.lit("tsconfig.json")).alias("path"), F.lit('{ // strict\n "extends": "./base", "compilerOptions": {"strict": true,},}').alias("content")),
+                    F.struct(F.concat("dir", F.lit("base.json")).alias("path"), F.lit('{"compilerOptions": {"paths": {"@/*": ["src/*"],}} /* end */}').alias("content")))
+    return r.select(F.explode(pairs).alias("f")).select("f.*")
+
+
+JS_SQL = f"""WITH c AS (SELECT c_custkey AS k, {WEB.format(c='c_custkey')} AS dir FROM customer),
+ o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 8 AS f, CONCAT('web', CAST(o_custkey % 5 AS STRING), '/jobs/o', CAST(o_orderkey AS STRING), CASE WHEN o_orderkey % 8 = 1 THEN '.js' ELSE '.ts' END) AS path,
+  {WEB.format(c='o_custkey')} AS dir FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))"""
+
+
+@query("script_configs", """SELECT 'web' || r_regionkey AS dir, '@/*' AS pattern, 'src/*' AS target, 'web' || r_regionkey AS paths_base FROM region""")
+def script_config_table(t):
+    """Path aliases in effect per folder, inherited ones included."""
+    configs = resolve_script.path_configs(script_configs(t))
+    return configs.select("dir", F.explode("patterns").alias("e"), "paths_base").select("dir", F.col("e.key").alias("pattern"), F.array_join("e.value", ",").alias("target"), "paths_base")
+
+
+@query("script_imports", JS_SQL + """ SELECT dir || 'index.js' AS "from", dir || 'svc.ts' AS "to" FROM c
+ UNION ALL SELECT path, dir || 'svc.ts' FROM o WHERE f IN (0, 4, 7) UNION ALL SELECT path, dir || 'index.js' FROM o WHERE f IN (1, 2, 3, 6)""")
+def script_imports(t):
+    """Import edges of JavaScript and TypeScript: relative, aliased, index files, .js naming .ts."""
+    return resolve_script.resolve(script_sources(t), script_configs(t))[1]
+
+
+@query("script_calls", JS_SQL + """ SELECT dir || 'svc.ts' AS caller_module, NULL AS caller_class, 'load' || k AS caller_name, dir || 'svc.ts' AS callee_module, NULL AS callee_class, 'helper' AS callee_name FROM c
+ UNION ALL SELECT dir || 'svc.ts', 'Repo' || k, 'save', dir || 'svc.ts', 'Repo' || k, 'check' FROM c
+ UNION ALL SELECT path, NULL, 'run', dir || 'svc.ts', NULL, 'load' || c FROM o WHERE f IN (0, 1, 2)
+ UNION ALL SELECT path, 'Job', 'run', dir || 'svc.ts', 'Repo' || c, 'save' FROM o WHERE f = 3
+ UNION ALL SELECT path, NULL, 'run', dir || 'svc.ts', 'Repo' || c, 'save' FROM o WHERE f = 4
+ UNION ALL SELECT path, NULL, 'run', dir || 'svc.ts', 'Repo' || c, 'make' FROM o WHERE f = 6""")
+def script_calls(t):
+    """Resolved calls through barrels, aliases, namespaces, injected fields and static methods."""
+    return resolve_script.resolve(script_sources(t), script_configs(t))[2]
