@@ -161,6 +161,8 @@ def follow(queries: DataFrame, bindings: DataFrame, stars: DataFrame) -> DataFra
         onward = met.filter("kind = 'follow'").select(*keys, F.col("tpath").alias("p"), F.col("tname").alias("n"), F.col("next_outside").alias("o"), "way")
         starred = met.filter("kind IS NULL AND o").join(behind, "p").select(*keys, F.col("_t").alias("p"), "n", "o", F.concat("way", F.array(F.col("_s"))).alias("way"))
         open_ = cut_lineage(onward.unionByName(starred))
+        if open_.isEmpty():
+            break
     return done.groupBy(*keys).agg(F.min_by(F.struct("kind", "tpath", "tname"), "way").alias("r")).select(*keys, "r.*")
 
 

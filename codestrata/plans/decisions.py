@@ -310,9 +310,9 @@ def _evidence(t):
     touched = t.commit_files.withColumn("file_ord", F.concat_ws("|", "path", "added", "deleted", "old_path"))
     terms = relevance.commit_terms(t.commits, touched, [F.col("subject")])
     n_docs = t.commits.agg(F.count(F.lit(1)).cast("double").alias("n_docs"))
-    vec = relevance.vectors(terms, relevance.inverse_frequency(terms, n_docs), n_docs, "hash")
+    # Document frequencies need every commit; vectors only the commits near a decision.
     near = pairs.select("hash").union(found.select("sha")).distinct()
-    vec = cut_lineage(vec.join(near, "hash", "left_semi"))
+    vec = cut_lineage(relevance.vectors(terms.join(near, "hash", "left_semi"), relevance.inverse_frequency(terms, n_docs), n_docs, "hash"))
     query_vec = vec.join(found.withColumnRenamed("sha", "hash"), "hash").select("decision", "token", "w")
     return relevance.score_pairs(pairs, graph, relevance.text_similarity(pairs, vec, query_vec)), dated, indexed
 

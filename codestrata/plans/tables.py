@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codestrata.session import spread_if_few_splits
 from codestrata.sources import rules_doc
 
 
@@ -129,7 +130,7 @@ class Tables:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._read:  # each read infers the schema from the file footer once
-            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            self._read[name] = spread_if_few_splits(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
         return self._read[name]
 
     @cached_property

@@ -62,6 +62,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly before work that is far slower per byte than a shuffle (parsing source text in
+    Python): otherwise a few large input splits, or one compacted file, decide how many cores take part."""
+    spark = df.sparkSession
+    wanted = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(wanted)
+
+
+def spread_if_few_splits(df: DataFrame, smallest: int = 1 << 20) -> DataFrame:
+    """Deals out a scan that has fewer splits than there are cores (a single-row-group file is one task however
+    large it is). A table with enough splits is returned as it is; filters and column pruning still reach the
+    scan either way."""
+    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return spread(df) if int(str(size)) >= smallest else df
+
+
 def _numbered_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
     """Rows sorted into range partitions, with ``_at`` (partition id and position) pinned by a checkpoint, so
     that totals per partition and the rows themselves are read from the same files. Sampled bounds over unique

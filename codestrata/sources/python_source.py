@@ -14,6 +14,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.session import spread
+
 # The helpers travel with the task, so workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -139,4 +141,4 @@ def facts(files: DataFrame) -> DataFrame:
                     for i, fact in enumerate(_facts(path, content or ""))]
             yield pd.DataFrame(rows, columns=["path", "fact", "ord", "owner", "name", "detail", "obj", "target"])
 
-    return files.filter(F.col("path").endswith(".py")).select("path", "content").mapInPandas(batches, FACTS)
+    return spread(files.filter(F.col("path").endswith(".py")).select("path", "content")).mapInPandas(batches, FACTS)

@@ -14,6 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.session import spread
 from codestrata.sources.python_source import FACTS
 
 # The helpers travel with the task, so workers need no installed package.
@@ -332,4 +333,4 @@ def facts(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "fact", "ord", "owner", "name", "detail", "obj", "target"])
 
     kept = files.filter(F.col("path").rlike(r"\.(js|jsx|ts|tsx)$") & ~F.col("path").endswith(".d.ts"))
-    return kept.select("path", "content").mapInPandas(batches, FACTS)
+    return spread(kept.select("path", "content")).mapInPandas(batches, FACTS)
