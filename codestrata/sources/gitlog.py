@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from codestrata.operators.history import BULK_COMMIT_FILES
 
-RECORD, FIELD = "\x1e", "\x1f"
+RECORD, FIELD, NUL = "\x1e", "\x1f", "\x00"
 MAX_BODY_CHARS = 2000
 # added, deleted, then the path, or an empty field followed by the old and the new path.
 NUMSTAT = r"(?s)(\d+|-)\t(\d+|-)\t(?:([^\x00\t]+)(?:\x00|\z)|\x00([^\x00]*)\x00([^\x00]*)(?:\x00|\z))"
@@ -35,30 +35,33 @@ def author_id(email: Column, name: Column) -> Column:
 
 
 def parse_commits(records: DataFrame, bulk_files: int = BULK_COMMIT_FILES) -> DataFrame:
-    """Commit rows with their touched files as an array of structs."""
+    """Commit rows; ``stats`` keeps the numstat entries as text, read by ``commit_files``."""
     whole = records.filter(F.length(F.translate("record", "\x00\n", "")) > 0)
     # The header ends at the last field separator; a body may itself contain separators.
     cut = whole.select(
         F.regexp_extract("record", r"(?s)^(.*)\x1f", 1).alias("_header"),
-        F.regexp_extract("record", r"(?s)^.*\x1f([^\x1f]*)$", 1).alias("_rest"))
-    split = cut.select(F.split("_header", FIELD, 7).alias("h"), "_rest").filter(F.size("h") == 7)
+        F.regexp_extract_all(F.substring_index("record", FIELD, -1), F.lit(NUMSTAT), F.lit(0)).alias("stats"))
+    split = cut.select(F.split("_header", FIELD, 7).alias("h"), "stats").filter(F.size("h") == 7)
     h = lambda i: F.get("h", F.lit(i))
-    groups = [F.regexp_extract_all("_rest", F.lit(NUMSTAT), F.lit(i)) for i in range(1, 6)]
-    files = F.transform(F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)]), lambda z: F.struct(
-        F.when(z["g2"] != "", z["g2"]).otherwise(z["g4"]).alias("path"), F.when(z["g2"] == "", z["g3"]).alias("old_path"),
-        _count(z["g0"]).alias("added"), _count(z["g1"]).alias("deleted")))
     ts = F.when(h(4).rlike(r"^\d+$"), h(4).try_cast("bigint")).otherwise(F.lit(0))
     return split.select(
         h(0).alias("hash"), F.substring(h(0), 1, 7).alias("short"), F.filter(F.split(h(1), " "), lambda p: p != "").alias("parents"),
         F.when(F.trim(h(2)) == "", "unknown").otherwise(F.trim(h(2))).alias("author"), author_id(h(3), h(2)).alias("author_id"),
         ts.alias("timestamp"), F.trim(h(5)).alias("subject"), F.substring(F.regexp_replace(h(6), r"^\s+|\s+$", ""), 1, MAX_BODY_CHARS).alias("body"),
-        files.alias("files"),
-    ).withColumn("n_files", F.size("files").cast("bigint")).withColumn("bulk", F.col("n_files") > bulk_files)
+        "stats", F.size("stats").cast("bigint").alias("n_files")).withColumn("bulk", F.col("n_files") > bulk_files)
 
 
 def commit_files(commits: DataFrame) -> DataFrame:
-    """(hash, file_ord, path, old_path, added, deleted)."""
-    return commits.select("hash", F.posexplode("files").alias("file_ord", "f")).select("hash", "file_ord", "f.*")
+    """(hash, file_ord, path, old_path, added, deleted), one numstat entry per row. Entries are taken apart
+    after the explode, where the expressions are compiled; the outer form keeps Spark from evaluating the
+    extraction a second time in an inferred size filter."""
+    entries = commits.select("hash", F.posexplode_outer("stats").alias("file_ord", "entry")).filter("entry IS NOT NULL")
+    part = F.split("entry", "\t", 3)
+    tail = F.split(F.get(part, F.lit(2)), NUL)
+    renamed = F.get(tail, F.lit(0)) == ""
+    return entries.select(
+        "hash", "file_ord", F.when(renamed, F.get(tail, F.lit(2))).otherwise(F.get(tail, F.lit(0))).alias("path"),
+        F.when(renamed, F.get(tail, F.lit(1))).alias("old_path"), _count(F.get(part, F.lit(0))).alias("added"), _count(F.get(part, F.lit(1))).alias("deleted"))
 
 
 def numbered_lines(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
