@@ -65,43 +65,49 @@ def path_configs(files: DataFrame) -> DataFrame:
 
 def resolve_specifiers(wanted: DataFrame, known: DataFrame, configs: DataFrame | None = None) -> DataFrame:
     """(path, spec) -> target for specifiers that name a parsed file. ``wanted`` is distinct (path, spec),
-    ``known`` distinct (path). Candidates are generated per specifier with their order and joined by equality;
+    ``known`` distinct (path).
+
+    A specifier means the same to every file of one folder and language family, so it is resolved once per
+    (folder, spec, family) and joined back. Candidates carry their order and meet the known files by equality;
     the first one that exists wins."""
-    specs = wanted.filter("spec <> ''")
-    folder = dirname(F.col("path"))
-    relative = specs.filter(F.col("spec").startswith(".")).select("path", "spec", _join(folder, F.col("spec")).alias("base"), F.lit(0).alias("rank"))
+    key = ["folder", "spec", "own_ts"]
+    keyed = wanted.filter("spec <> ''").select("path", "spec", dirname(F.col("path")).alias("folder"), F.col("path").rlike(r"\.tsx?$").alias("own_ts"))
+    specs = keyed.select(*key).distinct()
+    relative = specs.filter(F.col("spec").startswith(".")).select(*key, _join(F.col("folder"), F.col("spec")).alias("base"), F.lit(0).alias("rank"))
     bases = relative.filter("base IS NOT NULL")
     if configs is not None:
-        bases = bases.unionByName(_alias_bases(specs.filter(~F.col("spec").startswith(".")), configs))
-    own_ts = F.col("path").rlike(r"\.tsx?$")
+        bases = bases.unionByName(_alias_bases(specs.filter(~F.col("spec").startswith(".")), configs, key))
     families = lambda a, b: F.array(*[F.lit(e) for e in a + b])
-    exts = F.when(own_ts, families(TS_FAMILY, JS_FAMILY)).otherwise(families(JS_FAMILY, TS_FAMILY))
+    exts = F.when(F.col("own_ts"), families(TS_FAMILY, JS_FAMILY)).otherwise(families(JS_FAMILY, TS_FAMILY))
     stem = F.regexp_replace("base", r"\.(js|jsx|mjs|cjs)$", "")
     node_next = F.when(F.col("base").rlike(r"\.(js|jsx|mjs|cjs)$"), F.array(*[F.concat(stem, F.lit(e)) for e in TS_FAMILY])).otherwise(F.array().cast("array<string>"))
     probes = F.concat(F.array("base"), F.transform(exts, lambda e: F.concat(F.col("base"), e)),
                       F.transform(exts, lambda e: F.concat(F.when(F.col("base") == "", "index").otherwise(F.concat("base", F.lit("/index"))), e)), node_next)
-    tried = bases.select("path", "spec", "rank", F.posexplode(probes).alias("ord", "target"))
+    tried = bases.select(*key, "rank", F.posexplode(probes).alias("ord", "target"))
     found = tried.join(known.select(F.col("path").alias("target")), "target", "left_semi")
-    return found.groupBy("path", "spec").agg(F.min_by("target", F.struct("rank", "ord")).alias("target"))
+    best = found.groupBy(*key).agg(F.min_by("target", F.struct("rank", "ord")).alias("target"))
+    return keyed.join(best, key).select("path", "spec", "target")
 
 
-def _alias_bases(specs: DataFrame, configs: DataFrame) -> DataFrame:
-    """Candidates under the nearest configuration above each importer: matching patterns by prefix length (an
-    exact pattern outranks), then baseUrl. Importers meet configurations through their own ancestor folders."""
-    pieces = F.split(dirname(F.col("path")), "/")
+def _alias_bases(specs: DataFrame, configs: DataFrame, key: list[str]) -> DataFrame:
+    """Candidates under the nearest configuration above each importing folder: matching patterns by prefix
+    length (an exact pattern outranks), then baseUrl. Folders meet configurations through their own ancestors."""
+    pieces = F.split("folder", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, F.lit(1), i), "/"))
-    nearest = specs.select("path", "spec", F.explode(F.array_distinct(above)).alias("dir")).join(configs, "dir").groupBy("path", "spec").agg(
-        F.max_by(F.struct("base_url", "patterns", "paths_base"), F.length("dir")).alias("c"))
-    each = nearest.select("path", "spec", F.col("c.paths_base").alias("at"), F.explode("c.patterns").alias("e")).select("path", "spec", "at", F.col("e.key").alias("pattern"), F.col("e.value").alias("targets"))
+    # which configuration applies depends on the folder alone
+    folders = specs.select("folder").distinct().select("folder", F.explode(F.array_distinct(above)).alias("dir"))
+    owner = folders.join(configs.select("dir"), "dir").groupBy("folder").agg(F.max_by("dir", F.length("dir")).alias("dir"))
+    nearest = specs.join(owner, "folder").join(configs, "dir").select(*key, F.struct("base_url", "patterns", "paths_base").alias("c"))
+    each = nearest.select(*key, F.col("c.paths_base").alias("at"), F.explode("c.patterns").alias("e")).select(*key, "at", F.col("e.key").alias("pattern"), F.col("e.value").alias("targets"))
     star = F.size(F.split("pattern", r"\*")) == 2
     prefix, suffix = F.substring_index("pattern", "*", 1), F.substring_index("pattern", "*", -1)
     fits = F.when(star, F.col("spec").startswith(prefix) & F.col("spec").endswith(suffix) & (F.length("spec") >= F.length(prefix) + F.length(suffix))).otherwise(F.col("spec") == F.col("pattern"))
     middle = F.when(star, F.substr("spec", F.length(prefix) + 1, F.length("spec") - F.length(prefix) - F.length(suffix))).otherwise("")
     weight = F.when(star, F.length(prefix)).otherwise(F.length("pattern") + 1)
     hit = each.filter(fits & (F.size(F.split("pattern", r"\*")) <= 2)).select(
-        "path", "spec", (F.lit(100_000) - weight * 100).alias("rank"), middle.alias("middle"), "at", F.posexplode("targets").alias("n", "t"))
-    by_pattern = hit.select("path", "spec", _join(F.col("at"), F.replace("t", F.lit("*"), "middle")).alias("base"), (F.col("rank") + F.col("n")).alias("rank"))
-    by_base = nearest.filter("c.base_url IS NOT NULL").select("path", "spec", _join(F.col("c.base_url"), F.col("spec")).alias("base"), F.lit(1_000_000).alias("rank"))
+        *key, (F.lit(100_000) - weight * 100).alias("rank"), middle.alias("middle"), "at", F.posexplode("targets").alias("n", "t"))
+    by_pattern = hit.select(*key, _join(F.col("at"), F.replace("t", F.lit("*"), "middle")).alias("base"), (F.col("rank") + F.col("n")).alias("rank"))
+    by_base = nearest.filter("c.base_url IS NOT NULL").select(*key, _join(F.col("c.base_url"), F.col("spec")).alias("base"), F.lit(1_000_000).alias("rank"))
     return by_pattern.unionByName(by_base).filter("base IS NOT NULL")
 
 

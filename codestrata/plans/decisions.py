@@ -305,10 +305,10 @@ def _evidence(t):
     dated = found.join(indexed.select(F.col("hash").alias("sha"), "idx", "date"), "sha")
     pairs = cut_lineage(relevance.band_pairs(dated, usable))
     own = found.join(t.commit_files.select(F.col("hash").alias("sha"), "path"), "sha").select("decision", "path").distinct()
-    focus = relevance.focus_files(own, own.limit(0), t.imports)
+    focus = cut_lineage(relevance.focus_files(own, own.limit(0), t.imports))
     graph = relevance.file_proximity(pairs, t.commit_files, focus)
     touched = t.commit_files.withColumn("file_ord", F.concat_ws("|", "path", "added", "deleted", "old_path"))
-    terms = relevance.commit_terms(t.commits, touched, [F.col("subject")])
+    terms = cut_lineage(relevance.commit_terms(t.commits, touched, [F.col("subject")]))
     n_docs = t.commits.agg(F.count(F.lit(1)).cast("double").alias("n_docs"))
     # Document frequencies need every commit; vectors only the commits near a decision.
     near = pairs.select("hash").union(found.select("sha")).distinct()
