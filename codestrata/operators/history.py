@@ -72,14 +72,24 @@ def introduced(commits: DataFrame, touched: DataFrame, order: list[str]) -> Data
 def modified_edges(touched: DataFrame, modules: DataFrame, commits: DataFrame, order: list[str],
                    per_commit: int = 50, newest: int = 60_000) -> DataFrame:
     """MODIFIED relations kept in the graph: paths that are modules now, at most ``per_commit`` files of one
-    commit and the ``newest`` latest rows overall (the sink's own limits). Both limits are ranked top-k forms,
-    so Spark trims inside each task before anything is gathered."""
+    commit and the ``newest`` latest rows overall (the sink's own limits; ``order[0]`` is the date).
+
+    The per-commit rank is trimmed inside each task. The overall limit first drops whole days older than the
+    one where the limit is reached (counts per day are bounded by the calendar), then numbers what is left with
+    a distributed sort, since a top-k of this size would gather every task's rows in one place."""
+    from codestrata.session import global_index
+
     current = touched.join(modules.select("path"), "path", "left_semi")
     order_in_commit = Window.partitionBy("hash").orderBy("path", "old_path", "added", "deleted")
     kept = current.withColumn("_n", F.row_number().over(order_in_commit)).filter(F.col("_n") <= per_commit)
     dated = kept.join(commits.select("hash", *[c for c in order if c != "hash"]), "hash")
-    ranked = [F.desc(c) for c in order]
-    return dated.orderBy(*ranked, "_n").limit(newest).select("hash", "path", "added", "deleted")
+    day = order[0]
+    per_day = dated.groupBy(day).agg(F.count(F.lit(1)).alias("_rows"))
+    later = F.sum("_rows").over(Window.orderBy(F.desc(day)).rowsBetween(Window.unboundedPreceding, -1))
+    oldest = per_day.withColumn("_later", F.coalesce(later, F.lit(0))).filter(F.col("_later") < newest).agg(F.min(day).alias("_oldest"))
+    recent = dated.join(F.broadcast(oldest)).filter(F.col(day) >= F.col("_oldest")).drop("_oldest")
+    ranked = global_index(recent, [*[F.desc(c) for c in order], F.col("_n")], "_rank")
+    return ranked.filter(F.col("_rank") < newest).select("hash", "path", "added", "deleted")
 
 
 def latest_names(commits: DataFrame, order: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions import paths
@@ -59,16 +59,25 @@ def pick_groups(groups: DataFrame, cap: int) -> DataFrame:
     """(group, files, chosen): largest first while they fit the cap; a group that does not fit is skipped and
     smaller ones still get their chance. One oversized folder alone is taken anyway.
 
-    The greedy fold needs an order, so it runs over the folder counts of one repository (folders, not files)."""
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("files")).alias("neg"), F.col("group"))))
+    Groups of one size are interchangeable for the budget: once one does not fit, none of that size does. So the
+    greedy pass folds over the distinct sizes up to the cap (at most ``cap`` of them, however many groups there
+    are), and the groups taken of each size are its first ones by name."""
+    sizes = groups.filter(F.col("files") <= cap).groupBy("files").agg(F.count(F.lit(1)).alias("n"))
+    ordered = F.sort_array(F.collect_list(F.struct("files", "n")), asc=False)
     fold = F.aggregate(
-        "all", F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<string>").alias("chosen")),
-        lambda acc, x: F.when(acc["total"] - x["neg"] <= cap, F.struct(
-            (acc["total"] - x["neg"]).alias("total"), F.concat(acc["chosen"], F.array(x["group"])).alias("chosen"))).otherwise(acc),
-        lambda acc: F.when(F.size(acc["chosen"]) > 0, acc["chosen"]).otherwise(F.array(F.get("all", F.lit(0))["group"])))
-    listed = groups.agg(ordered.alias("all")).select("all", fold.alias("chosen"))
-    return listed.select(F.explode("all").alias("g"), "chosen").select(
-        F.col("g.group").alias("group"), (-F.col("g.neg")).alias("files"), F.array_contains("chosen", F.col("g.group")).alias("chosen"))
+        "all", F.struct(F.lit(cap).cast("bigint").alias("left"), F.array().cast("array<struct<files: bigint, take: bigint>>").alias("taken")),
+        lambda acc, x: F.struct(
+            (acc["left"] - x["files"] * F.least(x["n"], F.floor(acc["left"] / x["files"]))).cast("bigint").alias("left"),
+            F.concat(acc["taken"], F.array(F.struct(x["files"].alias("files"), F.least(x["n"], F.floor(acc["left"] / x["files"])).cast("bigint").alias("take")))).alias("taken")),
+        lambda acc: acc["taken"])
+    taken = sizes.agg(ordered.alias("all")).select(F.explode(fold).alias("t")).select("t.files", "t.take").filter("take > 0")
+    # no more than ``cap`` groups of a size can be taken, which trims the ranking inside each task
+    first = groups.withColumn("_n", F.row_number().over(Window.partitionBy("files").orderBy("group"))).filter(F.col("_n") <= cap)
+    chosen = first.join(F.broadcast(taken), "files").filter(F.col("_n") <= F.col("take")).select("group")
+    alone = groups.agg(F.min_by("group", F.struct(-F.col("files"), F.col("group"))).alias("group"), F.min("files").alias("_least")).filter(
+        F.col("_least") > cap).select("group")
+    marked = chosen.unionByName(alone).withColumn("_in", F.lit(True))
+    return groups.join(marked, "group", "left").select("group", "files", F.col("_in").isNotNull().alias("chosen"))
 
 
 def choose(files: DataFrame, subdir: str = "", large_files: int = 3000, cap: int = 3000) -> dict:

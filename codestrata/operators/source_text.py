@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.session import running_total
@@ -67,11 +67,14 @@ def snippet_windows(lines: DataFrame, at: DataFrame, context: int = 2) -> DataFr
         "path", "at", "line_no", F.concat(F.lpad(F.col("line_no").cast("string"), 4, " "), F.lit(" | "), F.col("line")).alias("text"))
 
 
-def fit_context(sizes: Column, budget: int = 14_000) -> Column:
-    """How many of the oldest entries of one conversation have to go so that the rest fits the budget; the last
-    one always stays. ``sizes`` is one conversation's sizes, oldest first."""
-    total = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, s: a + s)
-    dropped = F.aggregate(
-        F.slice(sizes, 1, F.size(sizes) - 1), F.struct(total.alias("left"), F.lit(0).alias("n")),
-        lambda a, s: F.when(a["left"] > budget, F.struct((a["left"] - s).alias("left"), (a["n"] + 1).alias("n"))).otherwise(a), lambda a: a["n"])
-    return F.when(F.size(sizes) > 0, dropped).otherwise(0)
+def fit_context(entries: DataFrame, key: str, order: str, size: str, budget: int = 14_000) -> DataFrame:
+    """(key, dropped): how many of the oldest entries of each conversation have to go so that the rest fits the
+    budget; the newest always stays.
+
+    An entry goes when the sizes from it to the newest exceed the budget. Those sums come from one distributed
+    running total over (key, newest first), less the total before the key, so a conversation of any length is
+    never one window."""
+    summed = running_total(entries.select(key, order, size), [F.col(key), F.desc(order)], size, "before")
+    start = summed.groupBy(key).agg(F.min("before").alias("_start"), F.max(order).alias("_newest"))
+    over = (F.col("before") - F.col("_start") + F.col(size) > budget) & (F.col(order) != F.col("_newest"))
+    return summed.join(start, key).groupBy(key).agg(F.count_if(over).alias("dropped"))

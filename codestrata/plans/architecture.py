@@ -104,8 +104,7 @@ def snap_judged(t):
 def priority_groups(t):
     """Violation groups ranked by severity, target fan-in and how recently they appeared."""
     seen = rules.first_seen(rules.violations(snap_judged(t)))
-    found = rules.violations(judged(t)).join(F.broadcast(t.last_idx))
-    ranked = rules.prioritize(found.drop("last"), t.imports, seen, t.last_idx.first()["last"])
+    ranked = rules.prioritize(rules.violations(judged(t)), t.imports, seen, t.last_idx.first()["last"])
     return ranked.select("rule_name", F.col("severity").cast("bigint").alias("severity"), "edge",
                          F.round("score", 2).alias("score"), "occurrences", "max_fan_in",
                          F.coalesce("introduced_idx", F.lit(-1)).alias("introduced_idx"), "rank", "priority")

@@ -245,9 +245,8 @@ def cached_sources(t):
  SELECT conv_id, MAX(n)::BIGINT AS dropped FROM d GROUP BY 1""")
 def fit_context(t):
     """Oldest turns dropped so that a conversation fits a budget of 600 characters."""
-    # a prompt holds one conversation, so its sizes are one small array by nature of the operator
-    sizes = t.table("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.length("text").cast("bigint").alias("n")))), lambda x: x["n"]).alias("s"))
-    return sizes.select("conv_id", source_text.fit_context(F.col("s"), 600).cast("bigint").alias("dropped"))
+    sized = t.table("conversations").select("conv_id", "turn", F.length("text").cast("bigint").alias("chars"))
+    return source_text.fit_context(sized, "conv_id", "turn", "chars", 600)
 
 
 # --- documents and diagrams ------------------------------------------------------------------------------------

@@ -354,3 +354,17 @@ def path_filters(t):
     return t.modules.select("path", paths.is_source(p).alias("is_source"), paths.is_noise(p).alias("is_noise"),
                             paths.in_group(p, F.concat(F.regexp_extract(p, r"^(.*?/pkg_\d+)/", 1), F.lit("/db"))).alias("in_group"),
                             paths.review_skip_reason(p).alias("skip_reason"))
+
+
+GROUP_SIZES = "SELECT regexp_replace(path, '^([^/]*/[^/]*/[^/]*)/.*$', '\\1') AS grp, COUNT(*) AS n FROM modules GROUP BY 1"
+
+
+@query("pick_groups", with_(**MOD, sizes=GROUP_SIZES).replace("WITH ", "WITH RECURSIVE ") + """, o AS (SELECT grp, n, ROW_NUMBER() OVER (ORDER BY n DESC, grp) AS r FROM sizes),
+ cap AS (SELECT SUM(n) / 3 AS c FROM sizes),
+ w AS (SELECT 0::BIGINT AS r, 0::HUGEINT AS total, false AS chosen UNION ALL SELECT o.r, CASE WHEN w.total + o.n <= cap.c THEN w.total + o.n ELSE w.total END, w.total + o.n <= cap.c FROM w JOIN o ON o.r = w.r + 1, cap)
+ SELECT o.grp AS "group", o.n AS files, w.chosen FROM o JOIN w USING (r)""")
+def pick_groups(t):
+    """Folders that fit a budget of a third of all files, largest first, skipping what does not fit."""
+    third = t.modules.count() // 3
+    sizes = t.modules.groupBy(F.regexp_replace("path", "^([^/]*/[^/]*/[^/]*)/.*$", "$1").alias("group")).agg(F.count(F.lit(1)).alias("files"))
+    return scope.pick_groups(sizes, third)
