@@ -369,3 +369,32 @@ def confidence_caps(t):
     cap = relevance.confidence_cap(F.col("m"), F.coalesce("n", F.lit(0)), F.coalesce("r", F.lit(False)), F.lit(False))
     return dated.select("decision").join(sums, "decision", "left").withColumn("cap", cap).select(
         "decision", F.round("cap", 8).alias("cap"), relevance.confidence_label(F.col("cap")).alias("label"))
+
+
+FOUND_SQL = RANKED_SQL[:RANKED_SQL.index(",\n s AS")]
+
+
+def _change_decisions(t):
+    sized = t.commit_files.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.sum("added").alias("added"), F.count_distinct("path").alias("n_files"))
+    return sized.join(t.commits.select("hash", "k", "date", F.col("subject").alias("commit_subject")), "hash").select(
+        F.col("hash").alias("sha"), "date", "commit_subject",
+        F.when(F.col("k") % 3 == 0, "restructure").when(F.col("k") % 3 == 1, "dependency_change").otherwise("dependency_replace").alias("kind"),
+        F.format_string("Change of %d files", "n").alias("subject"), F.array().cast("array<string>").alias("packages")).withColumn(
+        "id", decisions.decision_id(F.col("sha"), F.col("kind"), F.col("subject")))
+
+
+@query("explain_decision", FOUND_SQL + f""", i AS (SELECT substr(sha1(d.sha || '|' || kind || '|' || d.subject), 1, 10) AS id, d.sha, kind, d.subject, d.date, c.subject AS commit_subject FROM d JOIN commits c ON c.hash = d.sha),
+ o AS (SELECT *, len(list_intersect(list_distinct({tokens_sql("'why was the urgent restructure change made'")}), {tokens_sql("subject || ' ' || commit_subject || ' ' || kind")})) AS overlap FROM i)
+ SELECT id, sha, kind, subject FROM o WHERE overlap > 0 ORDER BY overlap DESC, date, id LIMIT 1""")
+def explain_decision(t):
+    """The detected decision that shares most words with a question."""
+    return decisions.best_match(_change_decisions(t), "why was the urgent restructure change made").select("id", "sha", "kind", "subject")
+
+
+@query("list_decisions", FOUND_SQL + """ SELECT substr(sha1(sha || '|' || kind || '|' || subject), 1, 10) AS id, kind, subject AS detected,
+ CASE WHEN kind = 'restructure' THEN 'Record of ' || substr(sha, 1, 7) END AS title FROM d""")
+def list_decisions(t):
+    """Detected decisions with the title of their reconstructed record, where there is one."""
+    found = _change_decisions(t)
+    records = found.filter("kind = 'restructure'").select("id", F.concat(F.lit("Record of "), F.substring("sha", 1, 7)).alias("title"))
+    return found.join(records, "id", "left").select("id", "kind", F.col("subject").alias("detected"), "title")
