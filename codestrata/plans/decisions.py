@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codestrata.functions import paths, text
+from codestrata.functions import text
 from codestrata.operators import decisions, relevance
 from codestrata.plans.registry import query
-from codestrata.plans.tables import COMMITS_SQL, FILES_SQL, IMPORTS_SQL, MONTHS_SQL, SNAP_IMPORTS_SQL, hash_of, path_of, with_
+from codestrata.plans.tables import COMMITS_SQL, FILES_SQL, IMPORTS_SQL, MONTHS_SQL, hash_of, path_of, with_
 from codestrata.session import cut_lineage, global_index
 from codestrata.sources import manifests
 
