@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from codestrata.plans import catalog
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -15,14 +16,14 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - SLOW))
 def test_matches_sql(spark, duck, name):
     got = entry.queries()[name](spark, FOLDER).toPandas()
     assert compare(got, duck.execute(entry.oracle_sql()[name]).df()) == ""
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
 def test_entry_returns_rows(spark):
