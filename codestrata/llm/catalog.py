@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from codestrata.llm import op1_packing, op2_quality_rules, op3_sharding, op4_warc, op7_mixing, op8_tokens, op9_substrings, op10_minhash
+from codestrata.llm import (
+    op1_packing,
+    op2_quality_rules,
+    op3_sharding,
+    op4_warc,
+    op5_embeddings,
+    op6_classifier,
+    op7_mixing,
+    op8_tokens,
+    op9_substrings,
+    op10_minhash,
+)
 
 QUERIES = {
     "op1_packing": op1_packing.op1_packing,
     "op2_quality_rules": op2_quality_rules.op2_quality_rules,
     "op3_sharding": op3_sharding.op3_sharding,
     "op4_warc": op4_warc.op4_warc,
+    "op5_embeddings": op5_embeddings.op5_embeddings,
+    "op6_classifier": op6_classifier.op6_classifier,
     "op7_mixing": op7_mixing.op7_mixing,
     "op8_tokens": op8_tokens.op8_tokens,
     "op9_substrings": op9_substrings.op9_substrings,
@@ -17,6 +30,7 @@ QUERIES = {
 ORACLES = {
     "op2_quality_rules": op2_quality_rules.SQL.strip(),
     "op4_warc": op4_warc.SQL.strip(),
+    "op5_embeddings": op5_embeddings.SQL.strip(),
     "op7_mixing": op7_mixing.SQL.strip(),
     "op9_substrings": op9_substrings.SQL.strip(),
     "op10_minhash": op10_minhash.SQL.strip(),
