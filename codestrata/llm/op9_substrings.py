@@ -5,17 +5,22 @@ id, or the same document further up). Steps:
 
 1. Documents equal in text are one class; only the one with the smallest id goes on. A later copy of 20 words or more is
    covered by windows of the first and loses every word; a shorter one has no window.
-2. Documents are dealt into slices by a hash of the id. Each slice reports its anchors: 8-word phrases whose hash is the
-   least among the 13 phrases of some window. Equal windows have the same anchor, so a window that recurs holds an
-   anchor that recurs. Anchors are counted over all slices.
-3. Each slice confirms passages: windows that hold a recurring anchor are reported (128-bit hash, first place in the
-   slice, once per slice), and over all slices each hash seen twice keeps its first place.
-4. Each slice compiles the Aho-Corasick automaton of its confirmed windows, as sequences of word numbers, and streams
-   all its documents through it. Every occurrence but a window's first place covers its words.
-
-The automata are sharded by documents: a shard holds only windows that occur in its slice, so its memory follows the
-slice, every document is streamed once, and a passage shared by a third of all documents is one row per slice. Slices
-are ``SLICES_PER_PARTITION`` to a shuffle partition.
+2. Documents are dealt into slices by a hash of the id. Each slice reports its phrases: 8 words whose hash is the least
+   among the 13 of some window. Equal windows choose the same phrase, so a window that recurs holds a phrase that does.
+   Phrases are counted over all slices.
+3. Passages are confirmed: for each recurring phrase every slice reports the spans it stands in (the up to 32 words that
+   windows around it can reach), once per span with its first place. All but the first place of a span repeat it, and
+   so do all windows around the phrase there.
+4. Only where a phrase stands in several spans can windows of one span recur in another (the ends of passages). The
+   first place of each such span reports its windows; those that are not the first of their kind are repeats.
+5. Each slice compiles the Aho-Corasick automaton of its recurring phrases, as sequences of word numbers, and streams
+   all its documents through it to locate every occurrence. An occurrence that is not its span's first place, and every
+   window of step 4, covers its words.
+
+The automata are sharded by documents: a shard holds only phrases that occur in its slice, so its memory follows the
+slice, every document is streamed once, and a passage shared by a third of all documents is one row per slice. What is
+grouped by one phrase or window has at most a row per slice, or is an aggregate and a join that can be split. Slices are
+``SLICES_PER_PARTITION`` to a shuffle partition. Spans and windows are compared by 128 bits of hashes.
 
 Nulls and edge cases: a null or blank text has no words and comes back as it is. A null id orders last. Rows that repeat
 an id and its text are one document and share the result. Extra columns are carried by ``dedup`` unless they have an
@@ -33,18 +38,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codestrata.llm.common import partitions, table
-from codestrata.llm.shingles import NOTHING, Words, rolled, sliding
+from codestrata.llm.common import cut, partitions, table
+from codestrata.llm.shingles import NOTHING, Words, mixed, rolled, sliding
 
 WINDOW = 20
-ANCHOR = 8
-SPAN = WINDOW - ANCHOR + 1
+PHRASE = 8
+REACH = WINDOW - PHRASE + 1
+# an odd base and its inverse modulo 2^64
+BASE = np.uint64(0xD1342543DE82EF95)
+INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 SLICES_PER_PARTITION = 4
 LAST = (1 << 63) - 1
 
-# What a slice is told: kind 0, a later copy's id; kind 1, an anchor (h1); kind 2, a window (h1, h2), its first place in
-# the slice (id, start) and in all (first_id, first_start).
-TOLD = "_slice int, kind int, h1 long, h2 long, id long, start int, first_id long, first_start int"
+# What a slice is told. Kind 0: a later copy (id). 1: a recurring phrase (h1). 2: the first place (id, start) of a span
+# (h1, h2) in all slices; n is 1 if its phrase stands in other spans too. 3: a repeated window (id, start).
 
 
 def _sorted(docs: pa.Table) -> pa.Table:
@@ -58,21 +65,48 @@ def _without_copies(docs: pa.Table, told: pa.Table) -> tuple[pa.Table, np.ndarra
     return docs, pc.is_in(docs.column("_id"), value_set=copies.combine_chunks()).to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the anchors of all windows."""
+def _phrases(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the phrases that windows choose."""
     n = len(words.codes)
     if n < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     left = words.left()
-    phrases = np.full(n, NOTHING)
-    phrases[:n - ANCHOR + 1] = rolled(words.hashes(), ANCHOR)
-    phrases[left < ANCHOR] = NOTHING
-    least = sliding(phrases, SPAN, np.minimum)
+    hashes = np.full(n, NOTHING)
+    hashes[:n - PHRASE + 1] = rolled(words.hashes(), PHRASE)
+    hashes[left < PHRASE] = NOTHING
+    least = sliding(hashes, REACH, np.minimum)
     # only windows inside one text choose; a phrase is chosen if some window that begins up to 12 words earlier has it as its least
     least[left < WINDOW] = 0
-    chosen = sliding(np.concatenate([np.zeros(SPAN - 1, np.uint64), least]), SPAN, np.maximum)[:n]
-    at = np.flatnonzero((chosen == phrases) & (phrases != NOTHING))
-    return at, phrases[at]
+    chosen = sliding(np.concatenate([np.zeros(REACH - 1, np.uint64), least]), REACH, np.maximum)[:n]
+    at = np.flatnonzero((chosen == hashes) & (hashes != NOTHING))
+    return at, hashes[at]
+
+
+def _around(words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) place at which a window over the whole phrase at a place can begin."""
+    owner = words.owner[at]
+    return np.maximum(at - REACH + 1, words.starts[owner]), np.minimum(at, words.ends[owner] - WINDOW)
+
+
+class _Ranges:
+    """Hashes of any range of words: a polynomial over the words' own hashes, brought to the range's begin."""
+
+    def __init__(self, words: Words, seed: int):
+        hashes = words.hashes(seed)
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes), BASE)]).astype(np.uint64))
+            self.back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes), INVERSE)]).astype(np.uint64))
+            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * powers[:-1], dtype=np.uint64)])
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[begin]) * self.back[begin]
+
+
+def _spans(words: Words, at: np.ndarray, ranges: _Ranges) -> np.ndarray:
+    """The hash of the words that windows around each phrase reach, and of the phrase's place among them."""
+    begin, last = _around(words, at)
+    end = last + WINDOW
+    return mixed(ranges.of(begin, end), ((at - begin) * 64 + (end - begin)).astype(np.uint64))
 
 
 def _texts(docs: pa.Table, copies: np.ndarray) -> pa.Array:
@@ -81,84 +115,117 @@ def _texts(docs: pa.Table, copies: np.ndarray) -> pa.Array:
     return pc.if_else(pa.array(copies), pa.scalar("", texts.type), texts) if copies.any() else texts
 
 
-def _report_anchors(docs: pa.Table, told: pa.Table) -> pa.Table:
+def _report_phrases(docs: pa.Table, told: pa.Table) -> pa.Table:
     schema = pa.schema([("_slice", pa.int32()), ("h1", pa.int64()), ("n", pa.int32())])
     if not docs.num_rows:
         return schema.empty_table()
     rows, copies = _without_copies(docs, told)
-    _, hashes = _anchors(Words(_texts(rows, copies)))
+    _, hashes = _phrases(Words(_texts(rows, copies)))
     kinds, n = np.unique(hashes, return_counts=True)
-    number = docs.column("_slice")[0].as_py()
-    return pa.table([pa.array(np.full(len(kinds), number), pa.int32()), pa.array(kinds.view(np.int64)), pa.array(np.minimum(n, 2), pa.int32())], schema=schema)
+    return pa.table([_number(docs, len(kinds)), pa.array(kinds.view(np.int64)), pa.array(np.minimum(n, 2), pa.int32())], schema=schema)
+
+
+PLACES = pa.schema([("_slice", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("start", pa.int32())])
+
+
+def _number(docs: pa.Table, rows: int) -> pa.Array:
+    return pa.array(np.full(rows, docs.column("_slice")[0].as_py(), np.int32))
+
+
+def _located(docs: pa.Table, rows: pa.Table, words: Words, h1: np.ndarray, h2: np.ndarray, at: np.ndarray) -> pa.Table:
+    owner = words.owner[at]
+    return pa.table([_number(docs, len(at)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(rows.column("_id").to_numpy()[owner]),
+                     pa.array((at - words.starts[owner]).astype(np.int32))], schema=PLACES)
+
+
+def _of_kind(told: pa.Table, kind: int) -> pa.Table:
+    return told.filter(pc.equal(told.column("kind"), kind))
+
+
+def _report_spans(docs: pa.Table, told: pa.Table) -> pa.Table:
+    """The first place in the slice of every span of a recurring phrase."""
+    known = _of_kind(told, 1).column("h1").to_numpy().view(np.uint64)
+    if not docs.num_rows or not len(known):
+        return PLACES.empty_table()
+    rows, copies = _without_copies(docs, told)
+    words = Words(_texts(rows, copies))
+    at, phrases = _phrases(words)
+    again = np.isin(phrases, known)
+    at, phrases = at[again], phrases[again]
+    spans = _spans(words, at, _Ranges(words, 1))
+    order = np.lexsort((at, spans, phrases))
+    at, phrases, spans = at[order], phrases[order], spans[order]
+    first = np.concatenate([[True], (phrases[1:] != phrases[:-1]) | (spans[1:] != spans[:-1])]) if len(at) else np.zeros(0, bool)
+    return _located(docs, rows, words, phrases[first], spans[first], at[first])
+
+
+def _places(words: Words, ids: np.ndarray, told: pa.Table) -> np.ndarray:
+    """Word places of (id, start) rows; -1 for those of other slices."""
+    wanted = told.column("id").to_numpy()
+    row = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
+    return np.where(ids[row] == wanted, words.starts[row] + told.column("start").to_numpy(), -1)
 
 
 def _report_windows(docs: pa.Table, told: pa.Table) -> pa.Table:
-    schema = pa.schema([("_slice", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
-    if not docs.num_rows:
-        return schema.empty_table()
+    """The windows around the first places, as far as they lie in this slice, of spans whose phrase stands in others too."""
+    spans = _of_kind(told, 2)
+    spans = spans.filter(pc.equal(spans.column("n"), 1))
+    if not docs.num_rows or not spans.num_rows:
+        return PLACES.empty_table()
     rows, copies = _without_copies(docs, told)
     words = Words(_texts(rows, copies))
-    at, hashes = _anchors(words)
-    known = told.filter(pc.equal(told.column("kind"), 1)).column("h1").to_numpy().view(np.uint64)
-    at = at[np.isin(hashes, known)]
-    if not len(at):
-        return schema.empty_table()
-    n = len(words.codes)
-    near = np.zeros(n + 1, np.int64)
-    np.add.at(near, np.maximum(at - SPAN + 1, 0), 1)
-    np.add.at(near, at + 1, -1)
-    places = np.flatnonzero((np.cumsum(near[:-1]) > 0) & (words.left() >= WINDOW))
-    if not len(places):
-        return schema.empty_table()
-    h1 = rolled(words.hashes(1), WINDOW)[places]
-    h2 = rolled(words.hashes(2), WINDOW)[places]
-    order = np.lexsort((places, h2, h1))
-    h1, h2, places = h1[order], h2[order], places[order]
-    first = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]))
-    count = np.diff(np.append(first, len(h1)))
-    h1, h2, places = h1[first], h2[first], places[first]
-    owner = words.owner[places]
-    ids = rows.column("_id").to_numpy()[owner]
-    number = docs.column("_slice")[0].as_py()
-    return pa.table([pa.array(np.full(len(h1), number), pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids),
-                     pa.array((places - words.starts[owner]).astype(np.int32)), pa.array(np.minimum(count, 2), pa.int32())], schema=schema)
-
-
-def _automaton(words: Words, ids: np.ndarray, windows: pa.Table) -> tuple[ahocorasick.Automaton | None, np.ndarray]:
-    """The automaton of the slice's confirmed windows and, by its values, the word place in this slice of each window's
-    very first occurrence (-1 where that lies in another slice)."""
-    if not windows.num_rows:
-        return None, np.zeros(0, np.int64)
-    row = np.searchsorted(ids, windows.column("id").to_numpy())
-    place = words.starts[row] + windows.column("start").to_numpy()
-    first_id, first_start = windows.column("first_id").to_numpy(), windows.column("first_start").to_numpy()
-    first_row = np.minimum(np.searchsorted(ids, first_id), len(ids) - 1)
-    first = np.where(ids[first_row] == first_id, words.starts[first_row] + first_start, -1)
+    at = _places(words, rows.column("_id").to_numpy(), spans)
+    begin, last = _around(words, at[at >= 0])
+    edges = np.zeros(len(words.codes) + 1, np.int64)
+    np.add.at(edges, begin, 1)
+    np.add.at(edges, last + 1, -1)
+    found = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
+    return _located(docs, rows, words, _Ranges(words, 1).of(found, found + WINDOW), _Ranges(words, 2).of(found, found + WINDOW), found)
+
+
+def _automaton(words: Words, known: np.ndarray) -> ahocorasick.Automaton | None:
+    """The automaton of the slice's recurring phrases; its values are their hashes' numbers in ``known``."""
+    at, phrases = _phrases(words)
+    again = np.flatnonzero(np.isin(phrases, known))
+    if not len(again):
+        return None
+    kinds, one = np.unique(phrases[again], return_index=True)
+    number = np.searchsorted(known, kinds)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
     codes = words.codes.tolist()
-    for value, p in enumerate(place.tolist()):
-        automaton.add_word(tuple(codes[p:p + WINDOW]), value)
+    for value, p in zip(number.tolist(), at[again[one]].tolist(), strict=True):
+        automaton.add_word(tuple(codes[p:p + PHRASE]), value)
     automaton.make_automaton()
-    return automaton, first
-
-
-def _covered(words: Words, automaton, first: np.ndarray) -> np.ndarray:
-    """Which words an occurrence covers that is not its window's first."""
-    n = len(words.codes)
-    edges = np.zeros(n + 1, np.int64)
-    if automaton is None:
-        return edges[:-1] > 0
-    codes = words.codes.tolist()
-    for start, end in zip(words.starts.tolist(), words.ends.tolist(), strict=True):
-        if end - start < WINDOW:
-            continue
-        found = list(automaton.iter(tuple(codes[start:end])))
-        if found:
-            hits = np.array(found, dtype=np.int64)
-            places = hits[:, 0] + (start - WINDOW + 1)
-            places = places[places != first[hits[:, 1]]]
-            np.add.at(edges, places, 1)
-            np.add.at(edges, places + WINDOW, -1)
+    return automaton
+
+
+def _covered(words: Words, ids: np.ndarray, told: pa.Table) -> np.ndarray:
+    """Which words a repeated window covers."""
+    edges = np.zeros(len(words.codes) + 1, np.int64)
+    spans = _of_kind(told, 2)
+    known = np.unique(spans.column("h1").to_numpy().view(np.uint64))
+    automaton = _automaton(words, known) if len(known) else None
+    if automaton is not None:
+        found, values = [], []
+        for start, end in zip(words.starts.tolist(), words.ends.tolist(), strict=True):
+            if end - start >= WINDOW:
+                for last, value in automaton.iter(tuple(words.codes[start:end].tolist())):
+                    found.append(start + last - PHRASE + 1)
+                    values.append(value)
+        at, phrases = np.array(found, np.int64), known[np.array(values, np.int64)]
+        # an occurrence belongs to the span it stands in; its first place in all slices was told
+        key = mixed(phrases, _spans(words, at, _Ranges(words, 1)))
+        told_key = mixed(spans.column("h1").to_numpy().view(np.uint64), spans.column("h2").to_numpy().view(np.uint64))
+        order = np.argsort(told_key)
+        told_key, first = told_key[order], _places(words, ids, spans)[order]
+        row = np.minimum(np.searchsorted(told_key, key), len(told_key) - 1)
+        again = (told_key[row] == key) & (first[row] != at)
+        begin, last = _around(words, at[again])
+        np.add.at(edges, begin, 1)
+        np.add.at(edges, last + WINDOW, -1)
+    repeats = _places(words, ids, _of_kind(told, 3))
+    np.add.at(edges, repeats, 1)
+    np.add.at(edges, repeats + WINDOW, -1)
     return np.cumsum(edges[:-1]) > 0
 
 
@@ -168,8 +235,7 @@ def _remove(carried: list[str], want_text: bool, schema: pa.Schema):
             return schema.empty_table()
         rows, copies = _without_copies(docs, told)
         words = Words(rows.column("text"))
-        automaton, first = _automaton(words, rows.column("_id").to_numpy(), told.filter(pc.equal(told.column("kind"), 2)))
-        gone = _covered(words, automaton, first)
+        gone = _covered(words, rows.column("_id").to_numpy(), told)
         gone |= (copies & (words.counts >= WINDOW))[words.owner]
         n_removed = np.bincount(words.owner[gone], minlength=rows.num_rows).astype(np.int64)
         kept = np.concatenate([[0], np.cumsum(words.counts - n_removed)])
@@ -206,30 +272,40 @@ def dedup(docs: DataFrame, want_text: bool = True) -> DataFrame:
     copies = marks.join(many, "mark").where("_id > least").select("_id").distinct()
     zero, nothing = F.lit(0), F.lit(0).cast("long")
 
-    def told(rows: DataFrame, kind: int, h1=nothing, h2=nothing, id_=nothing, start=zero, first_id=nothing, first_start=zero, at=None) -> DataFrame:
-        return rows.select((F.col("_slice") if at is None else at).alias("_slice"), F.lit(kind).alias("kind"), h1.alias("h1"), h2.alias("h2"),
-                           id_.alias("id"), start.alias("start"), first_id.alias("first_id"), first_start.alias("first_start"))
+    def told(rows: DataFrame, kind: int, at=None, **columns) -> DataFrame:
+        """Rows of what slices are told; columns not given are 0."""
+        empty = {"h1": nothing, "h2": nothing, "id": nothing, "start": zero, "n": zero}
+        return rows.select((F.col("_slice") if at is None else at).alias("_slice"), F.lit(kind).alias("kind"),
+                           *[columns.get(c, default).alias(c) for c, default in empty.items()])
 
-    flags = told(copies, 0, id_=F.col("_id"), at=slice_of("_id"))
+    flags = told(copies, 0, at=slice_of("_id"), id=F.col("_id"))
 
     def cogrouped(other: DataFrame, run, schema: str | T.StructType) -> DataFrame:
         return parts.cogroup(other.groupBy("_slice")).applyInArrow(run, schema)
 
-    anchors = cogrouped(flags, _report_anchors, "_slice int, h1 long, n int")
-    again = anchors.withColumn("n", F.sum("n").over(Window.partitionBy("h1"))).where("n > 1")
-    windows = cogrouped(flags.unionByName(told(again, 1, h1=F.col("h1"))), _report_windows,
-                        "_slice int, h1 long, h2 long, id long, start int, n int")
+    h1, h2, id_, start = (F.col(c) for c in ("h1", "h2", "id", "start"))
+    # a phrase has one row per slice here
+    phrases = cogrouped(flags, _report_phrases, "_slice int, h1 long, n int")
+    again = phrases.withColumn("n", F.sum("n").over(Window.partitionBy("h1"))).where("n > 1")
+    place = "_slice int, h1 long, h2 long, id long, start int"
+    spans = cut(cogrouped(flags.unionByName(told(again, 1, h1=h1)), _report_spans, place))
+    # a span has one row per slice; a phrase may stand in any number of spans, so those are only aggregated
     whole = Window.partitionBy("h1", "h2").orderBy("id", "start").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    passages = windows.select("_slice", "h1", "h2", "id", "start", F.sum("n").over(whole).alias("n"),
-                              F.first("id").over(whole).alias("first_id"), F.first("start").over(whole).alias("first_start")).where("n > 1")
-    confirmed = told(passages, 2, h1=F.col("h1"), h2=F.col("h2"), id_=F.col("id"), start=F.col("start"),
-                     first_id=F.col("first_id"), first_start=F.col("first_start"))
+    mixed_phrases = spans.groupBy(h1.alias("_h")).agg(F.min("h2").alias("_least"), F.max("h2").alias("_most")).where("_least < _most")
+    firsts = spans.select("_slice", "h1", "h2", F.first("id").over(whole).alias("id"), F.first("start").over(whole).alias("start"))
+    firsts = cut(firsts.join(mixed_phrases.select("_h"), h1 == F.col("_h"), "left").withColumn("n", F.col("_h").isNotNull().cast("int")))
+    known = told(firsts, 2, h1=h1, h2=h2, id=id_, start=start, n=F.col("n"))
+    windows = cut(cogrouped(flags.unionByName(known.where("n = 1")), _report_windows, place))
+    # a window can stand in any number of spans: its first place is an aggregate, met by a join that can be split
+    opening = windows.groupBy(h1.alias("_h1"), h2.alias("_h2")).agg(F.min(F.struct("id", "start")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    repeats = windows.join(opening, (h1 == F.col("_h1")) & (h2 == F.col("_h2"))).where(F.struct("id", "start") != F.col("_first"))
+    told_all = flags.unionByName(known).unionByName(told(repeats, 3, id=id_, start=start))
     kinds = {f.name: f.dataType for f in docs.schema}
     schema = T.StructType([T.StructField(c, kinds[c]) for c in carried]
                           + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(last, T.StringType())])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return cogrouped(flags.unionByName(confirmed), _remove(carried, want_text, to_arrow_schema(schema)), schema)
+    return cogrouped(told_all, _remove(carried, want_text, to_arrow_schema(schema)), schema)
 
 
 def op9_substrings(spark: SparkSession, folder: str) -> DataFrame:
