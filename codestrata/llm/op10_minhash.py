@@ -1,11 +1,11 @@
 """MinHash near-dedup by chosen-path set similarity joins.
 
 Sets are the distinct word shingles of a text. Equal sets are one class (one row from here on). Every class has a
-signature of ``POSITIONS`` minhash values. A tree branches: at a node one or more positions of the signature are chosen
-by a hash of the node, and members that agree on a chosen position's value meet in a child. Two sets of similarity J
-agree on a position with probability J. ``TREES`` trees grow side by side from chosen first positions (a pair at 0.85
-shares none of ten with probability 6e-9), and every later node chooses ``BRANCHES`` positions (a pair loses such a node
-with probability 0.02, but lives in many).
+signature of ``POSITIONS`` minhash values, its selected tokens. Trees grow side by side, one from each of ``TREES``
+chosen positions; at a node ``BRANCHES`` paths go on, each by ``STEP`` positions chosen by a hash of the node, and
+members that agree on all of a path's values meet in a child. Two sets of similarity J agree on a position with
+probability J, so a pair at 0.85 begins in ten trees with all but probability 6e-9, and of a pair in a tree at least one
+path goes on for ever with probability 0.92 (ten trees: all but 1e-10), while unlike sets part in a few levels.
 
 Per level:
 * members of a node that are already connected need no comparison. A node in one component is finished; one whose
@@ -41,9 +41,8 @@ from codestrata.llm.shingles import Words, rolled
 SHINGLE = 3
 PERCENT = 85
 POSITIONS = 128
-TREES = 8
-FIRST = 10            # first positions, over all trees
-BRANCHES = 2
+TREES = 10
+BRANCHES, STEP = 3, 3
 SMALL = 32
 DEEPEST = 12
 SLACK = 0.14          # the estimate may lie this far below the threshold: over four standard deviations
@@ -151,7 +150,7 @@ def _confirmed(percent: int):
 
 def _value(signature: str, position) -> Column:
     """The four bytes of a signature's position."""
-    return F.expr(f"substring({signature}, 4 * ({position}) + 1, 4)")
+    return F.expr(f"substring({signature}, cast(4 * ({position}) + 1 as int), 4)")
 
 
 class _Join:
@@ -194,15 +193,14 @@ class _Join:
 
     def run(self) -> DataFrame | None:
         """(id, component) of all linked classes, or None."""
-        firsts = [(i % TREES, int(p)) for i, p in enumerate(np.random.Generator(np.random.PCG64(7)).permutation(POSITIONS)[:FIRST])]
-        roots = F.explode(F.array(*[F.xxhash64(F.lit(t), F.lit(p), _value("signature", p)) for t, p in firsts]))
+        firsts = np.random.Generator(np.random.PCG64(7)).permutation(POSITIONS)[:TREES].tolist()
+        roots = F.explode(F.array(*[F.xxhash64(F.lit(p), _value("signature", p)) for p in firsts]))
         members = self.classes.select("id", "n", roots.alias("node"))
         level = 1
         while True:
             # nodes of one member end here
             sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-            members = cut(members.join(sizes.select("node"), "node", "left_semi"))
-            placed = self.component(members, "id", "component")
+            placed = cut(self.component(members.join(sizes.select("node"), "node", "left_semi"), "id", "component"))
             each = placed.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c"))
             nodes = cut(each.groupBy("node").agg(F.sum("c").alias("size"), F.max("c").alias("most"), F.max_by("component", "c").alias("main"))
                         .where("most < size"))
@@ -213,20 +211,20 @@ class _Join:
             outside = rows.join(nodes.where(small).select("node", "main"), "node").where("component <> main").select(
                 "node", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
             large = nodes.where(~small).select("node")
-            in_large = members.join(large, "node", "left_semi")
-            pivots = in_large.groupBy("node").agg(F.min_by(F.struct("id", "n"), F.xxhash64("node", "id")).alias("p")).select(
-                "node", F.col("p.id").alias("x"), F.col("p.n").alias("nx"))
-            pivots = self.component(pivots, "x", "cx").select("node", "x", "nx", "cx")
+            in_large = rows.join(large, "node", "left_semi")
+            order = F.xxhash64("node", "id")
+            pivots = in_large.groupBy("node").agg(*[F.min_by(c, order).alias(x) for c, x in (("id", "x"), ("n", "nx"), ("component", "cx"))])
             other = outside.unionByName(pivots)
             similar = 100 * F.least("n", "nx") >= self.percent * F.greatest("n", "nx")
             pairs = rows.join(other, "node").where(similar & (F.col("component") != F.col("cx"))).select(
                 F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
             self.confirm(pairs)
             # nodes that a new link has not finished branch
-            choices = [F.pmod(F.xxhash64("node", F.lit(i)), F.lit(POSITIONS)).cast("int").alias(f"p{i}") for i in range(BRANCHES)]
-            children = F.array(*[F.xxhash64("node", F.lit(i), _value("signature", f"p{i}")) for i in range(BRANCHES)])
-            members = in_large.join(self.classes.select("id", "signature"), "id").select("id", "n", "node", "signature", *choices).select(
-                "id", "n", F.explode(children).alias("node"))
+            paths = []
+            for i in range(BRANCHES):
+                steps = [_value("signature", f"pmod(xxhash64(node, {i}, {j}), {POSITIONS})") for j in range(STEP)]
+                paths.append(F.xxhash64("node", F.lit(i), *steps))
+            members = in_large.join(self.classes.select("id", "signature"), "id").select("id", "n", F.explode(F.array(*paths)).alias("node"))
             level += 1
 
 
