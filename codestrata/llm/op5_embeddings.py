@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -42,7 +41,6 @@ SEED = 11
 LAST = (1 << 63) - 1
 
 
-@lru_cache(maxsize=8)
 def code(length: int, words: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
     """The rotation and, for each part, its codewords (unit rows)."""
     rng = np.random.Generator(np.random.PCG64([SEED, length, words]))
@@ -61,10 +59,11 @@ def plan(largest_label: int) -> tuple[int, float]:
     return words, min(0.5, FILTERS / float(words) ** PARTS)
 
 
-def decode(vectors: np.ndarray, words: int, share: float) -> list[np.ndarray]:
-    """For each unit vector (row), the sorted numbers of all directions whose inner product reaches the cap."""
+def decode(vectors: np.ndarray, words: int, share: float, codes: dict) -> list[np.ndarray]:
+    """For each unit vector (row), the sorted numbers of all directions whose inner product reaches the cap;
+    ``codes`` keeps the code of each length."""
     length = vectors.shape[1]
-    rotation, books = code(length, words)
+    rotation, books = codes[length] if length in codes else codes.setdefault(length, code(length, words))
     turned = vectors @ rotation
     cuts = np.array_split(np.arange(length), PARTS)
     scores = [turned[:, cut_] @ book.T if len(cut_) else np.zeros((len(vectors), words)) for cut_, book in zip(cuts, books, strict=True)]
@@ -118,6 +117,7 @@ def _unit(vectors: list[bytes]) -> np.ndarray:
 
 def _decoded(words: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
@@ -126,7 +126,7 @@ def _decoded(words: int, share: float):
                 for i, v in enumerate(raw):
                     by_length.setdefault(len(v), []).append(i)
                 for rows in by_length.values():
-                    for i, f in zip(rows, decode(_unit([raw[i] for i in rows]), words, share), strict=True):
+                    for i, f in zip(rows, decode(_unit([raw[i] for i in rows]), words, share, codes), strict=True):
                         filters[i] = f
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "label", "length", "n", "vector")], pa.array(filters, pa.list_(pa.int64()))],
                                                  names=["id", "label", "length", "n", "vector", "filters"])
