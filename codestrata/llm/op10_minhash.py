@@ -8,18 +8,19 @@ probability J, so a pair at 0.85 begins in ten trees with all but probability 6e
 path goes on for ever with probability 0.92 (ten trees: all but 1e-10), while unlike sets part in a few levels.
 
 Per level:
-* members of a node that are already connected need no comparison. A node in one component is finished; one whose
-  members outside its largest component number at most ``SMALL`` is compared exhaustively, those against all members
-  of other components; every other node compares all members with one pivot and branches.
-* candidate pairs are cut by set sizes (no pair of similarity s has a size ratio below s) and by the signature's
-  estimate, far below the threshold, then confirmed on the full sets, which are built again from the texts of the
-  candidates only. Confirmed links extend the components.
+* members of a node that are already connected need no comparison, and a node in one component is finished.
+* a node of at most ``SMALL`` members is compared exhaustively inside a task: signatures first (agreement far below the
+  threshold already suffices), then the full sets of the clusters that leaves, by one product of their membership
+  matrix. What leaves a task is an edge per member, never the pairs.
+* a larger node compares its members with one pivot and branches. If all but ``FEW`` of its members are connected, those
+  few are compared with all and the node is finished.
+* links confirmed on full sets extend the components. Full sets are built again from the texts of candidates only.
 Levels go on until no node is left, so no bucket is capped: from level ``DEEPEST`` on, nodes that still would not split
-are compared exhaustively whatever their size.
+are compared exhaustively whatever their size. The trees grow in ``BATCHES``: the first ones find most links, which end
+most nodes of the others.
 
-A node of any size is only rows: sizes, pivots and components are aggregates, a pivot meets members in a join that can
-be split, and no node is collected into one task. Group sizes never multiply with themselves: a group of near copies
-becomes one component through its pivots, which ends its nodes.
+A large node is only rows: sizes, pivots and components are aggregates, a pivot meets members in a join that can be
+split. A group of near copies becomes one component through its pivots, which ends its nodes.
 
 Nulls and edge cases: a null or blank text has no set, links with nothing and is kept; a text of fewer than three words
 has its whole sequence as its one shingle; a null id orders after all others and its component, if its own, is null.
@@ -43,9 +44,11 @@ PERCENT = 85
 POSITIONS = 128
 TREES = 10
 BRANCHES, STEP = 3, 3
-SMALL = 32
+BATCHES = (2, 8)
+SMALL, FEW = 1024, 32
 DEEPEST = 12
-SLACK = 0.14          # the estimate may lie this far below the threshold: over four standard deviations
+UNIT_BYTES = 8 << 20  # of member data in one task's call
+SLACK = 0.126         # the estimate may lie this far below the threshold: four standard deviations
 BROADCAST_ROWS = 500_000
 LAST = (1 << 63) - 1
 
@@ -148,6 +151,93 @@ def _confirmed(percent: int):
     return run
 
 
+def _roots(near: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric relation the smallest row it reaches."""
+    roots = np.arange(len(near))
+    reach = near | np.eye(len(near), dtype=bool)
+    while True:
+        smaller = np.where(reach, roots[None, :], len(near)).min(axis=1)
+        smaller = smaller[smaller]
+        if (smaller == roots).all():
+            return roots
+        roots = smaller
+
+
+def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(begin, end) of runs of equal rows."""
+    if len(columns[0]):
+        new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0), [True]])
+        at = np.flatnonzero(new).tolist()
+        yield from zip(at, at[1:], strict=False)
+
+
+def _clusters(least: float, percent: int):
+    """Members of small nodes in clusters of agreeing signatures that hold more than one component."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("node", "ascending"), ("id", "ascending")])
+        node, ids, n, component = (rows.column(c).to_numpy() for c in ("node", "id", "n", "component"))
+        marks = rows.column("signature")
+        clusters, members, known = [], [], []
+        for a, b in _runs(node):
+            signatures = np.frombuffer(b"".join(marks.slice(a, b - a).to_pylist()), np.uint32).reshape(b - a, POSITIONS)
+            near = np.zeros((b - a, b - a), bool)
+            for i in range(b - a):
+                near[i] = (signatures == signatures[i]).sum(axis=1) >= least * POSITIONS
+            size = n[a:b]
+            near &= 100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :])
+            roots = _roots(near)
+            for root in np.unique(roots).tolist():
+                inside = np.flatnonzero(roots == root)
+                if len(inside) > 1 and len(np.unique(component[a:b][inside])) > 1:
+                    name = _named(ids[a:b][inside])  # equal clusters of different nodes have one name
+                    clusters += [name] * len(inside)
+                    members += ids[a:b][inside].tolist()
+                    known += component[a:b][inside].tolist()
+        return pa.table([pa.array(clusters, pa.int64()), pa.array(members, pa.int64()), pa.array(known, pa.int64())], names=["cluster", "id", "component"])
+
+    return run
+
+
+def _named(ids: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(ids.tobytes()) - (1 << 63)
+
+
+def _linked(percent: int):
+    """(a, b) edges that connect the members of each cluster as far as their full sets link them."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("cluster", "ascending"), ("id", "ascending")])
+        cluster, ids = (rows.column(c).to_numpy() for c in ("cluster", "id"))
+        sets = rows.column("shingles")
+        out_a, out_b = [], []
+        for a, b in _runs(cluster):
+            raw = [np.frombuffer(x, np.uint64) for x in sets.slice(a, b - a).to_pylist()]
+            size = np.array([len(x) for x in raw], np.int64)
+            kinds, code, count = np.unique(np.concatenate(raw), return_inverse=True, return_counts=True)
+            shared = np.flatnonzero(count > 1)  # what one member has alone links nothing
+            column = np.full(len(kinds), -1, np.int64)
+            column[shared] = np.arange(len(shared))
+            code, owner = column[code], np.repeat(np.arange(b - a), size)
+            owner, code = owner[code >= 0], code[code >= 0]
+            both = np.zeros((b - a, b - a), np.float32)
+            for low in range(0, len(shared), 4096):
+                here = (code >= low) & (code < low + 4096)
+                part = np.zeros((b - a, min(4096, len(shared) - low)), np.float32)
+                part[owner[here], code[here] - low] = 1
+                both += part @ part.T
+            both = both.astype(np.int64)
+            roots = _roots(100 * both >= percent * (size[:, None] + size[None, :] - both))
+            far = np.flatnonzero(roots != np.arange(b - a))
+            out_a += ids[a:b][roots[far]].tolist()
+            out_b += ids[a:b][far].tolist()
+        return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _value(signature: str, position) -> Column:
     """The four bytes of a signature's position."""
     return F.expr(f"substring({signature}, cast(4 * ({position}) + 1 as int), 4)")
@@ -168,33 +258,59 @@ class _Join:
         known = self.labels.select(F.col("id").alias("_id"), F.col("component").alias("_component"))
         return rows.join(known, F.col(id_) == F.col("_id"), "left").withColumn(name, F.coalesce("_component", id_)).drop("_id", "_component")
 
-    def confirm(self, pairs: DataFrame) -> bool:
-        """Checks candidate pairs (a < b, not connected yet) and adds the links; True if there are new ones."""
-        signatures = self.classes.select("id", "signature")
-        near = cut(pairs.join(signatures.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a")
-                   .join(signatures.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, shingles) of the named ids, from their texts; ids are sent to the scan while they are few, else joined by
+        a shuffle."""
+        few = ids.count() <= BROADCAST_ROWS
+        wanted = self.texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+        return cut(wanted.dropDuplicates(["id"]).select("id", "text").mapInArrow(_sets(self.k), "id long, shingles binary"))
+
+    def pairs(self, pairs: DataFrame) -> DataFrame | None:
+        """Links among candidate pairs (a < b)."""
+        marks = self.classes.select("id", "signature")
+        near = cut(pairs.join(marks.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a")
+                   .join(marks.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
                    .select("a", "b", "sa", "sb").mapInArrow(_estimated(self.percent / 100 - SLACK), "a long, b long"))
-        ids = cut(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
-        n = ids.count()
-        if not n:
-            return False
-        # texts of candidates only; ids are sent to the scan while they are few, else joined by a shuffle
-        wanted = self.texts.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "id", "left_semi")
-        sets = cut(wanted.dropDuplicates(["id"]).select("id", "text").mapInArrow(_sets(self.k), "id long, shingles binary"))
-        links = cut(near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a")
-                    .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
-                    .select("a", "b", "xa", "xb").mapInArrow(_confirmed(self.percent), "a long, b long"))
-        if links.isEmpty():
-            return False
-        # each level's links are few next to the documents
-        self.links = links if self.links is None else self.links.unionByName(links)
-        self.labels = components(self.links)
-        return True
+        if near.isEmpty():
+            return None
+        sets = self.sets(cut(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()))
+        return cut(near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a")
+                   .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
+                   .select("a", "b", "xa", "xb").mapInArrow(_confirmed(self.percent), "a long, b long"))
+
+    def exhaustive(self, rows: DataFrame, count: int) -> DataFrame | None:
+        """Links inside small nodes, ``rows`` (node, id, n, component); edges that connect what is linked."""
+        tasks = max(1, -(-count * 4 * POSITIONS // UNIT_BYTES))
+        loaded = rows.join(self.classes.select("id", "signature"), "id").withColumn("_task", F.pmod(F.xxhash64("node"), F.lit(tasks)))
+        clusters = cut(loaded.groupBy("_task").applyInArrow(_clusters(self.percent / 100 - SLACK, self.percent), "cluster long, id long, component long").distinct())
+        count = clusters.count()
+        if not count:
+            return None
+        sets = self.sets(cut(clusters.select("id").distinct()))
+        size = sets.agg(F.avg(F.octet_length("shingles"))).first()[0]
+        tasks = max(1, int(count * size // UNIT_BYTES) + 1)
+        loaded = clusters.select("cluster", "id").join(sets, "id").withColumn("_task", F.pmod(F.xxhash64("cluster"), F.lit(tasks)))
+        return cut(loaded.groupBy("_task").applyInArrow(_linked(self.percent), "a long, b long").distinct())
+
+    def add(self, found: list[DataFrame | None]) -> None:
+        """Extends links and components."""
+        new = [f for f in found if f is not None and not f.isEmpty()]
+        if new:
+            for f in new:
+                self.links = f if self.links is None else self.links.unionByName(f)
+            self.labels = components(self.links)
 
     def run(self) -> DataFrame | None:
         """(id, component) of all linked classes, or None."""
-        firsts = np.random.Generator(np.random.PCG64(7)).permutation(POSITIONS)[:TREES].tolist()
-        roots = F.explode(F.array(*[F.xxhash64(F.lit(p), _value("signature", p)) for p in firsts]))
+        positions = np.random.Generator(np.random.PCG64(7)).permutation(POSITIONS)[:TREES].tolist()
+        for size in BATCHES:
+            self.grow(positions[:size])
+            positions = positions[size:]
+        return self.labels
+
+    def grow(self, positions: list[int]) -> None:
+        """All levels of the trees that begin at the given positions."""
+        roots = F.explode(F.array(*[F.xxhash64(F.lit(p), _value("signature", p)) for p in positions]))
         members = self.classes.select("id", "n", roots.alias("node"))
         level = 1
         while True:
@@ -204,27 +320,29 @@ class _Join:
             each = placed.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c"))
             nodes = cut(each.groupBy("node").agg(F.sum("c").alias("size"), F.max("c").alias("most"), F.max_by("component", "c").alias("main"))
                         .where("most < size"))
-            if nodes.isEmpty():
-                return self.labels
-            small = F.lit(level >= DEEPEST) | (F.col("size") - F.col("most") <= SMALL)
+            small = F.col("size") <= SMALL
+            inside = nodes.agg(F.sum(F.when(small, F.col("size"))), F.sum(F.when(~small, F.col("size")))).first()
             rows = placed.select("node", "id", "n", "component")
-            outside = rows.join(nodes.where(small).select("node", "main"), "node").where("component <> main").select(
+            found = [self.exhaustive(rows.join(nodes.where(small).select("node"), "node", "left_semi"), inside[0])] if inside[0] else []
+            if not inside[1]:
+                self.add(found)
+                return
+            large = nodes.where(~small)
+            few = F.lit(level >= DEEPEST) | (F.col("size") - F.col("most") <= FEW)
+            outside = rows.join(large.where(few).select("node", "main"), "node").where("component <> main").select(
                 "node", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-            large = nodes.where(~small).select("node")
-            in_large = rows.join(large, "node", "left_semi")
+            branching = rows.join(large.where(~few).select("node"), "node", "left_semi")
             order = F.xxhash64("node", "id")
-            pivots = in_large.groupBy("node").agg(*[F.min_by(c, order).alias(x) for c, x in (("id", "x"), ("n", "nx"), ("component", "cx"))])
-            other = outside.unionByName(pivots)
+            pivots = branching.groupBy("node").agg(*[F.min_by(c, order).alias(x) for c, x in (("id", "x"), ("n", "nx"), ("component", "cx"))])
             similar = 100 * F.least("n", "nx") >= self.percent * F.greatest("n", "nx")
-            pairs = rows.join(other, "node").where(similar & (F.col("component") != F.col("cx"))).select(
+            pairs = rows.join(outside.unionByName(pivots), "node").where(similar & (F.col("component") != F.col("cx"))).select(
                 F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-            self.confirm(pairs)
-            # nodes that a new link has not finished branch
+            self.add([*found, self.pairs(pairs)])
             paths = []
             for i in range(BRANCHES):
                 steps = [_value("signature", f"pmod(xxhash64(node, {i}, {j}), {POSITIONS})") for j in range(STEP)]
                 paths.append(F.xxhash64("node", F.lit(i), *steps))
-            members = in_large.join(self.classes.select("id", "signature"), "id").select("id", "n", F.explode(F.array(*paths)).alias("node"))
+            members = branching.join(self.classes.select("id", "signature"), "id").select("id", "n", F.explode(F.array(*paths)).alias("node"))
             level += 1
 
 

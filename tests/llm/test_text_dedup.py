@@ -97,7 +97,7 @@ def test_near_hot_groups_and_common_lines(documents):
 
 
 def test_near_small_nodes_branch(documents, monkeypatch):
-    monkeypatch.setattr(op10_minhash, "SMALL", 3)
+    monkeypatch.setattr(op10_minhash, "SMALL", 40)
     rows = _skewed(random.Random(8), 10, 60, 80)
     _check_near(documents(rows), rows)
 
