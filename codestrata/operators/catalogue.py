@@ -94,8 +94,9 @@ def _file_history(m: Model, path: str) -> dict[str, DataFrame]:
 
 
 def _commit(m: Model, commit: str) -> dict[str, DataFrame]:
-    one = history.commit_by_prefix(m.commits, commit)
-    return {"commit": one, "files": m.touched.join(F.broadcast(one.select("hash")), "hash", "left_semi").orderBy("hash", "path").limit(30)}
+    found = history.commit_by_prefix(m.commits, commit)
+    return {"commit": found, "files": history.commit_files(found, m.touched),
+            "decisions": m.decisions.join(found.select(F.col("hash").alias("sha")), "sha", "left_semi").orderBy("id")}
 
 
 def _contributors(m: Model, path: str | None = None) -> dict[str, DataFrame]:

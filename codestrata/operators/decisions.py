@@ -15,7 +15,7 @@ MAX_PER_KIND = 3
 STRUCTURE_MIN_MODULES = 3
 RESTRUCTURE_MIN_RENAMES = 5
 UNCURATED_CAP = 1.2
-NAMED_PACKAGES = 12
+LISTED_PACKAGES = 12  # length of the ``packages`` field, no other limit
 
 # Weight of each kind in the ranking.
 KIND_WEIGHT = {
@@ -132,7 +132,7 @@ def dependency_decisions(changes: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*manifest, "side").orderBy(*_curated_first([])))
     # For a first manifest the notable packages lead; without any, the first five stand in.
     lead = F.row_number().over(Window.partitionBy(*manifest, "side").orderBy(*_curated_first([~F.col("notable")])))
-    named = facts.withColumn("n", rank).withColumn("lead", lead).filter((F.col("n") <= NAMED_PACKAGES) | (F.col("lead") <= NAMED_PACKAGES))
+    named = facts.withColumn("n", rank).withColumn("lead", lead)
     item = F.struct("n", "lead", "package", "shown", "weight", "notable")
     lists = named.groupBy(*manifest).agg(*[
         F.sort_array(F.collect_list(F.when(F.col("side") == s, item))).alias(s) for s in ("added", "removed")])
@@ -151,12 +151,12 @@ def dependency_decisions(changes: DataFrame) -> DataFrame:
     rows = sums.join(lists, manifest).filter(~F.col("initial") | (F.col("n_added") > 0))
 
     def shown(column, limit):
-        first = F.slice(F.filter(column, lambda x: x["n"] <= NAMED_PACKAGES), 1, limit) if isinstance(limit, int) else column
+        first = column if limit is None else F.slice(column, 1, limit)
         return F.array_join(F.transform(first, lambda x: x["shown"]), ", ")
 
     by_lead = F.array_sort(F.transform("added", lambda x: F.struct(x["lead"], x["notable"], x["package"], x["shown"], x["weight"])))
     notable = F.filter(by_lead, lambda x: x["notable"])
-    stack = F.when(F.size(notable) > 0, F.slice(notable, 1, NAMED_PACKAGES)).otherwise(F.slice(by_lead, 1, 5))
+    stack = F.when(F.size(notable) > 0, notable).otherwise(F.slice(by_lead, 1, 5))
     rows = rows.withColumn("stack", stack)
     stack6 = F.slice("stack", 1, 6)
     replace = (F.col("n_added") > 0) & (F.col("n_removed") > 0) & (
@@ -168,12 +168,12 @@ def dependency_decisions(changes: DataFrame) -> DataFrame:
         *manifest,
         F.when(F.col("initial"), "initial_stack").when(replace, "dependency_replace").otherwise("dependency_change").alias("kind"),
         F.when(F.col("initial"), F.concat(F.lit("Initial technology stack: "), F.array_join(F.transform(stack6, lambda x: x["shown"]), ", ")))
-        .when(replace, F.concat(F.lit("Replace "), shown("removed", NAMED_PACKAGES), F.lit(" with "), shown("added", NAMED_PACKAGES)))
+        .when(replace, F.concat(F.lit("Replace "), shown("removed", None), F.lit(" with "), shown("added", None)))
         .when(F.col("n_added") > 0, F.concat(F.lit("Adopt "), shown("added", 4), more, dropped))
         .otherwise(F.concat(F.lit("Drop "), shown("removed", 4))).alias("subject"),
         F.round(F.when(F.col("initial"), F.aggregate(stack6, F.lit(0.0), lambda acc, x: acc + x["weight"]) / 2.0)
                 .otherwise(F.col("w_added") + 0.8 * F.col("w_removed")), 3).alias("significance"),
-        F.slice(F.when(F.col("initial"), names("stack")).otherwise(F.concat(names("added"), names("removed"))), 1, NAMED_PACKAGES).alias("packages"),
+        F.slice(F.when(F.col("initial"), names("stack")).otherwise(F.concat(names("added"), names("removed"))), 1, LISTED_PACKAGES).alias("packages"),
         "n_added", "n_removed")
 
 
@@ -190,7 +190,7 @@ def merge_same_commit(found: DataFrame, changes: DataFrame) -> DataFrame:
     united = sides.unionByName(listed).join(several, ["sha", "kind"], "left_semi").distinct()
     facts = united.withColumn("category", category(F.col("package"))).withColumn("low", F.col("package").rlike(LOW_SIGNAL))
     rank = F.row_number().over(Window.partitionBy("sha", "kind", "side").orderBy(*_curated_first([])))
-    named = facts.withColumn("n", rank).filter(F.col("n") <= NAMED_PACKAGES).select(
+    named = facts.withColumn("n", rank).filter(F.col("n") <= LISTED_PACKAGES).select(
         "sha", "kind", "side", F.struct("n", "package", describe(F.col("package")).alias("shown")).alias("item"))
     lists = named.groupBy("sha", "kind").agg(*[
         F.sort_array(F.collect_list(F.when(F.col("side") == s, F.col("item")))).alias(s) for s in ("added", "removed", "packages")])

@@ -70,7 +70,7 @@ def parse_records(files: DataFrame) -> DataFrame:
     filled = lambda c: F.nullif(c, F.lit(""))
     body = F.trim(F.regexp_replace(F.regexp_replace("content", r"(?s)\A[^\n]*(\n|\z)", ""), r"\s+", " "))
     return files.filter(~name.isin("readme.md", "index.md") & ~name.contains("template")).select(
-        "path", title.alias("title"), F.coalesce(filled(dashed), filled(named), filled(field)).alias("date"), F.substring(body, 1, 700).alias("excerpt"))
+        "path", title.alias("title"), F.coalesce(filled(dashed), filled(named), filled(field)).alias("date"), body.alias("excerpt"))
 
 
 def rubric_scores(rows: DataFrame) -> DataFrame:

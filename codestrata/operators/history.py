@@ -70,18 +70,25 @@ def introduced(commits: DataFrame, touched: DataFrame, order: list[str]) -> Data
 
 
 def modified_edges(touched: DataFrame, modules: DataFrame, commits: DataFrame, order: list[str],
-                   per_commit: int = 50, newest: int = 60_000) -> DataFrame:
-    """MODIFIED relations kept in the graph: paths that are modules now, at most ``per_commit`` files of one
-    commit and the ``newest`` latest rows overall (the sink's own limits; ``order[0]`` is the date).
+                   per_commit: int | None = None, newest: int | None = None) -> DataFrame:
+    """MODIFIED relations of the graph: touched paths that are modules now. A sink with limits of its own asks for at
+    most ``per_commit`` files of one commit or the ``newest`` latest rows (``order[0]`` is the date).
 
     The per-commit rank is trimmed inside each task. The overall limit first drops whole days older than the
     one where the limit is reached (counts per day are bounded by the calendar), then numbers what is left with
     a distributed sort, since a top-k of this size would gather every task's rows in one place."""
     from codestrata.session import global_index
 
-    current = touched.join(modules.select("path"), "path", "left_semi")
+    kept = touched.join(modules.select("path"), "path", "left_semi")
+    columns = ["hash", "path", "added", "deleted"]
+    if per_commit is None and newest is None:
+        return kept.select(*columns)
     order_in_commit = Window.partitionBy("hash").orderBy("path", "old_path", "added", "deleted")
-    kept = current.withColumn("_n", F.row_number().over(order_in_commit)).filter(F.col("_n") <= per_commit)
+    kept = kept.withColumn("_n", F.row_number().over(order_in_commit))
+    if per_commit is not None:
+        kept = kept.filter(F.col("_n") <= per_commit)
+    if newest is None:
+        return kept.select(*columns)
     dated = kept.join(commits.select("hash", *[c for c in order if c != "hash"]), "hash")
     day = order[0]
     per_day = dated.groupBy(day).agg(F.count(F.lit(1)).alias("_rows"))
@@ -89,7 +96,7 @@ def modified_edges(touched: DataFrame, modules: DataFrame, commits: DataFrame, o
     oldest = per_day.withColumn("_later", F.coalesce(later, F.lit(0))).filter(F.col("_later") < newest).agg(F.min(day).alias("_oldest"))
     recent = dated.join(F.broadcast(oldest)).filter(F.col(day) >= F.col("_oldest")).drop("_oldest")
     ranked = global_index(recent, [*[F.desc(c) for c in order], F.col("_n")], "_rank")
-    return ranked.filter(F.col("_rank") < newest).select("hash", "path", "added", "deleted")
+    return ranked.filter(F.col("_rank") < newest).select(*columns)
 
 
 def latest_names(commits: DataFrame, order: list[str]) -> DataFrame:
@@ -102,12 +109,22 @@ def file_authors(history: DataFrame, top: int = 8) -> DataFrame:
         F.desc("commits"), "name").limit(top)
 
 
-def commit_by_prefix(commits: DataFrame, prefix: str, limit: int = 5) -> DataFrame:
-    """Commits whose hash starts with at least four given characters, in hash order."""
+def commit_by_prefix(commits: DataFrame, prefix: str) -> DataFrame:
+    """Commits whose hash starts with at least four given characters; ``candidates`` counts them, so a prefix that
+    names several is seen to be ambiguous. The filter on the hash reaches the commits before anything else."""
     ref = prefix.lower().strip("[]")
     if len(ref) < 4:
         raise ValueError("give at least 4 characters of the commit hash")
-    return commits.filter(F.col("hash").startswith(ref)).orderBy("hash").limit(limit)
+    return commits.filter(F.col("hash").startswith(ref)).withColumn("candidates", F.count(F.lit(1)).over(Window.partitionBy()))
+
+
+def commit_files(found: DataFrame, touched: DataFrame, shown: int = 30) -> DataFrame:
+    """(hash, files_changed, files): for each found commit its own files, the first ``shown`` by name listed."""
+    own = touched.join(found.select("hash"), "hash", "left_semi")
+    total = own.groupBy("hash").agg(F.count(F.lit(1)).alias("files_changed"))
+    first = own.withColumn("_n", F.row_number().over(Window.partitionBy("hash").orderBy("path"))).filter(F.col("_n") <= shown)
+    listed = first.groupBy("hash").agg(F.array_join(F.sort_array(F.collect_list("path")), ", ").alias("files"))
+    return total.join(listed, "hash")
 
 
 def with_fallback_metadata(wanted: DataFrame, mined: DataFrame, fallback: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,23 +8,22 @@ from pyspark.sql import functions as F
 from codestrata.functions.text import clean_body
 from codestrata.session import cut_lineage
 
-REFS_PER_COMMIT = 3
 MERGE_DAYS_BEFORE, MERGE_DAYS_AFTER = 1, 60
-COMMITS_PER_MERGE = 300
+# How messages name pull requests and issues.
 SQUASH = r"\(#(\d{1,7})\)\s*$"
 MERGE = r"^Merge pull request #(\d{1,7})\b"
 REFERENCE = r"(?<![\w&/])#(\d{1,7})\b"
 
 
-def message_refs(subject: Column, body: Column, own: Column | None = None) -> Column:
+def message_refs(subject: Column, body: Column, own: Column | None = None, limit: int | None = None) -> Column:
     """Numbers a commit points at, most specific first: its own merge, a squash suffix, a merge subject, then
-    every reference; three at most."""
+    every reference; the first ``limit`` of them if one is given."""
     one = lambda pattern: F.regexp_extract_all(subject, F.lit(pattern), F.lit(1))
     everywhere = F.regexp_extract_all(F.concat_ws("\n", subject, body), F.lit(REFERENCE), F.lit(1))
     refs = F.transform(F.concat(one(SQUASH), one(MERGE), everywhere), lambda n: n.cast("bigint"))
     if own is not None:
         refs = F.concat(F.filter(F.array(own.cast("bigint")), lambda n: n.isNotNull()), refs)
-    return F.slice(F.array_distinct(refs), 1, REFS_PER_COMMIT)
+    return F.array_distinct(refs) if limit is None else F.slice(F.array_distinct(refs), 1, limit)
 
 
 def merge_numbers(merges: DataFrame) -> DataFrame:
@@ -41,17 +40,15 @@ def merges_near(merges: DataFrame, commits: DataFrame) -> DataFrame:
     return merges.join(F.broadcast(span)).filter((F.col("date").cast("date") >= F.col("_a")) & (F.col("date").cast("date") <= F.col("_b"))).drop("_a", "_b")
 
 
-def commits_of_merges(merges: DataFrame, parents: DataFrame, max_steps: int = COMMITS_PER_MERGE) -> DataFrame:
+def commits_of_merges(merges: DataFrame, parents: DataFrame) -> DataFrame:
     """(hash, number): commits reachable from a merge's second parent and not from its first. ``parents`` is
     (hash, parent). All merges walk together, one join per step over the commits still open, written between
     steps; the walk stops when nothing is open."""
     def walk(start: str) -> DataFrame:
         seen = open_ = cut_lineage(merges.select("number", F.col(start).alias("hash")))
-        for _ in range(max_steps):
+        while not open_.isEmpty():
             after = open_.join(parents, "hash").select("number", F.col("parent").alias("hash")).distinct()
             open_ = cut_lineage(after.join(seen, ["number", "hash"], "left_anti"))
-            if open_.isEmpty():
-                break
             seen = seen.unionByName(open_)
         return seen
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions import paths
+from codestrata.session import cut_lineage
 
 # Folders whose children are separate packages.
 CONTAINERS = ("packages", "apps", "libs", "services", "modules", "plugins", "projects", "workspaces")
@@ -36,7 +37,7 @@ def deeper_group(path: Column, group: Column) -> Column:
         F.concat(group, F.lit("/*")))
 
 
-def split_groups(files: DataFrame, cap: int, base_depth: int = 0, max_depth: int = 12) -> DataFrame:
+def split_groups(files: DataFrame, cap: int, base_depth: int = 0) -> DataFrame:
     """(group, files): folders split until each fits the cap (direct-file groups cannot be split).
 
     Counts roll up from distinct folders, which carry a file count, so the per-level work is on folders, not
@@ -44,15 +45,15 @@ def split_groups(files: DataFrame, cap: int, base_depth: int = 0, max_depth: int
     by_folder = files.select(paths.dirname(F.col("path")).alias("dir")).groupBy("dir").agg(F.count(F.lit(1)).alias("n"))
     sample = F.when(F.col("dir") == "", F.lit("x")).otherwise(F.concat("dir", F.lit("/x")))
     assigned = by_folder.select(sample.alias("path"), "n", initial_group(sample, base_depth).alias("group"))
-    for _ in range(max_depth):
+    while True:
         counts = assigned.groupBy("group").agg(F.sum("n").alias("files"))
         big = counts.filter((F.col("files") > cap) & ~F.col("group").endswith("*")).select("group")
         if big.isEmpty():
             return counts
         marked = assigned.join(big.withColumn("_big", F.lit(True)), "group", "left")
-        assigned = marked.select("path", "n", F.when(F.col("_big"), deeper_group(F.col("path"), F.col("group")))
-                                 .otherwise(F.col("group")).alias("group"))
-    return assigned.groupBy("group").agg(F.sum("n").alias("files"))
+        # written between levels, so a deep tree does not become one long plan
+        assigned = cut_lineage(marked.select("path", "n", F.when(F.col("_big"), deeper_group(F.col("path"), F.col("group")))
+                                 .otherwise(F.col("group")).alias("group")))
 
 
 def pick_groups(groups: DataFrame, cap: int) -> DataFrame:

@@ -11,8 +11,6 @@ from codestrata.sources.gitlog import numbered_lines
 MAX_SEARCH_HITS = 20
 LINES_PER_READ = 120
 READ_MAX_CHARS = 3000
-MAX_FILE_CHARS = 200_000
-MAX_TOTAL_CHARS = 8_000_000
 
 
 def search_lines(files: DataFrame, text: str) -> DataFrame:
@@ -23,7 +21,7 @@ def search_lines(files: DataFrame, text: str) -> DataFrame:
     needle = text.lower()
     hit = files.filter(F.lower("content").contains(needle))
     return numbered_lines(hit, ["path"]).filter(F.lower("line").contains(needle)).withColumn(
-        "line", F.substring(F.trim("line"), 1, 160))
+        "line", F.trim("line"))
 
 
 def search_summary(hits: DataFrame) -> DataFrame:
@@ -52,12 +50,10 @@ def read_lines(files: DataFrame, path: str, start: int = 1, end: int | None = No
     return sized.withColumn("_ok", F.min("_fits").over(broken)).filter("_ok").select("path", "line_no", "text")
 
 
-def cached_sources(files: DataFrame, total: int = MAX_TOTAL_CHARS, per_file: int = MAX_FILE_CHARS) -> DataFrame:
-    """Files kept in the text cache: in path order while the characters before them stay under the total, each
-    cut at the per-file limit."""
-    cut = files.withColumn("content", F.substring("content", 1, per_file)).withColumn("chars", F.length("content").cast("bigint"))
-    sized = running_total(cut.select("path", "chars"), [F.col("path")], "chars", "before")
-    return cut.drop("chars").join(sized.filter(F.col("before") < total), "path")
+def sizes(files: DataFrame) -> DataFrame:
+    """(path, chars, before): every file's size and the size of all files before it in path order, so a reader with a
+    budget can take the files whose ``before`` is within it. Contents stay in the scan."""
+    return running_total(files.select("path", F.length("content").cast("bigint").alias("chars")), [F.col("path")], "chars", "before")
 
 
 def snippet_windows(lines: DataFrame, at: DataFrame, context: int = 2) -> DataFrame:

@@ -84,9 +84,9 @@ DECIDE = MANIFEST + """, n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY k, side
   COALESCE(SUM(CASE WHEN side = 'added' AND cat IS NOT NULL THEN w END), 0) + LEAST(1.2::DOUBLE, COALESCE(SUM(CASE WHEN side = 'added' AND cat IS NULL THEN w END), 0)) AS wa,
   COALESCE(SUM(CASE WHEN side = 'removed' AND cat IS NOT NULL THEN w END), 0) + LEAST(1.2::DOUBLE, COALESCE(SUM(CASE WHEN side = 'removed' AND cat IS NULL THEN w END), 0)) AS wr,
   list_has_any(COALESCE(list(cat) FILTER (side = 'added' AND cat IS NOT NULL), []), COALESCE(list(cat) FILTER (side = 'removed' AND cat IS NOT NULL), [])) AS same,
-  string_agg(shown, ', ' ORDER BY r) FILTER (side = 'added' AND r <= 4) AS a4, string_agg(shown, ', ' ORDER BY r) FILTER (side = 'added' AND r <= 12) AS a12,
+  string_agg(shown, ', ' ORDER BY r) FILTER (side = 'added' AND r <= 4) AS a4, string_agg(shown, ', ' ORDER BY r) FILTER (side = 'added') AS a12,
   string_agg(shown, ', ' ORDER BY r) FILTER (side = 'removed' AND r <= 3) AS r3, string_agg(shown, ', ' ORDER BY r) FILTER (side = 'removed' AND r <= 4) AS r4,
-  string_agg(shown, ', ' ORDER BY r) FILTER (side = 'removed' AND r <= 12) AS r12,
+  string_agg(shown, ', ' ORDER BY r) FILTER (side = 'removed') AS r12,
   string_agg(shown, ', ' ORDER BY lead) FILTER (side = 'added' AND lead <= CASE WHEN nn > 0 THEN LEAST(6, nn) ELSE 5 END) AS s6,
   SUM(w) FILTER (side = 'added' AND lead <= CASE WHEN nn > 0 THEN LEAST(6, nn) ELSE 5 END) AS ws FROM n GROUP BY 1, 2, 3),
  d AS (SELECT k, sha, manifest, CASE WHEN initial THEN 'initial_stack' WHEN na > 0 AND nr > 0 AND (same OR (na = 1 AND nr = 1)) THEN 'dependency_replace' ELSE 'dependency_change' END AS kind,

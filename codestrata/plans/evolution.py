@@ -191,17 +191,15 @@ def file_authors(t):
     return history.file_authors(history.commits_touching(t.commits, t.commit_files, _path(t, 7)))
 
 
-@query("commit_lookup", with_(**HIST) + f""" SELECT c.hash, c.short, c.date, c.author, c.subject AS message, COUNT(f.path) AS files_changed,
+@query("commit_lookup", with_(**HIST) + f""", c AS (SELECT * FROM commits WHERE starts_with(hash, '0003'))
+ SELECT c.hash, c.short, c.date, c.author, c.subject AS message, (SELECT COUNT(*) FROM c) AS candidates, COUNT(f.path) AS files_changed,
  (SELECT string_agg(path, ', ' ORDER BY path) FROM (SELECT path FROM files f2 WHERE f2.hash = c.hash ORDER BY path LIMIT 30)) AS files
- FROM commits c LEFT JOIN files f USING (hash) WHERE starts_with(c.hash, substr(sha1('42'), 1, 8)) GROUP BY ALL""")
+ FROM c LEFT JOIN files f USING (hash) GROUP BY ALL""")
 def commit_lookup(t):
-    """One commit by hash prefix with the files it touched (first 30)."""
-    prefix = t.spark.range(1).select(F.substring(F.sha1(F.lit("42")), 1, 8)).first()[0]
-    one = history.commit_by_prefix(t.commits, prefix)
-    touched = t.commit_files.filter(F.col("hash").startswith(prefix))
-    files = touched.orderBy("path").limit(30).agg(F.array_join(F.sort_array(F.collect_list("path")), ", ").alias("files"))
-    total = touched.agg(F.count(F.lit(1)).alias("files_changed"))
-    return one.join(total).join(files).select("hash", "short", "date", "author", F.col("subject").alias("message"), "files_changed", "files")
+    """Commits a four-character prefix names, each with its own files; more than one candidate means it is ambiguous."""
+    found = history.commit_by_prefix(t.commits, "0003")
+    return found.join(history.commit_files(found, t.commit_files), "hash", "left").select(
+        "hash", "short", "date", "author", F.col("subject").alias("message"), "candidates", F.coalesce("files_changed", F.lit(0)).alias("files_changed"), "files")
 
 
 @query("bulk_commits", with_(**HIST) + """ SELECT c.hash, COUNT(f.path) AS n_files, COUNT(f.path) > 5 AS bulk FROM commits c LEFT JOIN files f USING (hash) GROUP BY 1""")
@@ -217,11 +215,9 @@ def developer_nodes(t):
     return history.latest_names(t.commits, ORDER)
 
 
-@query("modified_edges", with_(**HIST, modules=MODULES_SQL) + """, m AS (SELECT f.*, c.date, ROW_NUMBER() OVER (PARTITION BY f.hash ORDER BY f.path, f.old_path NULLS FIRST, f.added, f.deleted) AS n
-  FROM files f JOIN commits c USING (hash) WHERE f.path IN (SELECT path FROM modules))
- SELECT hash, path, added, deleted FROM (SELECT * FROM m WHERE n <= 50 ORDER BY date DESC, k DESC, n LIMIT 60000)""")
+@query("modified_edges", with_(**HIST, modules=MODULES_SQL) + """ SELECT hash, path, added, deleted FROM files WHERE path IN (SELECT path FROM modules)""")
 def modified_edges(t):
-    """MODIFIED relations of the graph: current modules only, with the sink's own limits."""
+    """MODIFIED relations of the graph: every touched path that is a module now."""
     return history.modified_edges(t.commit_files.drop("k"), t.modules, t.commits, ORDER)
 
 

@@ -67,14 +67,12 @@ def planning_replies(t):
     return t.table("conversations").select("conv_id", "turn", text.looks_like_plan(F.expr(PLAN), TOOL_NAMES).alias("planning"))
 
 
-@query("leaked_reasoning", """SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND length(trim(substr(text, 1, 300), chr(10) || ' ')) >= 40 THEN trim(substr(text, 1, 300), chr(10) || ' ') ELSE CASE WHEN doc_id % 2 = 0 THEN 'We must see. Provide the answer. ' ELSE '' END || substr(text, 1, 300) END AS answer
- FROM documents WHERE lang = 'en' AND NOT regexp_matches(substr(text, 1, 300), '(?i)(provide|write|give|produce|craft|compose|draft) ')""")
+@query("leaked_reasoning", """SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND length(t) >= 40 THEN t WHEN doc_id % 2 = 0 THEN 'We must see. Provide the answer. ' || text ELSE text END AS answer
+ FROM (SELECT doc_id, text, trim(text, chr(10) || ' ') AS t FROM documents)""")
 def leaked_reasoning(t):
     """The answer behind a reply that opens with its own planning."""
-    docs = t.table("documents").filter("lang = 'en'").withColumn("head", F.substring("text", 1, 300)).filter(
-        ~F.col("head").rlike("(?i)(provide|write|give|produce|craft|compose|draft) "))
-    reply = F.concat(F.when(F.col("doc_id") % 2 == 0, "We must see. Provide the answer. ").otherwise(""), F.col("head"))
-    return docs.select("doc_id", text.strip_leaked_reasoning(reply, TOOL_NAMES).alias("answer"))
+    reply = F.concat(F.when(F.col("doc_id") % 2 == 0, "We must see. Provide the answer. ").otherwise(""), "text")
+    return t.table("documents").select("doc_id", text.strip_leaked_reasoning(reply, TOOL_NAMES).alias("answer"))
 
 
 @query("clean_citations", """SELECT conv_id, turn, text || CASE conv_id % 3 WHEN 0 THEN ' (`src/a.py:L' || turn || '`)' ELSE '' END || ' end' AS answer FROM conversations""")
@@ -90,9 +88,9 @@ def clean_citations(t):
 
 @query("clean_bodies", """WITH b AS (SELECT doc_id, '<!-- hidden' || chr(10) || 'x -->' || text || ' ![img](http://x/y.png) ' || chr(10) || ' ' || chr(10) || chr(10) || 'end' AS body FROM documents),
  c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(body, '<!--(?s:.*?)-->', '', 'g'), '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '\\n\\s*\\n+', chr(10), 'g'), chr(10) || ' ') AS x FROM b)
- SELECT doc_id, CASE WHEN length(x) <= 1200 THEN x ELSE rtrim(substr(x, 1, 1200), chr(10) || ' ') || '…' END AS body FROM c""")
+ SELECT doc_id, x AS body FROM c""")
 def clean_bodies(t):
-    """Pull-request bodies without comments, images and blank lines, bounded."""
+    """Pull-request bodies without comments, images and blank lines."""
     raw = F.concat(F.lit("<!-- hidden\nx -->"), "text", F.lit(" ![img](http://x/y.png) \n \n\nend"))
     return t.table("documents").select("doc_id", text.clean_body(raw).alias("body"))
 
@@ -124,20 +122,22 @@ def strip_jsonc(t):
     return t.table("events").select("event_id", parsed["k"].alias("k"), parsed["u"].alias("u"))
 
 
-@query("repair_json", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"a": [' || props || ']}' WHEN 1 THEN '{"a": [' || props || '], "b": "}]"}' WHEN 2 THEN props ELSE NULL END AS fixed FROM events""")
+@query("repair_json", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"a":[' || p || ']}' WHEN 1 THEN '{"a":[' || p || '],"b":"}]"}' WHEN 2 THEN p WHEN 3 THEN p END AS fixed
+ FROM (SELECT event_id, replace(props, ' ', '') AS p FROM events)""")
 def repair_json(t):
     """Replies with missing or mismatched closers repaired; hopeless ones stay null."""
     e = F.col("event_id")
-    raw = (F.when(e % 4 == 0, F.concat(F.lit('{"a": ['), "props", F.lit("}"))).when(e % 4 == 1, F.concat(F.lit('{"a": ['), "props", F.lit('], "b": "}]"')))
-           .when(e % 4 == 2, F.concat(F.lit("{ "), "props", F.lit("}"))).otherwise("{broken"))
+    raw = (F.when(e % 5 == 0, F.concat(F.lit('{"a": ['), "props", F.lit("}"))).when(e % 5 == 1, F.concat(F.lit('{"a": ['), "props", F.lit('], "b": "}]"')))
+           .when(e % 5 == 2, F.concat(F.lit("{ "), "props", F.lit("}"))).when(e % 5 == 3, F.concat(F.lit("{" + " " * 250), "props", F.lit("}")))
+           .otherwise("{broken"))
     return t.table("events").select("event_id", text.repair_json_brackets(raw).alias("fixed"))
 
 
-@query("message_refs", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey % 60 AS VARCHAR) WHEN 1 THEN (o_custkey % 70) || ',' || (o_orderkey % 60) WHEN 2 THEN
- array_to_string(list_slice([x for x in [o_orderkey % 60, o_custkey % 70, 7, 8] if true], 1, 3), ',') ELSE '' END AS refs FROM orders WHERE o_orderkey % 60 NOT IN (7, 8) AND o_custkey % 70 NOT IN (7, 8) AND o_orderkey % 60 <> o_custkey % 70""")
+@query("message_refs", """SELECT o_orderkey, array_to_string(list_filter(r, lambda x, i: list_position(r, x) = i), ',') AS refs FROM (SELECT o_orderkey,
+ CASE o_orderkey % 4 WHEN 0 THEN [o_orderkey % 60] WHEN 1 THEN [o_custkey % 70, o_orderkey % 60] WHEN 2 THEN [o_orderkey % 60, o_custkey % 70, 7, 8] ELSE [] END AS r FROM orders)""")
 def message_refs(t):
     """Pull-request and issue numbers named by commit messages, most specific first."""
-    o = t.table("orders").filter("o_orderkey % 60 NOT IN (7, 8) AND o_custkey % 70 NOT IN (7, 8) AND o_orderkey % 60 <> o_custkey % 70")
+    o = t.table("orders")
     k, c, form = F.col("o_orderkey") % 60, F.col("o_custkey") % 70, F.col("o_orderkey") % 4
     subject = (F.when(form == 0, F.format_string("Fix things (#%d)", k)).when(form == 1, F.format_string("Merge pull request #%d from a/b", c))
                .when(form == 2, F.format_string("See #%d and #%d", k, c)).otherwise("No refs a#1 &#2 /#3"))
@@ -208,7 +208,7 @@ def search_summary(t):
     return source_text.search_summary(source_text.search_lines(_sources(t), "License"))
 
 
-@query("search_hits", SRC + " SELECT path || ':L' || line_no AS location, substr(trim(line), 1, 160) AS line FROM l WHERE contains(lower(line), 'license') ORDER BY path, line_no LIMIT 20")
+@query("search_hits", SRC + " SELECT path || ':L' || line_no AS location, trim(line) AS line FROM l WHERE contains(lower(line), 'license') ORDER BY path, line_no LIMIT 20")
 def search_hits(t):
     """The first twenty matching lines in path and line order."""
     return source_text.first_hits(source_text.search_lines(_sources(t), "License"))
@@ -232,12 +232,11 @@ def read_source(t):
     return source_text.read_lines(files, longest, 2).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
-@query("cached_sources", """WITH s AS (SELECT printf('src/%s/d%05d.txt', source, doc_id) AS path, LEAST(length(text), 2000) AS chars FROM documents),
- r AS (SELECT path, chars, COALESCE(SUM(chars) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
- SELECT path, chars::BIGINT AS chars, before::BIGINT AS before FROM r WHERE before < 500000""")
+@query("cached_sources", """WITH s AS (SELECT printf('src/%s/d%05d.txt', source, doc_id) AS path, length(text) AS chars FROM documents)
+ SELECT path, chars::BIGINT AS chars, COALESCE(SUM(chars) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM s""")
 def cached_sources(t):
-    """Files that fit a text cache in path order (500,000 characters, 2,000 per file here)."""
-    return source_text.cached_sources(_sources(t), 500_000, 2_000).select("path", "chars", "before")
+    """Size of every file and of all files before it in path order."""
+    return source_text.sizes(_sources(t)).select("path", "chars", "before")
 
 
 @query("fit_context", """WITH RECURSIVE a AS (SELECT conv_id, list(length(text) ORDER BY turn) AS s FROM conversations GROUP BY 1),
@@ -322,16 +321,18 @@ def drift_summaries(t):
 # --- evaluation --------------------------------------------------------------------------------------------------
 
 
-@query("drift_scores", with_(**SNAP) + """, v AS (SELECT rule_name, src, dst, idx FROM judged WHERE violates), e AS (SELECT rule_name, src, dst FROM v WHERE idx = 40), p AS (SELECT rule_name, src, dst FROM v WHERE idx = 41),
- c AS (SELECT rule_name, COUNT(CASE WHEN e AND p THEN 1 END) AS tp, COUNT(CASE WHEN p AND NOT e THEN 1 END) AS fp, COUNT(CASE WHEN e AND NOT p THEN 1 END) AS fn FROM
-  (SELECT COALESCE(e.rule_name, p.rule_name) AS rule_name, e.src IS NOT NULL AS e, p.src IS NOT NULL AS p FROM e FULL OUTER JOIN p ON e.rule_name = p.rule_name AND e.src = p.src AND e.dst = p.dst) GROUP BY 1),
+@query("drift_scores", with_(**SNAP) + """, v AS (SELECT rule_name, src, dst, idx FROM judged WHERE violates), p AS (SELECT rule_name, src, dst, idx - 1 AS idx FROM v),
+ c AS (SELECT rule_name, idx, COUNT(CASE WHEN e AND p THEN 1 END) AS tp, COUNT(CASE WHEN p AND NOT e THEN 1 END) AS fp, COUNT(CASE WHEN e AND NOT p THEN 1 END) AS fn FROM
+  (SELECT COALESCE(v.rule_name, p.rule_name) AS rule_name, COALESCE(v.idx, p.idx) AS idx, v.src IS NOT NULL AS e, p.src IS NOT NULL AS p FROM v FULL OUTER JOIN p
+   ON v.rule_name = p.rule_name AND v.src = p.src AND v.dst = p.dst AND v.idx = p.idx) GROUP BY 1, 2),
  m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 1.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 1.0 END AS recall FROM c)
- SELECT rule_name, tp, fp, fn, ROUND(precision, 6) AS precision, ROUND(recall, 6) AS recall, ROUND(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 6) AS f1 FROM m""")
+ SELECT rule_name, idx, tp, fp, fn, ROUND(precision, 6) AS precision, ROUND(recall, 6) AS recall, ROUND(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 6) AS f1 FROM m""")
 def drift_scores(t):
-    """Precision, recall and F1 of one snapshot's violations against the next one's, per rule."""
+    """Precision, recall and F1 of every snapshot's violations against the next one's, per rule."""
     found = rules.violations(snap_judged(t)).select("rule_name", "caller_module", "callee_module", "idx")
-    scored = evaluation.precision_recall(found.filter("idx = 40"), found.filter("idx = 41"), ["rule_name", "caller_module", "callee_module"], ["rule_name"])
-    return scored.select("rule_name", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    following = found.withColumn("idx", F.col("idx") - 1)
+    scored = evaluation.precision_recall(found, following, ["rule_name", "caller_module", "callee_module", "idx"], ["rule_name", "idx"])
+    return scored.select("rule_name", "idx", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query("rule_rates", CTE + """ SELECT r.rule_name, COUNT(j.rule_name) AS checks, ROUND(COUNT(CASE WHEN j.violates THEN 1 END)::DOUBLE / NULLIF(COUNT(j.rule_name), 0), 6) AS rate
@@ -385,10 +386,11 @@ def ground_truth(t):
             .union(top(touched.groupBy("path").agg(count), "busiest file", "path", 1)))
 
 
-@query("answer_scores", """SELECT conv_id, turn, (conv_id % 10)::DOUBLE = (conv_id % 7)::DOUBLE AS correct FROM conversations WHERE NOT regexp_matches(text, '[0-9]')""")
+@query("answer_scores", """SELECT conv_id, turn, len(list_filter(regexp_extract_all(text || ' value ' || (conv_id % 10) || '.05', '-?\\d+(?:\\.\\d+)?'),
+ lambda v: abs(TRY_CAST(v AS DOUBLE) - conv_id % 7) < 0.051)) > 0 AS correct FROM conversations""")
 def answer_scores(t):
     """Whether an answer states the expected number, within the tolerance."""
-    c = t.table("conversations").filter(~F.col("text").rlike("[0-9]"))
+    c = t.table("conversations")
     answer = F.concat("text", F.lit(" value "), F.format_string("%d.05", F.col("conv_id") % 10))
     return c.select("conv_id", "turn", evaluation.number_answered(answer, (F.col("conv_id") % 7).cast("double")).alias("correct"))
 

@@ -76,14 +76,14 @@ def diffs(t):
 LIVE = "o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0"
 
 
-@query("diff_files", f"""SELECT o_orderkey, {ORDER_FILE} AS path, CASE WHEN o_orderkey % 13 = 0 THEN {ORDER_FILE} WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN NULL
+@query("diff_files", f"""SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 17 <> 0 THEN {ORDER_FILE} END AS path, CASE WHEN o_orderkey % 13 = 0 THEN {ORDER_FILE} WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN NULL
  WHEN o_orderstatus = 'P' THEN CONCAT('old/', CAST(o_orderkey AS STRING), '.py') ELSE {ORDER_FILE} END AS old_path,
  CASE WHEN o_orderkey % 13 = 0 THEN 'deleted' WHEN o_orderkey % 17 = 0 THEN 'modified' WHEN o_orderstatus = 'F' THEN 'added' WHEN o_orderstatus = 'P' THEN 'renamed' ELSE 'modified' END AS status,
  o_orderkey % 13 <> 0 AND o_orderkey % 17 = 0 AS "binary", CASE WHEN o_orderkey % 13 = 0 THEN 1 WHEN o_orderkey % 17 = 0 THEN 0 ELSE 2 END::BIGINT AS n_hunks
- FROM orders WHERE o_orderkey % 13 = 0 OR o_orderkey % 17 <> 0""")
+ FROM orders""")
 def diff_files(t):
-    """Files of every diff with status and hunk count (binary files have no path lines and are dropped here)."""
-    found = gitlog.diff_files(diffs(t), ["o_orderkey"]).filter("path IS NOT NULL")
+    """Files of every diff with status and hunk count (binary files have no path lines, so no path)."""
+    found = gitlog.diff_files(diffs(t), ["o_orderkey"])
     return found.select("o_orderkey", "path", "old_path", "status", "binary", F.size("hunks").cast("bigint").alias("n_hunks"))
 
 
@@ -102,12 +102,14 @@ def diff_lines(t):
     return lines.select("o_orderkey", "kind", F.coalesce("new_no", F.lit(-1)).alias("new_no"), "text")
 
 
-@query("diff_rendering", f"""SELECT o_orderkey, line FROM (SELECT o_orderkey, lpad(CAST({START} + 1 AS VARCHAR), 5, ' ') || ' + added first ' || o_orderkey AS line FROM orders WHERE {LIVE}
- UNION ALL SELECT o_orderkey, '      - old line' FROM orders WHERE {LIVE})""")
+@query("diff_rendering", f"""WITH l AS (SELECT o_orderkey, {START} AS s, o_orderpriority AS p FROM orders WHERE {LIVE})
+ SELECT o_orderkey, UNNEST([lpad(s::VARCHAR, 5, ' ') || '   keep ' || o_orderkey, '      - old line', lpad((s + 1)::VARCHAR, 5, ' ') || ' + added first ' || o_orderkey,
+  lpad((s + 2)::VARCHAR, 5, ' ') || ' + ++ counter', lpad((s + 3)::VARCHAR, 5, ' ') || '   ', '      - drop', '      - drop', lpad((s + 100)::VARCHAR, 5, ' ') || ' + tail ' || p]) AS line FROM l
+ UNION ALL SELECT o_orderkey, UNNEST(['      - gone', '      - gone too']) FROM orders WHERE o_orderkey % 13 = 0""")
 def diff_rendering(t):
-    """Display form of added and removed lines."""
+    """Display form of every line of every diff."""
     lines = gitlog.diff_lines(gitlog.diff_files(diffs(t), ["o_orderkey"]), ["o_orderkey"])
-    return lines.filter("text LIKE 'added first %' OR text = 'old line'").select("o_orderkey", gitlog.render_lines(lines).alias("line"))
+    return lines.select("o_orderkey", gitlog.render_lines(lines).alias("line"))
 
 
 def _changed(t):
@@ -147,8 +149,8 @@ ADDED = f"({START} + 1, {START} + 2, {START} + 100)"
 
 
 @query("validate_findings", f"""WITH f AS (SELECT o_orderkey AS id, {FINDING} AS file, TRY_CAST({F_LINE} AS BIGINT) AS line, lower(trim({F_SEV})) AS sev, lower({F_CAT}) AS cat, {F_CONF} AS conf,
-  regexp_replace({F_QUOTE}, '\\s+', ' ', 'g') AS quote, trim({F_TITLE}) AS title, {START} AS s FROM orders WHERE {LIVE} AND o_orderkey % 6 <> 0)
- SELECT id, COALESCE(CASE WHEN file = 'src/missing.py' THEN 'file ''src/missing.py'' is not in the reviewed diff' WHEN line IS NULL THEN 'line is not a number'
+  regexp_replace({F_QUOTE}, '\\s+', ' ', 'g') AS quote, trim({F_TITLE}) AS title, {START} AS s , {LIVE} AND {ORDER_FILE} = {FINDING} AS live FROM orders)
+ SELECT id, COALESCE(CASE WHEN NOT live THEN 'file ''' || file || ''' is not in the reviewed diff' WHEN line IS NULL THEN 'line is not a number'
  WHEN NOT (line BETWEEN s - 1 AND s + 4 OR line BETWEEN s + 98 AND s + 102) THEN 'line ' || line || ' of ' || file || ' is not an added line'
  WHEN sev NOT IN ('critical', 'high', 'medium', 'low') THEN 'severity ''' || sev || ''' is not one of critical, high, medium, low'
  WHEN cat <> 'bug' THEN 'category ''' || cat || ''' is not one of bug, security, error-handling, concurrency, resource, performance, architecture'
@@ -157,7 +159,7 @@ ADDED = f"({START} + 1, {START} + 2, {START} + 100)"
  WHEN title = '' THEN 'title is empty' END, '') AS reason FROM f""")
 def validate_findings(t):
     """First failing grounding check per finding, '' when it is grounded in the diff."""
-    o = t.table("orders").filter(f"{LIVE} AND o_orderkey % 6 <> 0")
+    o = t.table("orders")
     findings = o.select(F.col("o_orderkey").alias("id"), F.expr(FINDING).alias("file"), F.expr(F_LINE).alias("line"), F.expr(F_SEV).alias("severity"), F.expr(F_CAT).alias("category"),
                         F.expr(F_CONF).alias("confidence"), F.expr(F_QUOTE).alias("quote"), F.expr(F_TITLE).alias("title"))
     lines = gitlog.diff_lines(gitlog.diff_files(diffs(t), ["o_orderkey"]), ["o_orderkey"]).filter("kind <> '-'").select(
@@ -235,7 +237,7 @@ def rank_findings(t):
 
 
 ISSUE_SQL = """, issues AS (SELECT fingerprint, arg_min(state, number) AS state, MIN(number) AS number FROM (SELECT substr(sha1(CAST(c_custkey % 900 AS STRING)), 1, 16) AS fingerprint,
-  CASE WHEN c_custkey % 2 = 0 THEN 'open' ELSE 'closed' END AS state, c_custkey AS number FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) GROUP BY 1),
+  CASE WHEN c_custkey % 2 = 0 THEN 'open' ELSE 'closed' END AS state, c_custkey AS number FROM customer WHERE c_mktsegment <> 'FURNITURE') GROUP BY 1),
  j AS (SELECT r.fingerprint, r.rank, CASE WHEN i.state = 'open' THEN 'already open as #' || i.number WHEN i.state = 'closed' THEN 'closed as #' || i.number || '; not re-raised'
   WHEN r.severity = 'low' THEN 'below the medium threshold' END AS blocked FROM ranked r LEFT JOIN issues i USING (fingerprint)),
  c AS (SELECT fingerprint FROM j WHERE blocked IS NULL ORDER BY rank LIMIT 10)
@@ -245,7 +247,7 @@ ISSUE_SQL = """, issues AS (SELECT fingerprint, arg_min(state, number) AS state,
 
 def raw_issues(t):
     """Issues as fetched: the finding's identity sits in a base64 marker inside the body."""
-    c = t.table("customer").filter("c_mktsegment IN ('BUILDING', 'MACHINERY', 'FURNITURE')")
+    c = t.table("customer")
     meta = F.struct(F.substring(F.sha1((F.col("c_custkey") % 900).cast("string")), 1, 16).alias("fp"), F.lit("code").alias("kind"),
                     F.format_string("f%d.py", F.col("c_custkey") % 40).alias("file"), F.format_string("let q = %d", F.col("c_custkey") % 30).alias("quote"))
     body = F.concat(F.lit("Some text\n"), F.when(F.col("c_mktsegment") == "FURNITURE", "no marker").otherwise(review.encode_meta(meta)))
@@ -254,7 +256,7 @@ def raw_issues(t):
 
 
 @query("existing_issues", """SELECT c_custkey AS number, CASE WHEN c_custkey % 2 = 0 THEN 'open' ELSE 'closed' END AS state, substr(sha1(CAST(c_custkey % 900 AS STRING)), 1, 16) AS fingerprint, 'f' || (c_custkey % 40) || '.py' AS file
- FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')""")
+ FROM customer WHERE c_mktsegment <> 'FURNITURE'""")
 def existing_issues(t):
     """Issues whose body carries a decodable marker."""
     return review.decode_issues(raw_issues(t)).select("number", "state", "fingerprint", "file")
@@ -267,7 +269,7 @@ def issue_plan(t):
 
 
 @query("resolvable_issues", """WITH i AS (SELECT c_custkey AS number, substr(sha1(CAST(c_custkey % 900 AS STRING)), 1, 16) AS fp, c_custkey % 40 AS f, c_custkey % 30 AS q FROM customer
-  WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey % 2 = 0),
+  WHERE c_mktsegment <> 'FURNITURE' AND c_custkey % 2 = 0),
  cur AS (SELECT DISTINCT substr(sha1(CAST(o_custkey % 700 AS STRING)), 1, 16) AS fp FROM orders)
  SELECT number, 'the flagged code is no longer in the file' AS reason FROM i WHERE fp NOT IN (SELECT fp FROM cur)
  AND NOT EXISTS (SELECT 1 FROM nation n WHERE n.n_nationkey = i.f AND contains('let q = ' || (n.n_nationkey + n.n_regionkey) || ';', 'let q = ' || i.q))""")
@@ -291,7 +293,7 @@ def line_batches(t):
     return zipped.groupBy("doc_id", F.col("z.b").cast("bigint").alias("batch")).agg(F.count(F.lit(1)).alias("lines"), F.sum("z.s").alias("chars"))
 
 
-@query("finding_fingerprints", """SELECT doc_id, substr(sha1('code|bug|' || source || '|' || trim(regexp_replace(substr(text, 1, 80), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))), 1, 16) AS fingerprint FROM documents""")
+@query("finding_fingerprints", """SELECT doc_id, substr(sha1('code|bug|' || source || '|' || trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))), 1, 16) AS fingerprint FROM documents""")
 def finding_fingerprints(t):
     """Stable identity of a finding from its category, file and whitespace-collapsed quote."""
-    return t.table("documents").select("doc_id", review.code_fingerprint(F.lit("bug"), F.col("source"), F.substring("text", 1, 80)).alias("fingerprint"))
+    return t.table("documents").select("doc_id", review.code_fingerprint(F.lit("bug"), F.col("source"), F.col("text")).alias("fingerprint"))

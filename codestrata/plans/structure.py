@@ -321,13 +321,13 @@ def external_call_sites(t):
     return graph.external_call_sites(t.calls, module_path(t, 3))
 
 
-@query("capped_lists", with_(**EDG) + """, l AS (SELECT dst, list(src ORDER BY src) AS items FROM imports WHERE ends_with(dst, '3.js') GROUP BY 1)
+@query("capped_lists", with_(**EDG) + """, l AS (SELECT dst, list(src ORDER BY src) AS items FROM imports GROUP BY 1)
  SELECT dst AS module, CASE WHEN len(items) <= 25 THEN array_to_string(items, ', ') ELSE array_to_string(items[:25], ', ') || ', ... and ' || (len(items) - 25) || ' more' END AS shown FROM l""")
 def capped_lists(t):
-    """Importers of some modules as display lists: 25 names, then a count of the rest."""
+    """Importers of every module as display lists: 25 names, then a count of the rest."""
     from pyspark.sql import Window
 
-    own = t.imports.filter(F.col("to").endswith("3.js"))
+    own = t.imports
     # 26 names decide the text: the first 25 and whether there are more; the count is an aggregate.
     first = own.withColumn("n", F.row_number().over(Window.partitionBy("to").orderBy("from"))).filter("n <= 25") \
         .groupBy("to").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "from"))), lambda x: x["from"]).alias("items"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,18 +40,19 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Points checkpoints at the folder the cluster names. Only a local session without one gets a
-    temporary folder: an executor on another machine could not read a driver-local path."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Points checkpoints at the folder the cluster names and returns it. Only a local session without one gets a folder
+    next to its warehouse: an executor on another machine could not read it."""
     context = spark.sparkContext
     if context.getCheckpointDir():
-        return
+        return context.getCheckpointDir()
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="codestrata-checkpoint-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
     context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -71,16 +70,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(wanted)
 
 
-def spread_if_few_splits(df: DataFrame, smallest: int = 1 << 20) -> DataFrame:
-    """Deals out a scan that has fewer splits than there are cores (a single-row-group file is one task however
-    large it is). A table with enough splits is returned as it is; filters and column pruning still reach the
-    scan either way."""
-    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
-        return df
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return spread(df) if int(str(size)) >= smallest else df
-
-
 def _numbered_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
     """Rows sorted into range partitions, with ``_at`` (partition id and position) pinned by a checkpoint, so
     that totals per partition and the rows themselves are read from the same files. Sampled bounds over unique

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from codestrata.operators.history import BULK_COMMIT_FILES
 
 RECORD, FIELD, NUL = "\x1e", "\x1f", "\x00"
-MAX_BODY_CHARS = 2000
 # added, deleted, then the path, or an empty field followed by the old and the new path.
 NUMSTAT = r"(?s)(\d+|-)\t(\d+|-)\t(?:([^\x00\t]+)(?:\x00|\z)|\x00([^\x00]*)\x00([^\x00]*)(?:\x00|\z))"
 HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
@@ -47,7 +46,7 @@ def parse_commits(records: DataFrame, bulk_files: int = BULK_COMMIT_FILES) -> Da
     return split.select(
         h(0).alias("hash"), F.substring(h(0), 1, 7).alias("short"), F.filter(F.split(h(1), " "), lambda p: p != "").alias("parents"),
         F.when(F.trim(h(2)) == "", "unknown").otherwise(F.trim(h(2))).alias("author"), author_id(h(3), h(2)).alias("author_id"),
-        ts.alias("timestamp"), F.trim(h(5)).alias("subject"), F.substring(F.regexp_replace(h(6), r"^\s+|\s+$", ""), 1, MAX_BODY_CHARS).alias("body"),
+        ts.alias("timestamp"), F.trim(h(5)).alias("subject"), F.regexp_replace(h(6), r"^\s+|\s+$", "").alias("body"),
         "stats", F.size("stats").cast("bigint").alias("n_files")).withColumn("bulk", F.col("n_files") > bulk_files)
 
 

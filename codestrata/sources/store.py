@@ -13,11 +13,11 @@ PARTITION = "analysis_id"
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of the source and configuration files below a folder, at most a megabyte each. Size and
-    name filters run on the file listing, before any content is read."""
+    name filters run on the file listing, before any content is read; bytes that are not UTF-8 are replaced."""
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{py,js,jsx,ts,tsx,json}").load(root)
            .filter(F.col("length") <= paths.MAX_BLOB_BYTES))
     base = root.rstrip("/").removeprefix("file:")
-    files = raw.select(F.substring_index("path", base + "/", -1).alias("path"), F.decode("content", "UTF-8").alias("content"))
+    files = raw.select(F.substring_index("path", base + "/", -1).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     p = F.col("path")
     return files.filter((paths.has_source_extension(p) | paths.is_config_file(p)) & paths.is_safe_relative(p))
 

@@ -7,8 +7,7 @@ makes a restarted batch idempotent."""
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +28,7 @@ def deduplicated(findings: DataFrame, fingerprint: Column) -> DataFrame:
 
 def _shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder below the checkpoint folder, which all executors see."""
-    ensure_checkpoint_dir(spark)
-    base = spark.sparkContext.getCheckpointDir()
-    if base.startswith("file:"):
-        return tempfile.mkdtemp(prefix=f"{label}-", dir=base[len("file:"):])
-    return os.path.join(base, f"{label}-{spark.sparkContext.applicationId}-{os.urandom(4).hex()}")
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, label: str) -> DataFrame:

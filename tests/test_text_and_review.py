@@ -75,9 +75,12 @@ def test_routing(spark, question, intents):
     assert value(spark, text.route_intents(F.lit(question))) == intents
 
 
-@pytest.mark.parametrize("raw, fixed", [('{"a": [{"b": 1}}', '{"a": [{"b": 1}]}'), ('{ {"a": 1}', '{"a": 1}'), ('{"a": "]}"', '{"a": "]}"}'), ("{nope", None), ("[1]", None)])
-def test_bracket_repair(raw, fixed):
-    assert text._close_brackets(raw) == fixed
+@pytest.mark.parametrize("raw, fixed", [
+    ('{"a": [{"b": 1}}', '{"a":[{"b":1}]}'), ('{ {"a": 1}', '{"a":1}'), ('{"a": "]}"', '{"a":"]}"}'), ("{nope", None), ("[1]", None), (None, None), ("", None),
+    ("{" + " " * 250 + '{"b": 1, "a": [2]}', '{"a":[2],"b":1}'), ('{"a": "x\\"} {["}]', '{"a":"x\\"} {["}'), ('{"a": [1, {"b": 2]}', '{"a":[1,{"b":2}]}'),
+    ('{"a": 1', '{"a":1}'), ('{"a": "' + "y" * 60000 + '"', '{"a":"' + "y" * 60000 + '"}')])
+def test_bracket_repair(spark, raw, fixed):
+    assert value(spark, text.repair_json_brackets(F.lit(raw).cast("string"))) == fixed
 
 
 def test_manifests(spark):
