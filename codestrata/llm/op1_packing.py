@@ -61,7 +61,7 @@ def boundaries(bins: list[tuple[int, int, int]], buckets: int = BUCKETS) -> list
         for j in range(1, d + 1):
             if best[j - 1] is not None:
                 m, b = -count[j - 1], best[j - 1] + total[j - 1]
-                while len(hull) - head >= 2 and (hull[-2][1] - b) * (hull[-2][0] - hull[-1][0]) <= (hull[-2][1] - hull[-1][1]) * (hull[-2][0] - m):
+                while len(hull) - head >= 2 and (b - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - m):
                     hull.pop()
                 hull.append((m, b, j - 1))
             if head < len(hull):
