@@ -45,10 +45,10 @@ POSITIONS = 128
 TREES = 10
 BRANCHES, STEP = 3, 3
 BATCHES = (2, 8)
-SMALL, FEW = 1024, 32
+SMALL, FEW = 4096, 32
 DEEPEST = 12
 UNIT_BYTES = 8 << 20  # of member data in one task's call
-SLACK = 0.126         # the estimate may lie this far below the threshold: four standard deviations
+SLACK = 0.126         # the estimate may lie this far below the threshold: four standard deviations (agreeing bytes by chance only add)
 BROADCAST_ROWS = 500_000
 LAST = (1 << 63) - 1
 
@@ -89,7 +89,7 @@ def _slices_of(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterat
 
 
 def _describe(k: int):
-    """Per text: size of the set, a 128-bit digest of it, and its signature."""
+    """Per text: size of the set, a 128-bit digest of it, its signature, and a byte of each signature value."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,12 +102,13 @@ def _describe(k: int):
                 low = (sets >> np.uint64(32)).astype(np.uint32)
                 for i in range(POSITIONS):
                     signature[:, i] = np.minimum.reduceat(low * _MULTIPLY[i] + _ADD[i], starts[some])
-            digests, marks = [None] * batch.num_rows, [None] * batch.num_rows
+            digests, marks, briefs = ([None] * batch.num_rows for _ in range(3))
             for row, at in enumerate(some.tolist()):
                 digests[at] = xxhash.xxh3_128_digest(sets[starts[at]:ends[at]])
                 marks[at] = signature[row].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends - starts), pa.array(digests, pa.binary()), pa.array(marks, pa.binary())],
-                                             names=["id", "n", "digest", "signature"])
+                briefs[at] = (signature[row] & np.uint32(255)).astype(np.uint8).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends - starts), *[pa.array(x, pa.binary()) for x in (digests, marks, briefs)]],
+                                             names=["id", "n", "digest", "signature", "brief"])
 
     return run
 
@@ -129,7 +130,7 @@ def _estimated(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, POSITIONS) for c in ("sa", "sb"))
+                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, POSITIONS) for c in ("sa", "sb"))
                 near = pa.array((left == right).mean(axis=1) >= least)
                 yield batch.select(["a", "b"]).filter(near)
 
@@ -151,12 +152,15 @@ def _confirmed(percent: int):
     return run
 
 
+ROWS = 512  # of a square matrix looked at together
+
+
 def _roots(near: np.ndarray) -> np.ndarray:
-    """For each row of a symmetric relation the smallest row it reaches."""
-    roots = np.arange(len(near))
-    reach = near | np.eye(len(near), dtype=bool)
+    """For each row of a symmetric, reflexive relation the smallest row it reaches."""
+    size = len(near)
+    roots = np.arange(size, dtype=np.int32)
     while True:
-        smaller = np.where(reach, roots[None, :], len(near)).min(axis=1)
+        smaller = np.concatenate([np.where(near[i:i + ROWS], roots[None, :], np.int32(size)).min(axis=1) for i in range(0, size, ROWS)])
         smaller = smaller[smaller]
         if (smaller == roots).all():
             return roots
@@ -177,15 +181,14 @@ def _clusters(least: float, percent: int):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("node", "ascending"), ("id", "ascending")])
         node, ids, n, component = (rows.column(c).to_numpy() for c in ("node", "id", "n", "component"))
-        marks = rows.column("signature")
+        marks = rows.column("brief")
         clusters, members, known = [], [], []
         for a, b in _runs(node):
-            signatures = np.frombuffer(b"".join(marks.slice(a, b - a).to_pylist()), np.uint32).reshape(b - a, POSITIONS)
-            near = np.zeros((b - a, b - a), bool)
+            briefs = np.frombuffer(b"".join(marks.slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, POSITIONS)
+            near, size = np.zeros((b - a, b - a), bool), n[a:b]
             for i in range(b - a):
-                near[i] = (signatures == signatures[i]).sum(axis=1) >= least * POSITIONS
-            size = n[a:b]
-            near &= 100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :])
+                fits = np.flatnonzero(100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+                near[i, fits] = np.count_nonzero(briefs[fits] == briefs[i], axis=1) >= least * POSITIONS
             roots = _roots(near)
             for root in np.unique(roots).tolist():
                 inside = np.flatnonzero(roots == root)
@@ -228,8 +231,11 @@ def _linked(percent: int):
                 part = np.zeros((b - a, min(4096, len(shared) - low)), np.float32)
                 part[owner[here], code[here] - low] = 1
                 both += part @ part.T
-            both = both.astype(np.int64)
-            roots = _roots(100 * both >= percent * (size[:, None] + size[None, :] - both))
+            linked = np.eye(b - a, dtype=bool)  # whole numbers far below 2^24, exact as floats until multiplied
+            for i in range(0, b - a, ROWS):
+                some = both[i:i + ROWS].astype(np.int64)
+                linked[i:i + ROWS] |= 100 * some >= percent * (size[i:i + ROWS, None] + size[None, :] - some)
+            roots = _roots(linked)
             far = np.flatnonzero(roots != np.arange(b - a))
             out_a += ids[a:b][roots[far]].tolist()
             out_b += ids[a:b][far].tolist()
@@ -267,9 +273,9 @@ class _Join:
 
     def pairs(self, pairs: DataFrame) -> DataFrame | None:
         """Links among candidate pairs (a < b)."""
-        marks = self.classes.select("id", "signature")
-        near = cut(pairs.join(marks.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a")
-                   .join(marks.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
+        marks = self.classes.select("id", "brief")
+        near = cut(pairs.join(marks.select(F.col("id").alias("a"), F.col("brief").alias("sa")), "a")
+                   .join(marks.select(F.col("id").alias("b"), F.col("brief").alias("sb")), "b")
                    .select("a", "b", "sa", "sb").mapInArrow(_estimated(self.percent / 100 - SLACK), "a long, b long"))
         if near.isEmpty():
             return None
@@ -280,8 +286,8 @@ class _Join:
 
     def exhaustive(self, rows: DataFrame, count: int) -> DataFrame | None:
         """Links inside small nodes, ``rows`` (node, id, n, component); edges that connect what is linked."""
-        tasks = max(1, -(-count * 4 * POSITIONS // UNIT_BYTES))
-        loaded = rows.join(self.classes.select("id", "signature"), "id").withColumn("_task", F.pmod(F.xxhash64("node"), F.lit(tasks)))
+        tasks = max(1, -(-count * POSITIONS // UNIT_BYTES), -(-count // SMALL))
+        loaded = rows.join(self.classes.select("id", "brief"), "id").withColumn("_task", F.pmod(F.xxhash64("node"), F.lit(tasks)))
         clusters = cut(loaded.groupBy("_task").applyInArrow(_clusters(self.percent / 100 - SLACK, self.percent), "cluster long, id long, component long").distinct())
         count = clusters.count()
         if not count:
@@ -349,10 +355,10 @@ class _Join:
 def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text")
-    described = cut(texts.mapInArrow(_describe(k), "id long, n long, digest binary, signature binary"))
+    described = cut(texts.mapInArrow(_describe(k), "id long, n long, digest binary, signature binary, brief binary"))
     # rows of one digest have one set, so any of their signatures will do
-    classes = cut(described.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")))
-    labels = _Join(classes.select("id", "n", "signature"), texts.where("text is not null"), k, percent).run()
+    classes = cut(described.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "signature", "brief")]))
+    labels = _Join(classes.select("id", "n", "signature", "brief"), texts.where("text is not null"), k, percent).run()
     groups = classes.select(F.col("digest").alias("_digest"), F.col("id").alias("least"))
     if labels is not None:
         groups = groups.join(labels, groups["least"] == labels["id"], "left").select("_digest", F.coalesce("component", "least").alias("least"))
