@@ -16,12 +16,13 @@ the separator or WARC headers (lengths decide, not contents). Extra columns are
 from __future__ import annotations
 
 import gzip
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
 from codestrata.llm.common import partitions, scratch, table
 
@@ -112,11 +113,15 @@ def _value(column: str, fields: dict[str, str]):
     return int(raw) if column == "payload_length" else raw
 
 
-def records(stream, seekable: bool, wanted: list[tuple[str, frozenset]], payload: bool) -> Iterator[tuple]:
-    """Records of one archive as tuples of the schema; headers decide before payloads are touched."""
+def records(stream, seekable: bool, wanted: list[tuple[str, frozenset | None]], payload: bool) -> Iterator[tuple]:
+    """Records of one archive as tuples of the schema; headers decide (values, or None for any) before payloads are touched."""
+
+    def fits(value, values: frozenset | None) -> bool:
+        return value is not None if values is None else value in values
+
     while (fields := read_header(stream)) is not None:
         length = int(fields.get("content-length", 0))
-        keep = all(_value(column, fields) in values for column, values in wanted)
+        keep = all(fits(_value(column, fields), values) for column, values in wanted)
         if keep and payload:
             body = stream.read(length)
             if len(body) != length:
@@ -143,14 +148,14 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.payload = str(options.get("payload", "true")).lower() == "true"
         self.bytes = int(options.get("partitionBytes", PARTITION_BYTES))
-        self.wanted: list[tuple[str, frozenset]] = []
+        self.wanted: list[tuple[str, frozenset | None]] = []
 
     def pushFilters(self, filters: list[Filter]):
-        """Equality and IN on header columns are ours; the rest goes back to Spark."""
+        """Equality, IN and not-null on header columns are ours; the rest goes back to Spark."""
         for f in filters:
-            column = ".".join(f.attribute) if isinstance(f, EqualTo | In) else None
+            column = ".".join(f.attribute) if isinstance(f, EqualTo | In | IsNotNull) else None
             if column in PUSHED:
-                self.wanted.append((column, frozenset([f.value] if isinstance(f, EqualTo) else f.value)))
+                self.wanted.append((column, None if isinstance(f, IsNotNull) else frozenset([f.value] if isinstance(f, EqualTo) else f.value)))
             else:
                 yield f
 
@@ -180,7 +185,7 @@ class WarcReader(DataSourceReader):
         for path in partition.paths:
             with system.open_input_file(path) as raw:
                 packed = path.endswith(".gz")
-                stream, rows, size = gzip.GzipFile(fileobj=raw) if packed else raw, [], 0
+                stream, rows, size = gzip.GzipFile(fileobj=raw) if packed else io.BufferedReader(raw, 1 << 20), [], 0
                 for row in records(stream, not packed, self.wanted, self.payload):
                     rows.append(row)
                     size += 200 + len(row[-1] or b"")
