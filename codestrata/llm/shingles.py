@@ -34,14 +34,17 @@ class Words:
         self.counts = np.bincount(self.owner, minlength=len(texts)).astype(np.int64)
         self.ends = np.cumsum(self.counts)
         self.starts = self.ends - self.counts
+        self._hashed: np.ndarray | None = None
 
     def left(self) -> np.ndarray:
         """How many words of the same text begin at each word, itself included."""
         return self.ends[self.owner] - np.arange(len(self.owner))
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        """A 64-bit hash per word, computed once per kind."""
-        kinds = np.fromiter((xxhash.xxh3_64_intdigest(k, seed) for k in self.kinds.to_pylist()), dtype=np.uint64, count=len(self.kinds))
+        """A 64-bit hash per word; texts of kinds are hashed once, other seeds mix that hash again."""
+        if self._hashed is None:
+            self._hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, self.kinds.to_pylist()), dtype=np.uint64, count=len(self.kinds))
+        kinds = mixed(self._hashed, np.full(len(self._hashed), seed, np.uint64)) if seed else self._hashed
         return kinds[self.codes] if len(self.codes) else np.zeros(0, np.uint64)
 
 
