@@ -20,6 +20,7 @@ IMPORT_NAMES = {
     "strawberry-graphql": "strawberry", "tortoise-orm": "tortoise", "django-rest-framework": "rest_framework",
     "djangorestframework": "rest_framework", "elasticsearch-dsl": "elasticsearch_dsl", "sentry-sdk": "sentry_sdk",
 }
+# What names an import in each language.
 PYTHON_IMPORT = r"(?m)^\s*(?:from\s+([A-Za-z_][\w.]*)\s+import\b|import\s+([A-Za-z_][\w.]*(?:\s*,\s*[A-Za-z_][\w.]*)*))"
 SCRIPT_IMPORT = r"""(?m)(?:\bfrom\s+|\brequire\s*\(\s*|\bimport\s*\(\s*|^\s*import\s+)['"]([^'"]+)['"]"""
 SCRIPT_FILE = r"\.(js|jsx|ts|tsx|mjs|cjs)$"
@@ -35,6 +36,7 @@ def normalize(name: Column) -> Column:
 def requirement_name(spec: Column) -> Column:
     """Package named by one requirement specifier; null for options, URLs and blanks."""
     bare = F.trim(spec, F.lit(_QUOTES))
+    # fixed values: what ends a name, and what is no package
     name = normalize(F.regexp_extract(bare, r"^([^<>=!~;\[\s@(]*)", 1))
     return F.when(~bare.rlike(r"^(-|#|git\+|http)") & (bare != "") & (name != ""), name)
 
