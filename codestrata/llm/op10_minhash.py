@@ -30,6 +30,7 @@ gives no rows."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -368,10 +369,18 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
                       F.when(component != LAST, component).alias("component_id"), (component == F.col("id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the documents that another one of their group stands for."""
-    gone = link(docs.select("doc_id", "text"), k, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, also: tuple[tuple[int, int], ...] = ()) -> DataFrame:
+    """``docs`` without the documents that another one of their group stands for. ``also`` names further measures
+    (shingle words, percent): two documents link if any measure links them, and groups are the components of all links."""
+    pieces = [link(docs.select("doc_id", "text"), *measure).where("not kept").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+              for measure in ((k, percent), *also)]
+    if also:
+        # a star per group of each measure; stars that share a document become one group
+        joined = components(reduce(DataFrame.unionByName, pieces))
+        gone = joined.where("id <> component").select("id")
+    else:
+        gone = pieces[0].select(F.col("a").alias("id")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["id"]), "left_anti")
 
 
 def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,9 @@ reads it as the next stage's documents, so a stage never repeats an earlier one'
 but the last return the columns of ``documents``.
 
 1. quality rules: documents that policy ``v1`` of the rule ledger rejects go.
-2. near-dedup: of each group of equal or near-equal documents the smallest id stays.
+2. near-dedup: of each group of equal or near-equal documents the smallest id stays. Two documents are near if their
+   five-word shingles reach 80 % or their three-word shingles 85 %: a block put on or cut off passes the first sooner, words
+   changed here and there the second.
 3. substring dedup: words covered by a 20-word window that also starts earlier are removed from the text; ``n_chars``
    follows. A document may be left with an empty text; it stays a row.
 4. mixing: documents are repeated or left out as their source's target says.
@@ -22,6 +24,7 @@ from codestrata.llm import op1_packing, op2_quality_rules, op7_mixing, op9_subst
 from codestrata.llm.common import scratch, table
 
 POLICY = "v1"
+NEAR = ((5, 80),)  # besides the measure of the op10 query
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op10_minhash.keep_one(docs)
+    return op10_minhash.keep_one(docs, also=NEAR)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
