@@ -13,6 +13,7 @@ GAP = r"[\x20\x09-\x0D]+"
 
 # monotonically_increasing_id() keeps the position inside a partition in its low 33 bits.
 _POSITION_BITS = 33
+LAST = (1 << 63) - 1
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,6 +54,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """``docs`` (doc_id, text, ...) with a number (long) that no two rows share, in order of id, nulls last, and whether
+    the numbers are the ids themselves (``LAST`` for null).
+
+    They are as long as no id stands in two rows and at most one is null. Otherwise rows are sorted by id, text digest and
+    place of reading, and written once with their numbers, so every later read sees the same; rows that share an id, a null one
+    too, are documents of their own."""
+    key = F.col("doc_id").cast("long")
+    shared = docs.select(key.alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_rows")).where((F.col("_rows") > 1) | (F.col("_key") == LAST))
+    if shared.isEmpty():
+        return docs.withColumn(name, F.coalesce(key, F.lit(LAST))), True
+    marked = docs.withColumn("_key", key).withColumn("_digest", F.md5(F.col("text").cast("binary"))).withColumn("_at", F.monotonically_increasing_id())
+    order = [F.col("_key").asc_nulls_last(), F.col("_digest").asc_nulls_last(), F.col("_at").asc()]
+    ranged = marked.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).drop("_key", "_digest", "_at")
+    return cut(ranged.withColumn(name, F.monotonically_increasing_id())), False
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; a null or blank text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")

@@ -23,8 +23,9 @@ A large node is only rows: sizes, pivots and components are aggregates, a pivot
 split. A group of near copies becomes one component through its pivots, which ends its nodes.
 
 Nulls and edge cases: a null or blank text has no set, links with nothing and is kept; a text of fewer than three words
-has its whole sequence as its one shingle; a null id orders after all others and its component, if its own, is null.
-Rows repeated in full link as equal sets. Extra columns are ignored by ``link`` and kept by ``keep_one``. An empty table
+has its whole sequence as its one shingle; null ids order after all others and their component, if its smallest id is one,
+is null. Rows that share an id, a null one too, are told apart by a number of their own: rows repeated in full link as
+equal sets and one of them is kept. Extra columns are ignored by ``link`` and kept by ``keep_one``. An empty table
 gives no rows."""
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import components, cut, table
+from codestrata.llm.common import LAST, components, cut, numbered, table
 from codestrata.llm.shingles import Words, rolled
 
 SHINGLE = 3
@@ -51,7 +52,6 @@ DEEPEST = 12
 UNIT_BYTES = 8 << 20  # of member data in one task's call
 SLACK = 0.126         # the estimate may lie this far below the threshold: four standard deviations (agreeing bytes by chance only add)
 BROADCAST_ROWS = 500_000
-LAST = (1 << 63) - 1
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _MULTIPLY = _rng.integers(0, 1 << 32, POSITIONS, dtype=np.uint32) | np.uint32(1)
@@ -353,9 +353,8 @@ class _Join:
             level += 1
 
 
-def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text")
+def _grouped(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, n, component) for every row of ``texts`` (id, text), whose ids are all different."""
     described = cut(texts.mapInArrow(_describe(k), "id long, n long, digest binary, signature binary, brief binary"))
     # rows of one digest have one set, so any of their signatures will do
     classes = cut(described.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "signature", "brief")]))
@@ -364,23 +363,37 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     if labels is not None:
         groups = groups.join(labels, groups["least"] == labels["id"], "left").select("_digest", F.coalesce("component", "least").alias("least"))
     got = described.select("id", "n", "digest").join(groups, F.col("digest") == F.col("_digest"), "left")
-    component = F.coalesce("least", "id")
-    return got.select(F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"),
-                      F.when(component != LAST, component).alias("component_id"), (component == F.col("id")).alias("kept"))
+    return got.select("id", "n", F.coalesce("least", "id").alias("component"))
+
+
+def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
+    rows, own = numbered(docs.select("doc_id", "text"), "_row")
+    got = _grouped(rows.select(F.col("_row").alias("id"), "text"), k, percent)
+    if own:
+        doc_id, component_id = (F.when(F.col(c) != LAST, F.col(c)) for c in ("id", "component"))
+    else:
+        for c in ("id", "component"):
+            got = got.join(rows.select(F.col("_row").alias(f"_{c}"), F.col("doc_id").cast("long").alias(f"{c}_name")), F.col(c) == F.col(f"_{c}"))
+        doc_id, component_id = F.col("id_name"), F.col("component_name")
+    return got.select(doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), component_id.alias("component_id"),
+                      (F.col("component") == F.col("id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, also: tuple[tuple[int, int], ...] = ()) -> DataFrame:
     """``docs`` without the documents that another one of their group stands for. ``also`` names further measures
     (shingle words, percent): two documents link if any measure links them, and groups are the components of all links."""
-    pieces = [link(docs.select("doc_id", "text"), *measure).where("not kept").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    rows, _ = numbered(docs, "_row")
+    texts = rows.select(F.col("_row").alias("id"), "text")
+    pieces = [_grouped(texts, *measure).where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
               for measure in ((k, percent), *also)]
     if also:
         # a star per group of each measure; stars that share a document become one group
         joined = components(reduce(DataFrame.unionByName, pieces))
-        gone = joined.where("id <> component").select("id")
+        gone = joined.where("id <> component").select(F.col("id").alias("_row"))
     else:
-        gone = pieces[0].select(F.col("a").alias("id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["id"]), "left_anti")
+        gone = pieces[0].select(F.col("a").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:

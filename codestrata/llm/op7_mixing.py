@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import n_words, table, with_slots
+from codestrata.llm.common import n_words, numbered, table, with_slots
 
 WEIGHTS = (3, 1, 2)      # by rank of the source's name, repeating
 SHARE_PERCENT = 150      # of all words
@@ -76,11 +76,11 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 
 def emit(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mix itself: each document once per copy, with the columns of ``docs``. Copies are joined back by id, which
-    keeps texts out of the sort; rows that share an id each take the most copies any of them drew."""
-    picked = mix(docs.select("doc_id", "source", "text"), seed).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.max("copies").alias("_copies"))
-    return docs.join(picked, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn(
+    """The mix itself: each document once per copy, with the columns of ``docs``. Copies are joined back by a
+    number of each row, which keeps texts out of the sort; rows that share an id, a null one too, each take their own."""
+    rows, _ = numbered(docs, "_row")
+    picked = mix(rows.select("doc_id", "source", "text", "_row"), seed).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    return rows.join(picked, "_row").withColumn(
         "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 

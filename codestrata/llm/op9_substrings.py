@@ -22,9 +22,9 @@ slice, every document is streamed once, and a passage shared by a third of all d
 grouped by one phrase or window has at most a row per slice, or is an aggregate and a join that can be split. Slices are
 ``SLICES_PER_PARTITION`` to a shuffle partition. Spans and windows are compared by 128 bits of hashes.
 
-Nulls and edge cases: a null or blank text has no words and comes back as it is. A null id orders last. Rows that repeat
-an id and its text are one document and share the result. Extra columns are carried by ``dedup`` unless they have an
-output's name. An empty table gives no rows. A text is handled whole inside one task."""
+Nulls and edge cases: a null or blank text has no words and comes back as it is. A null id orders last. Rows that
+share an id, a null one too, are documents of their own, in order of their texts' digests, so of rows repeated in full only
+one keeps its words. Extra columns are carried by ``dedup`` unless they have an output's name. An empty table gives no rows. A text is handled whole inside one task."""
 
 from __future__ import annotations
 
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codestrata.llm.common import cut, partitions, table
+from codestrata.llm.common import cut, numbered, partitions, table
 from codestrata.llm.shingles import NOTHING, Words, mixed, rolled, sliding
 
 WINDOW = 20
@@ -48,7 +48,6 @@ REACH = WINDOW - PHRASE + 1
 BASE = np.uint64(0xD1342543DE82EF95)
 INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 SLICES_PER_PARTITION = 4
-LAST = (1 << 63) - 1
 
 # What a slice is told. Kind 0: a later copy (id). 1: a recurring phrase (h1). 2: the first place (id, start) of a span
 # (h1, h2) in all slices; n is 1 if its phrase stands in other spans too. 3: a repeated window (id, start).
@@ -262,7 +261,7 @@ def dedup(docs: DataFrame, want_text: bool = True) -> DataFrame:
     def slice_of(key):
         return F.pmod(F.xxhash64(key), F.lit(slices)).cast("int")
 
-    keyed = docs.select(*carried, "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"))
+    keyed, _ = numbered(docs.select(*carried, "text"), "_id")
     sliced = keyed.withColumn("_slice", slice_of("_id"))
     parts = sliced.groupBy("_slice")
 
