@@ -13,6 +13,7 @@ from codestrata.llm import (
     op8_tokens,
     op9_substrings,
     op10_minhash,
+    op13_merkle,
 )
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_tokens": op8_tokens.op8_tokens,
     "op9_substrings": op9_substrings.op9_substrings,
     "op10_minhash": op10_minhash.op10_minhash,
+    "op13_merkle": op13_merkle.op13_merkle,
 }
 ORACLES = {
     "op2_quality_rules": op2_quality_rules.SQL.strip(),
@@ -34,4 +36,5 @@ ORACLES = {
     "op7_mixing": op7_mixing.SQL.strip(),
     "op9_substrings": op9_substrings.SQL.strip(),
     "op10_minhash": op10_minhash.SQL.strip(),
+    "op13_merkle": op13_merkle.SQL.strip(),
 }
