@@ -13,6 +13,7 @@ from codestrata.llm import (
     op8_tokens,
     op9_substrings,
     op10_minhash,
+    op11_divergence,
     op13_merkle,
 )
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_tokens": op8_tokens.op8_tokens,
     "op9_substrings": op9_substrings.op9_substrings,
     "op10_minhash": op10_minhash.op10_minhash,
+    "op11_divergence": op11_divergence.op11_divergence,
     "op13_merkle": op13_merkle.op13_merkle,
 }
 ORACLES = {
@@ -36,5 +38,6 @@ ORACLES = {
     "op7_mixing": op7_mixing.SQL.strip(),
     "op9_substrings": op9_substrings.SQL.strip(),
     "op10_minhash": op10_minhash.SQL.strip(),
+    "op11_divergence": op11_divergence.SQL.strip(),
     "op13_merkle": op13_merkle.SQL.strip(),
 }
