@@ -27,7 +27,7 @@ from codestrata.llm.common import cut, table, with_slots
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 ARITY = 8
-CHUNK = 4096  # slots of a window, whole runs
+CHUNK = 64  # slots of a window, whole runs
 
 # Names inside the tree; inputs are narrowed to their key, order and digest first, so nothing clashes.
 PATH = "array<struct<l:string,r:string>>"
@@ -125,7 +125,7 @@ def manifest(docs: DataFrame, suspect: Column | None = None) -> DataFrame:
     spark = docs.sparkSession
     own = leaf()
     leaves = docs.select(F.col("lang").alias("tree"), F.col("doc_id").alias("id"), own.alias("digest"), (own if suspect is None else suspect).alias("presented"))
-    leaves = cut(placed(leaves, ["id", "digest"]))
+    leaves = cut(placed(cut(leaves), ["id", "digest"]))  # texts are hashed once, before rows are sorted
     levels = grow(leaves.select("tree", "slot", "last", "digest"))
     subroots = cut(tops(levels))
     upper = cut(placed(subroots.select(F.lit(0).alias("tree"), F.col("tree").alias("name"), "digest"), ["name"]))
