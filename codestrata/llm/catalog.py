@@ -14,6 +14,7 @@ from codestrata.llm import (
     op9_substrings,
     op10_minhash,
     op11_divergence,
+    op12_brown,
     op13_merkle,
 )
 
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_substrings": op9_substrings.op9_substrings,
     "op10_minhash": op10_minhash.op10_minhash,
     "op11_divergence": op11_divergence.op11_divergence,
+    "op12_brown": op12_brown.op12_brown,
     "op13_merkle": op13_merkle.op13_merkle,
 }
 ORACLES = {
