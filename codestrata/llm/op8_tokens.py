@@ -5,9 +5,7 @@ Texts are encoded with a given vocabulary file, each document ends with one end
 which rise or vary little, are delta encoded (format version 2). Row groups, pages and rows per page are set, so the
 page index lets a reader take a range of documents, or only the counts, without the token pages.
 
-Encoding speed: every word with its one leading space is encoded by the tokenizer once and kept in a bounded map. A
-byte-level vocabulary whose pattern never crosses from a non-space to a space gives the same ids for the pieces as for
-the whole text; a piece ending in white space is not closed but joined to the next, so runs of white space stay whole.
+Whole texts go to the tokenizer, ``BATCH_BYTES`` of them at a time.
 
 Nulls and edge cases: a null text is encoded as an empty one (only the end id). Null ids come first and are kept;
 repeated rows are written each, in any order among themselves. Columns other than id and text are not written. An empty
@@ -16,13 +14,10 @@ table gives no rows. A document's tokens are one list; its text is handled whole
 from __future__ import annotations
 
 import os
-import re
-import sys
-import types
 import zlib
-from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,9 +27,7 @@ from codestrata.llm.common import partitions, scratch, table
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-KEPT_PIECES, KEPT_PARTS = 600_000, 300_000  # pieces and parts a worker remembers
-KEPT_LENGTH = 64           # longer pieces are not remembered
-BATCH_BYTES = 4 << 20      # text encoded at a time
+BATCH_BYTES = 1 << 20      # text encoded at a time
 
 FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, tokens array<int>"
 WRITE_OPTIONS = {
@@ -52,78 +45,17 @@ WRITE_OPTIONS = {
 }
 
 
-# Inside a piece the pattern also never crosses from a letter or digit to one of these marks, or from a mark to a gap.
-_MARKS = re.compile(r"(?<=[^\W_])(?=[.,;:!?])|(?<=[.,;:!?])(?=[ \n\t\r])")
-
-
-# A gap after a gap: such texts are cut piece by piece.
-_GAPS = [g + " " for g in map(chr, range(0x3001)) if g.isspace()]
-
-
-def pieces(text: str) -> tuple[list[str], list[str]]:
-    """The text cut before every space that follows a character that is not white space: pieces as they stand, then
-    pieces that follow with one space before them (given without it). All of a text is in the second list but its
-    first piece, unless some white space has a space after it."""
-    parts = text.split(" ")
-    if parts[0] and not any(gap in text for gap in _GAPS):
-        return parts[:1], parts[1:]
-    found, current = [], parts[0]
-    for part in parts[1:]:
-        if current and not current[-1].isspace():
-            found.append(current)
-            current = " " + part
-        else:
-            current += " " + part
-    return [*found, current], []
-
-
-class _Known:
-    """What a worker remembers of a vocabulary: ids of pieces (as they stand, and after one space) and, apart from them, of
-    the parts that marks cut pieces into, since most new pieces are known words with other marks around them. The maps
-    are bounded; what does not fit is encoded again."""
-
-    def __init__(self, vocabulary: str):
-        import public_tokenizers
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.plain, self.spaced, self.parts = {}, {}, {}
-
-    def learn(self, plain: set[str], spaced: set[str]) -> tuple[dict, dict]:
-        """The ids of new pieces."""
-        cut = {piece: _MARKS.split(piece) for piece in plain | {" " + piece for piece in spaced}}
-        missing = list({part for found in cut.values() for part in found if part not in self.parts})
-        fresh = {part: array("I", e.ids).tobytes() for part, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True)}
-        ids = {piece: b"".join([fresh[part] if part in fresh else self.parts[part] for part in found]) for piece, found in cut.items()}
-        new = {piece: ids[piece] for piece in plain}, {piece: ids[" " + piece] for piece in spaced}
-        for kept, found, most in ((self.parts, fresh, KEPT_PARTS), (self.plain, new[0], KEPT_PIECES), (self.spaced, new[1], KEPT_PIECES)):
-            if len(kept) < most:  # a batch of a few megabytes may go over it
-                kept.update({k: v for k, v in found.items() if len(k) <= KEPT_LENGTH})
-        return new
-
-
 def encoder(vocabulary: str):
-    """texts -> their ids as little-endian 32-bit integers, the end id included, for the named vocabulary file. What is
-    remembered stays with the worker process from task to task."""
+    """texts -> their ids as little-endian 32-bit integers, the end id included, for the named vocabulary file."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-    store = sys.modules.setdefault("_known_token_pieces", types.ModuleType("_known_token_pieces")).__dict__
-    known = store[vocabulary] if vocabulary in store else store.setdefault(vocabulary, _Known(vocabulary))
-    end = array("I", [END_ID]).tobytes()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
 
     def encode(texts: list[str | None]) -> list[bytes]:
-        cut = [pieces(text) if text else ([], []) for text in texts]
-        ids = [(list(map(known.plain.get, plain)), list(map(known.spaced.get, spaced))) for plain, spaced in cut]
-        new: tuple[set, set] = set(), set()
-        for found, got in zip(cut, ids, strict=True):
-            for side in (0, 1):
-                if None in got[side]:
-                    new[side].update([p for p, i in zip(found[side], got[side], strict=True) if i is None])
-        here = known.learn(*new) if new[0] or new[1] else ({}, {})
-        for found, got in zip(cut, ids, strict=True):
-            for side in (0, 1):
-                if None in got[side]:
-                    got[side][:] = [here[side][p] if i is None else i for p, i in zip(found[side], got[side], strict=True)]
-        return [b"".join(plain) + b"".join(spaced) + end for plain, spaced in ids]
+        found = tokenizer.encode_batch_fast([text or "" for text in texts], add_special_tokens=False)
+        return [np.array([*e.ids, END_ID], np.dtype("<u4")).tobytes() for e in found]
 
     return encode
 
