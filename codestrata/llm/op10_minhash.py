@@ -81,7 +81,7 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.bincount(owner, minlength=len(texts))).astype(np.int64), out
 
 
-def _slices_of(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices_of(batches: Iterator[pa.RecordBatch], size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of about ``size`` bytes of text, so that arrays stay small."""
     for batch in batches:
         rows, at = max(1, int(batch.num_rows * size / max(batch.nbytes, 1))), 0
