@@ -29,10 +29,13 @@ def _ids(tokenizer, text):
     return tokenizer.encode(text or "", add_special_tokens=False).ids + [op8_tokens.END_ID]
 
 
-def test_batches_give_the_ids_of_each_text(tokenizer):
+def test_pieces_give_the_ids_of_the_whole_text(tokenizer):
     rng, encode = random.Random(1), op8_tokens.encoder(op8_tokens.VOCABULARY)
     parts = ["a", "b", "Foo", "don't", "  ", " ", "\n", "\t", "\x1c", " ", "\xa0", "!", "??", "12", "é", "<|endoftext|>", "\r\n", "\x0b", "\x85", ".", "_.", ",", "²", "ß", "中", "'s", " '"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    for text in texts:
+        plain, spaced = op8_tokens.pieces(text)
+        assert "".join(plain) + "".join(" " + p for p in spaced) == text
     for at in range(0, len(texts), 100):
         for text, ids in zip(texts[at:at + 100], encode(texts[at:at + 100]), strict=True):
             assert ids == array("I", _ids(tokenizer, text)).tobytes(), repr(text)
