@@ -14,45 +14,46 @@ from codestrata.session import cut_lineage
 MAX_HOPS = 5  # re-exports followed
 
 
-def module_index(paths: DataFrame) -> DataFrame:
+def module_index(paths: DataFrame, by: tuple = ()) -> DataFrame:
     """(name, path): what an import may call each file. Full dotted names come first, then package names of
-    ``__init__`` files, then every shorter dotted suffix that exactly one file can claim."""
-    full = paths.select(dotted_name(F.col("path")).alias("name"), "path", F.lit(0).alias("_prio"))
+    ``__init__`` files, then every shorter dotted suffix that exactly one file can claim. ``by`` adds leading keys, such as
+    a revision, within which names are looked up."""
+    full = paths.select(*by, dotted_name(F.col("path")).alias("name"), "path", F.lit(0).alias("_prio"))
     packages = full.filter(F.col("name").endswith(".__init__")).select(
-        F.regexp_replace("name", r"\.__init__$", "").alias("name"), "path", F.lit(1).alias("_prio"))
-    named = full.unionByName(packages).groupBy("name").agg(F.min_by("path", "_prio").alias("path"))
+        *by, F.regexp_replace("name", r"\.__init__$", "").alias("name"), "path", F.lit(1).alias("_prio"))
+    named = full.unionByName(packages).groupBy(*by, "name").agg(F.min_by("path", "_prio").alias("path"))
     pieces = F.split("name", r"\.")
-    suffixes = named.select("path", F.explode(F.transform(
+    suffixes = named.select(*by, "path", F.explode(F.transform(
         F.sequence(F.lit(2), F.greatest(F.size(pieces), F.lit(2))), lambda i: F.array_join(F.slice(pieces, i, F.size(pieces)), "."))).alias("name"))
-    claims = suffixes.filter("name <> '' AND name <> '__init__'").groupBy("name").agg(F.min("path").alias("path"), F.max("path").alias("_other"))
-    unique = claims.filter(F.col("path") == F.col("_other")).select("name", "path").join(named, "name", "left_anti")
+    claims = suffixes.filter("name <> '' AND name <> '__init__'").groupBy(*by, "name").agg(F.min("path").alias("path"), F.max("path").alias("_other"))
+    unique = claims.filter(F.col("path") == F.col("_other")).select(*by, "name", "path").join(named, [*by, "name"], "left_anti")
     return named.unionByName(unique)
 
 
-def _defined(facts: DataFrame) -> DataFrame:
+def _defined(facts: DataFrame, by: tuple = ()) -> DataFrame:
     """(path, name, kind): module-level functions and classes, functions first."""
     top = facts.filter("fact = 'function' AND owner IS NULL OR fact = 'class'")
-    return top.groupBy("path", "name").agg(F.min(F.when(F.col("fact") == "function", 0).otherwise(1)).alias("_k")).select(
-        "path", "name", F.when(F.col("_k") == 0, "function").otherwise("class").alias("kind"))
+    return top.groupBy(*by, "path", "name").agg(F.min(F.when(F.col("fact") == "function", 0).otherwise(1)).alias("_k")).select(
+        *by, "path", "name", F.when(F.col("_k") == 0, "function").otherwise("class").alias("kind"))
 
 
-def _located(facts: DataFrame, index: DataFrame, defined: DataFrame) -> DataFrame:
+def _located(facts: DataFrame, index: DataFrame, defined: DataFrame, by: tuple = ()) -> DataFrame:
     """Imports with the file their stem names (``target``) and, when the imported name is a file of its own and
     not something the stem's file defines, that file (``sub``)."""
     imports = facts.filter("fact = 'import'").select(
-        "path", "ord", F.col("owner").alias("stem"), F.col("name").alias("imported"), F.col("detail").alias("alias"))
-    stems = index.select(F.col("name").alias("stem"), F.col("path").alias("target"))
-    subs = index.select(F.col("name").alias("_full"), F.col("path").alias("sub"))
-    taken = defined.select(F.col("path").alias("target"), F.col("name").alias("imported"), F.lit(True).alias("_taken"))
-    j = imports.join(stems, "stem", "left").withColumn("_full", F.concat_ws(".", "stem", "imported")).join(
-        subs, "_full", "left").join(taken, ["target", "imported"], "left")
+        *by, "path", "ord", F.col("owner").alias("stem"), F.col("name").alias("imported"), F.col("detail").alias("alias"))
+    stems = index.select(*by, F.col("name").alias("stem"), F.col("path").alias("target"))
+    subs = index.select(*by, F.col("name").alias("_full"), F.col("path").alias("sub"))
+    taken = defined.select(*by, F.col("path").alias("target"), F.col("name").alias("imported"), F.lit(True).alias("_taken"))
+    j = imports.join(stems, [*by, "stem"], "left").withColumn("_full", F.concat_ws(".", "stem", "imported")).join(
+        subs, [*by, "_full"], "left").join(taken, [*by, "target", "imported"], "left")
     return j.withColumn("sub", F.when(F.col("imported").isNotNull() & F.col("_taken").isNull(), F.col("sub"))).drop("_full", "_taken")
 
 
-def import_edges(facts: DataFrame, index: DataFrame) -> DataFrame:
+def import_edges(facts: DataFrame, index: DataFrame, by: tuple = ()) -> DataFrame:
     """Distinct (from, to) module edges without self edges."""
-    located = _located(facts, index, _defined(facts))
-    ends = located.select(F.col("path").alias("from"), F.explode(F.array("target", "sub")).alias("to"))
+    located = _located(facts, index, _defined(facts, by), by)
+    ends = located.select(*by, F.col("path").alias("from"), F.explode(F.array("target", "sub")).alias("to"))
     return ends.filter("to IS NOT NULL AND to <> `from`").distinct()
 
 

@@ -63,15 +63,15 @@ def path_configs(files: DataFrame) -> DataFrame:
 # --- specifiers -----------------------------------------------------------------------------------------------
 
 
-def resolve_specifiers(wanted: DataFrame, known: DataFrame, configs: DataFrame | None = None) -> DataFrame:
+def resolve_specifiers(wanted: DataFrame, known: DataFrame, configs: DataFrame | None = None, by: tuple = ()) -> DataFrame:
     """(path, spec) -> target for specifiers that name a parsed file. ``wanted`` is distinct (path, spec),
-    ``known`` distinct (path).
+    ``known`` distinct (path). ``by`` adds leading keys to both, such as a revision, within which files are looked up.
 
     A specifier means the same to every file of one folder and language family, so it is resolved once per
     (folder, spec, family) and joined back. Candidates carry their order and meet the known files by equality;
     the first one that exists wins."""
-    key = ["folder", "spec", "own_ts"]
-    keyed = wanted.filter("spec <> ''").select("path", "spec", dirname(F.col("path")).alias("folder"), F.col("path").rlike(r"\.tsx?$").alias("own_ts"))
+    key = [*by, "folder", "spec", "own_ts"]
+    keyed = wanted.filter("spec <> ''").select(*by, "path", "spec", dirname(F.col("path")).alias("folder"), F.col("path").rlike(r"\.tsx?$").alias("own_ts"))
     specs = keyed.select(*key).distinct()
     relative = specs.filter(F.col("spec").startswith(".")).select(*key, _join(F.col("folder"), F.col("spec")).alias("base"), F.lit(0).alias("rank"))
     bases = relative.filter("base IS NOT NULL")
@@ -84,9 +84,9 @@ def resolve_specifiers(wanted: DataFrame, known: DataFrame, configs: DataFrame |
     probes = F.concat(F.array("base"), F.transform(exts, lambda e: F.concat(F.col("base"), e)),
                       F.transform(exts, lambda e: F.concat(F.when(F.col("base") == "", "index").otherwise(F.concat("base", F.lit("/index"))), e)), node_next)
     tried = bases.select(*key, "rank", F.posexplode(probes).alias("ord", "target"))
-    found = tried.join(known.select(F.col("path").alias("target")), "target", "left_semi")
+    found = tried.join(known.select(*by, F.col("path").alias("target")), [*by, "target"], "left_semi")
     best = found.groupBy(*key).agg(F.min_by("target", F.struct("rank", "ord")).alias("target"))
-    return keyed.join(best, key).select("path", "spec", "target")
+    return keyed.join(best, key).select(*by, "path", "spec", "target")
 
 
 def _alias_bases(specs: DataFrame, configs: DataFrame, key: list[str]) -> DataFrame:
