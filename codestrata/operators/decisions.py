@@ -1,6 +1,6 @@
 """Decision points: commits where an architectural choice became visible.
 
-Every detector yields (sha, kind, subject, significance, n_files, packages), so they union and rank together."""
+Detectors of manifests, infrastructure, folders and renames, and the ranking; ``detection`` pins them and unites them all."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from codestrata.plans import architecture, decisions, evolution, parsing, reports, review, snapshots, structure  # noqa: F401
+from codestrata.plans import architecture, decisions, detection, evolution, parsing, reports, review, snapshots, structure  # noqa: F401
 from codestrata.plans.registry import ORACLES, QUERIES  # noqa: F401
