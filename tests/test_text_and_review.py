@@ -144,7 +144,8 @@ def test_issue_plan(spark):
 
 
 def test_pull_request_links(spark):
-    assert value(spark, pull_requests.message_refs(F.lit("Fix (#12)"), F.lit("see #3, a#4 and #12, #5, #6"))) == [12, 3, 5]
+    assert value(spark, pull_requests.message_refs(F.lit("Fix (#12)"), F.lit("see #3, a#4 and #12, #5, #6"))) == [12, 3, 5, 6]
+    assert value(spark, pull_requests.message_refs(F.lit("Fix (#12)"), F.lit("see #3, a#4 and #12, #5, #6"), limit=3)) == [12, 3, 5]
     merges = spark.createDataFrame([("m1", ["b0", "f2"], "2024-01-05", "Merge pull request #9 from x/y"), ("m2", ["m1", "z"], "2024-01-06", "Merge branch z")],
                                    "hash string, parents array<string>, date string, subject string")
     parents = spark.createDataFrame([("f2", "f1"), ("f1", "b0"), ("b0", "root"), ("m1", "b0")], "hash string, parent string")
