@@ -135,3 +135,18 @@ def is_bot(author: Column) -> Column:
 def dotted_name(path: Column) -> Column:
     """``a/b/c.py`` -> ``a.b.c``; other paths unchanged."""
     return F.when(path.endswith(".py"), F.regexp_replace(F.regexp_replace(path, r"\.py$", ""), "/", ".")).otherwise(path)
+
+
+def unquoted(path: Column) -> Column:
+    """A path as a diff names it, without the quotes and escapes it has when it holds quotes, backslashes, control characters
+    or (by default) anything but ASCII: octal escapes are bytes, and the bytes are read as UTF-8."""
+    letters = {"a": "07", "b": "08", "t": "09", "n": "0A", "v": "0B", "f": "0C", "r": "0D"}
+    tokens = F.regexp_extract_all(F.substr(path, F.lit(2), F.length(path) - 2), F.lit(r"(?s)(\\[0-7]{3}|\\.|[^\\]+)"), F.lit(1))
+
+    def in_hex(token: Column) -> Column:
+        rest = F.substr(token, F.lit(2))
+        named = F.coalesce(*[F.when(rest == letter, code) for letter, code in letters.items()], F.hex(rest))
+        return F.when(~token.startswith("\\"), F.hex(token)).when(rest.rlike(r"^[0-7]{3}$"), F.lpad(F.conv(rest, 8, 16), 2, "0")).otherwise(named)
+
+    plain = F.decode(F.unhex(F.array_join(F.transform(tokens, in_hex), "")), "UTF-8")
+    return F.when(path.rlike(r'(?s)^".*"$') & (F.length(path) >= 2), plain).otherwise(path)

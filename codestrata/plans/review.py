@@ -87,6 +87,26 @@ def diff_files(t):
     return found.select("o_orderkey", "path", "old_path", "status", "binary", F.size("hunks").cast("bigint").alias("n_hunks"))
 
 
+@query("quoted_diff_files", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'plain name ' || o_orderkey || '.py' ELSE 'café_' || o_orderkey || '/tab' || chr(9) || 'here "q"' || chr(92) || 'new.py' END AS path,
+ CASE WHEN o_orderkey % 3 = 0 THEN 'plain name ' || o_orderkey || '.py' ELSE 'café_' || o_orderkey || '/tab' || chr(9) || 'here "q"' || chr(92) || CASE WHEN o_orderkey % 3 = 1 THEN 'old.py' ELSE 'new.py' END END AS old_path,
+ CASE WHEN o_orderkey % 3 = 1 THEN 'renamed' ELSE 'modified' END AS status FROM orders""")
+def quoted_diff_files(t):
+    """Paths of diffs that quote them: octal bytes, tabs, quotes and backslashes; and names with spaces, which end at a tab."""
+    k = F.col("o_orderkey").cast("string")
+
+    def quoted(side: str, name: str):
+        return F.concat(F.lit(f'"{side}caf\\303\\251_'), k, F.lit(f'/tab\\there \\"q\\"\\\\{name}.py"'))
+
+    body = F.lit("\n@@ -1 +1 @@\n-a\n+b\n")
+    renamed = F.concat(F.lit("similarity index 90%\nrename from "), quoted("", "old"), F.lit("\nrename to "), quoted("", "new"),
+                       F.lit("\n--- "), quoted("a/", "old"), F.lit("\n+++ "), quoted("b/", "new"), body)
+    changed = F.concat(F.lit("index 1..2\n--- "), quoted("a/", "new"), F.lit("\n+++ "), quoted("b/", "new"), body)
+    spaced = F.concat(F.lit("index 1..2\n--- a/plain name "), k, F.lit(".py\t\n+++ b/plain name "), k, F.lit(".py\t"), body)
+    text = F.when(F.col("o_orderkey") % 3 == 0, spaced).when(F.col("o_orderkey") % 3 == 1, renamed).otherwise(changed)
+    texts = t.table("orders").select("o_orderkey", F.concat(F.lit("diff --git x y\n"), text).alias("diff"))
+    return gitlog.diff_files(texts, ["o_orderkey"]).select("o_orderkey", "path", "old_path", "status")
+
+
 @query("diff_lines", f"""SELECT o_orderkey, kind, COALESCE(new_no, -1)::BIGINT AS new_no, txt AS text FROM (
  SELECT o_orderkey, ' ' AS kind, {START} AS new_no, 'keep ' || o_orderkey AS txt FROM orders WHERE {LIVE}
  UNION ALL SELECT o_orderkey, '-', NULL, 'old line' FROM orders WHERE {LIVE}

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codestrata.functions.paths import unquoted
 from codestrata.operators.history import BULK_COMMIT_FILES
 
 RECORD, FIELD, NUL = "\x1e", "\x1f", "\x00"
@@ -80,7 +81,8 @@ def diff_files(texts: DataFrame, keys: list[str]) -> DataFrame:
     sections = F.filter(F.split(whole, r"\ndiff --git "), lambda s: s.rlike(r"\A\S"))
     rows = texts.select(*keys, F.posexplode(sections).alias("section", "s"))
     head = F.regexp_extract("s", r"(?s)\A(.*?)(?:\n@@|\z)", 1)
-    grab = lambda pattern: F.nullif(F.regexp_extract(head, pattern, 1), F.lit(""))
+    # the text part of a path line ends at a tab that follows a name with spaces; a tab inside a name is escaped
+    grab = lambda pattern: unquoted(F.nullif(F.regexp_replace(F.regexp_extract(head, pattern, 1), r"\t\z", ""), F.lit("")))
     old_line, new_line = grab(r"(?m)^--- (.+)$"), grab(r"(?m)^\+\+\+ (.+)$")
     strip = lambda c, side: F.when(c != "/dev/null", F.regexp_replace(c, rf"^{side}/", ""))
     old_path = F.coalesce(grab(r"(?m)^rename from (.+)$"), strip(old_line, "a"))

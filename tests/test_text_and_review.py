@@ -156,3 +156,9 @@ def test_pull_request_links(spark):
     assert {tuple(r) for r in pull_requests.split_branch(urls, branches).collect()} == {("main/src", "main", "src"), ("feature/x/src/a", "feature/x", "src/a"), ("gone", None, None)}
     texts = spark.createDataFrame([(1, "t", "about secret/x"), (2, "t", "<!-- a -->fine")], "number int, title string, body string")
     assert [tuple(r) for r in pull_requests.visible_texts(texts, ["secret/*"]).select("number", "body").collect()] == [(2, "fine")]
+
+
+def test_unquoted_paths(spark):
+    cases = {r'"b/caf\303\251.py"': "b/café.py", r'"a\tb\n\"c\"\\d"': 'a\tb\n"c"\\d', r'"\344\270\255/\001x"': "中/\x01x", "plain/ä.py": "plain/ä.py", '"': '"', '""': "", '"open': '"open', r'"\\303"': "\\303"}
+    got = spark.createDataFrame([(c,) for c in cases] + [(None,)], "p string").select("p", paths.unquoted(F.col("p")).alias("u")).collect()
+    assert {r["p"]: r["u"] for r in got} == {**cases, None: None}
