@@ -37,7 +37,7 @@ LEAST_DOCS = 3
 TOP = 200
 SHARD_TERMS = 1 << 16
 MOST_BYTES = 32 << 20    # of transducers in a task at a time
-SLICE_BYTES = 2 << 20    # of text tokenised at a time
+SLICE_BYTES = 1 << 20    # of text tokenised at a time
 KEPT_COUNTS = 1 << 18    # counts a task adds up before it passes them on
 CELLS = 1 << 18          # of the matrix of terms and groups in a task at a time
 SIDE = 128               # groups compared with as many at a time

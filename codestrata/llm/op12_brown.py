@@ -45,9 +45,9 @@ ROUNDS = 12
 PARTS = 4                 # of the units move at a time at first
 ADD = 0.1
 PRIOR = 2.0
-SLICE_BYTES = 2 << 20     # of text read at a time
+SLICE_BYTES = 1 << 20     # of text read at a time
 KEPT_PAIRS = 1 << 18      # bigrams a task adds up before it passes them on
-GROUP_ROWS = 1 << 19      # bigrams turned into neighbours in one call
+GROUP_ROWS = 1 << 18      # bigrams turned into neighbours in one call
 
 
 def slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
