@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A word is a run of anything but ASCII white space.
@@ -49,6 +49,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, compared without case as Spark resolves them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def others(df: DataFrame, *made: str) -> list[str]:
+    """The columns of ``df`` that no output column replaces, compared without case."""
+    lower = {c.lower() for c in made}
+    return [c for c in df.columns if c.lower() not in lower]
+
+
 def partitions(spark: SparkSession) -> int:
     """How many shuffle partitions the session is set to; they are set so that a partition fits a task."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -65,9 +82,10 @@ def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, bool]:
     shared = docs.select(key.alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_rows")).where((F.col("_rows") > 1) | (F.col("_key") == LAST))
     if shared.isEmpty():
         return docs.withColumn(name, F.coalesce(key, F.lit(LAST))), True
-    marked = docs.withColumn("_key", key).withColumn("_digest", F.md5(F.col("text").cast("binary"))).withColumn("_at", F.monotonically_increasing_id())
-    order = [F.col("_key").asc_nulls_last(), F.col("_digest").asc_nulls_last(), F.col("_at").asc()]
-    ranged = marked.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).drop("_key", "_digest", "_at")
+    id_, digest, at = free(docs, "_key", "_digest", "_at")
+    marked = docs.withColumn(id_, key).withColumn(digest, F.md5(F.col("text").cast("binary"))).withColumn(at, F.monotonically_increasing_id())
+    order = [F.col(id_).asc_nulls_last(), F.col(digest).asc_nulls_last(), F.col(at).asc()]
+    ranged = marked.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).drop(id_, digest, at)
     return cut(ranged.withColumn(name, F.monotonically_increasing_id())), False
 
 
@@ -96,21 +114,19 @@ def with_slots(df: DataFrame, group: list[str], order: list[str], name: str) ->
     order take the positions among themselves in any way."""
     spark = df.sparkSession
     keys = [F.col(c).asc_nulls_last() for c in group] + [F.col(c).asc() for c in order]
+    at, part, of, first, rows, offset, *copies = free(df, "_at", "_part", "_p", "_first", "_rows", "_offset", *[f"_g{i}" for i in range(len(group))])
     ranged = df.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
-    placed = cut(ranged.withColumn("_at", F.monotonically_increasing_id())).withColumn(
-        "_part", F.shiftright("_at", _POSITION_BITS).cast("int"))
-    pieces = placed.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    placed = cut(ranged.withColumn(at, F.monotonically_increasing_id())).withColumn(part, F.shiftright(at, _POSITION_BITS).cast("int"))
+    pieces = placed.groupBy(*group, part).agg(F.min(at).alias(first), F.count(F.lit(1)).alias(rows))
     # partitions are in range order: a group's earlier rows lie in its earlier partitions
-    before = F.expr(f"sum(_rows) over (partition by {', '.join(f'`{c}`' for c in group)} order by _part"
-                    " rows between unbounded preceding and 1 preceding)")
-    offsets = pieces.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_part").alias("_p"), "_first",
-                            F.coalesce(before, F.lit(0)).alias("_offset"))
-    same = F.col("_part") == F.col("_p")
-    for i, c in enumerate(group):
-        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    before = F.sum(rows).over(Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = pieces.select(*[F.col(c).alias(g) for c, g in zip(group, copies, strict=True)], F.col(part).alias(of), first,
+                            F.coalesce(before, F.lit(0)).alias(offset))
+    same = F.col(part) == F.col(of)
+    for c, g in zip(group, copies, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(g))
     return placed.join(offsets, same, "left").withColumn(
-        name, (F.col("_at") - F.col("_first") + F.col("_offset")).cast("long")).drop(
-        "_at", "_part", "_p", "_first", "_offset", *[f"_g{i}" for i in range(len(group))])
+        name, (F.col(at) - F.col(first) + F.col(offset)).cast("long")).drop(at, part, of, first, offset, *copies)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import LAST, components, cut, numbered, table
+from codestrata.llm.common import LAST, components, cut, free, numbered, table
 from codestrata.llm.shingles import Words, rolled
 
 SHINGLE = 3
@@ -384,17 +384,18 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
 def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, also: tuple[tuple[int, int], ...] = ()) -> DataFrame:
     """``docs`` without the documents that another one of their group stands for. ``also`` names further measures
     (shingle words, percent): two documents link if any measure links them, and groups are the components of all links."""
-    rows, _ = numbered(docs, "_row")
-    texts = rows.select(F.col("_row").alias("id"), "text")
+    row = free(docs, "_row")[0]
+    rows, _ = numbered(docs, row)
+    texts = rows.select(F.col(row).alias("id"), "text")
     pieces = [_grouped(texts, *measure).where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
               for measure in ((k, percent), *also)]
     if also:
         # a star per group of each measure; stars that share a document become one group
         joined = components(reduce(DataFrame.unionByName, pieces))
-        gone = joined.where("id <> component").select(F.col("id").alias("_row"))
+        gone = joined.where("id <> component").select(F.col("id").alias(row))
     else:
-        gone = pieces[0].select(F.col("a").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+        gone = pieces[0].select(F.col("a").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:

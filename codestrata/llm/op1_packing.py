@@ -10,7 +10,8 @@ Boundaries are optimal among the bin maxima, hence optimal outright while no doc
 
 Nulls and edge cases: a null or blank text has length 0 and is packed like any other (a bucket whose boundary is 0
 pads to 0 and fills a batch with ``budget`` rows). A document longer than the budget has a batch to itself; nothing is
-cut or dropped. Repeated rows are packed each. Extra columns are kept unless an output column has their name. An empty
+cut or dropped. Repeated rows are packed each. Extra columns are kept unless an output column has their
+name, compared without case. An empty
 table gives no rows."""
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import n_words, table, with_slots
+from codestrata.llm.common import cut, free, n_words, others, table, with_slots
 
 BUCKETS = 16
 BUDGET = 16384
-EXACT = 4096
+EXACT = 131072
 BINS_PER_DOUBLING = 256
 
 
@@ -83,18 +84,19 @@ def boundaries(bins: list[tuple[int, int, int]], buckets: int = BUCKETS) -> list
 
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """``docs`` without the text, with n_words, bucket, pad_to, batch and row_in_batch. (bucket, batch) names a batch."""
-    made = ("n_words", "bucket", "pad_to", "batch", "row_in_batch", "text")
-    kept = [c for c in docs.columns if c not in made]
-    sized = docs.select(*kept, n_words(F.col("text")).alias("n_words"))
+    kept = others(docs, "n_words", "bucket", "pad_to", "batch", "row_in_batch", "text")
+    slot, room = free(docs, "_slot", "_rows")
+    # lengths are counted once: histogram and placement read them, not the texts
+    sized = cut(docs.select(*kept, n_words(F.col("text")).alias("n_words")))
     edges = boundaries(histogram(sized.select("n_words")), buckets)
     pad, bucket = F.lit(None).cast("long"), F.lit(None).cast("int")
     for i, edge in reversed(list(enumerate(edges))):
         pad = F.when(F.col("n_words") <= edge, F.lit(edge).cast("long")).otherwise(pad)
         bucket = F.when(F.col("n_words") <= edge, F.lit(i)).otherwise(bucket)
-    placed = with_slots(sized.withColumn("bucket", bucket).withColumn("pad_to", pad), ["bucket"], ["n_words", "doc_id"], "_slot")
+    placed = with_slots(sized.withColumn("bucket", bucket).withColumn("pad_to", pad), ["bucket"], ["n_words", "doc_id"], slot)
     rows = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(F.col("pad_to"), F.lit(1)))).cast("long")
-    return placed.withColumn("_rows", rows).withColumn("batch", F.floor(F.col("_slot") / F.col("_rows")).cast("long")).withColumn(
-        "row_in_batch", F.col("_slot") % F.col("_rows")).drop("_slot", "_rows")
+    return placed.withColumn(room, rows).withColumn("batch", F.floor(F.col(slot) / F.col(room)).cast("long")).withColumn(
+        "row_in_batch", F.col(slot) % F.col(room)).drop(slot, room)
 
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import let, table, words
+from codestrata.llm.common import free, let, others, table, words
 
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
@@ -86,12 +86,13 @@ def measure(docs: DataFrame) -> DataFrame:
     lines = let(F.filter(F.split(text, "\n"), lambda line: line.rlike(has_word)), lambda kept: F.struct(
         F.size(kept).cast("long").alias("n_lines"),
         (F.size(kept) - F.size(F.array_distinct(kept))).cast("long").alias("n_dup_lines")))
-    kept = [c for c in docs.columns if c not in MEASURES and c not in ("_w", "_l")]
-    return docs.select(*kept, per_row.alias("_w"), lines.alias("_l"),
+    kept = others(docs, *MEASURES)
+    w, per_line = free(docs, "_w", "_l")
+    return docs.select(*kept, per_row.alias(w), lines.alias(per_line),
                        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
                        F.regexp_count(text, F.lit("[A-Z]")).cast("long").alias("n_upper"),
                        F.regexp_count(text, F.lit("!")).cast("long").alias("n_bangs")).select(
-        *kept, "_w.n_words", "_w.word_chars", "n_symbols", "_l.n_lines", "_l.n_dup_lines", "_w.n_repeat_words", "n_upper", "n_bangs")
+        *kept, f"{w}.n_words", f"{w}.word_chars", "n_symbols", f"{per_line}.n_lines", f"{per_line}.n_dup_lines", f"{w}.n_repeat_words", "n_upper", "n_bangs")
 
 
 def ledger(docs: DataFrame) -> DataFrame:

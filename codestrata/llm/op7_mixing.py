@@ -8,14 +8,15 @@ the target closely; the offset comes from a hash of seed and source, so a rerun
 
 Nulls and edge cases: a null source is a source of its own, ordered last; a null or blank text has size 0 and, like
 every document of a source without words, is taken only as its source's copies say (0 words either way). Repeated rows
-are documents of their own. Extra columns are kept unless an output column has their name. An empty table gives no rows."""
+are documents of their own. Extra columns are kept unless an output column has their name, compared without case. An
+empty table gives no rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import n_words, numbered, table, with_slots
+from codestrata.llm.common import cut, free, n_words, numbered, others, table, with_slots
 
 WEIGHTS = (3, 1, 2)      # by rank of the source's name, repeating
 SHARE_PERCENT = 150      # of all words
@@ -57,31 +58,32 @@ def _offset(source: Column, seed: str) -> Column:
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """``docs`` with size, source_size, target, copies and taken (= copies * size)."""
-    made = ("size", "source_size", "target", "copies", "taken")
-    kept = [c for c in docs.columns if c not in made]
-    sized = docs.select(*kept, n_words(F.col("text")).alias("size"))
+    kept = others(docs, "size", "source_size", "target", "copies", "taken", "text")
+    slot, name, each, start = free(docs, "_slot", "_source", "_e", "_u")
+    # sizes are counted once: source totals and positions read them, not the texts
+    sized = cut(docs.select(*kept, n_words(F.col("text")).alias("size")))
     shares = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    slotted = with_slots(sized.drop("text"), ["source"], ["size", "doc_id"], "_slot")
+    slotted = with_slots(sized, ["source"], ["size", "doc_id"], slot)
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    shares = shares.select(F.col("source").alias("_source"), "source_size", "target", expected.alias("_e"),
-                           _offset(F.col("source"), seed).alias("_u"))
+    shares = shares.select(F.col("source").alias(name), "source_size", "target", expected.alias(each), _offset(F.col("source"), seed).alias(start))
     # one row per source against all rows: joined on the name, null equal to null
-    joined = slotted.join(shares, F.col("source").eqNullSafe(F.col("_source")))
+    joined = slotted.join(shares, F.col("source").eqNullSafe(F.col(name)))
 
     def crossed(n: Column) -> Column:
-        return F.floor(n.cast("double") * F.col("_e") + F.col("_u"))
+        return F.floor(n.cast("double") * F.col(each) + F.col(start))
 
-    copies = F.least(crossed(F.col("_slot") + 1) - crossed(F.col("_slot")), F.lit(MOST)).cast("long")
-    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("_slot", "_source", "_e", "_u")
+    copies = F.least(crossed(F.col(slot) + 1) - crossed(F.col(slot)), F.lit(MOST)).cast("long")
+    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop(slot, name, each, start)
 
 
 def emit(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself: each document once per copy, with the columns of ``docs``. Copies are joined back by a
     number of each row, which keeps texts out of the sort; rows that share an id, a null one too, each take their own."""
-    rows, _ = numbered(docs, "_row")
-    picked = mix(rows.select("doc_id", "source", "text", "_row"), seed).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
-    return rows.join(picked, "_row").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    row, copies, copy = free(docs, "_row", "_copies", "_copy")
+    rows, _ = numbered(docs, row)
+    picked = mix(rows.select("doc_id", "source", "text", row), seed).where("copies > 0").select(row, F.col("copies").alias(copies))
+    return rows.join(picked, row).withColumn(
+        copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:

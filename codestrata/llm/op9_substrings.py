@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codestrata.llm.common import cut, numbered, partitions, table
+from codestrata.llm.common import cut, free, numbered, others, partitions, table
 from codestrata.llm.shingles import NOTHING, Words, mixed, rolled, sliding
 
 WINDOW = 20
@@ -256,12 +256,16 @@ def dedup(docs: DataFrame, want_text: bool = True) -> DataFrame:
     spark = docs.sparkSession
     slices = SLICES_PER_PARTITION * partitions(spark)
     last = "text" if want_text else "kept_sha256"
-    carried = [c for c in docs.columns if c not in ("n_words", "n_removed", "text", "_id", "_slice", last)]
+    kept = others(docs, "n_words", "n_removed", "text", last)
+    # carried columns travel under numbers, so no name of theirs meets one of the slices'
+    carried = [f"_c{i}" for i in range(len(kept))]
 
     def slice_of(key):
         return F.pmod(F.xxhash64(key), F.lit(slices)).cast("int")
 
-    keyed, _ = numbered(docs.select(*carried, "text"), "_id")
+    row = free(docs, "_id")[0]
+    rows, _ = numbered(docs.select(*kept, "text"), row)
+    keyed = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, carried, strict=True)], "text", F.col(row).alias("_id"))
     sliced = keyed.withColumn("_slice", slice_of("_id"))
     parts = sliced.groupBy("_slice")
 
@@ -300,11 +304,11 @@ def dedup(docs: DataFrame, want_text: bool = True) -> DataFrame:
     repeats = windows.join(opening, (h1 == F.col("_h1")) & (h2 == F.col("_h2"))).where(F.struct("id", "start") != F.col("_first"))
     told_all = flags.unionByName(known).unionByName(told(repeats, 3, id=id_, start=start))
     kinds = {f.name: f.dataType for f in docs.schema}
-    schema = T.StructType([T.StructField(c, kinds[c]) for c in carried]
+    schema = T.StructType([T.StructField(n, kinds[c]) for c, n in zip(kept, carried, strict=True)]
                           + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(last, T.StringType())])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return cogrouped(told_all, _remove(carried, want_text, to_arrow_schema(schema)), schema)
+    return cogrouped(told_all, _remove(carried, want_text, to_arrow_schema(schema)), schema).toDF(*kept, "n_words", "n_removed", last)
 
 
 def op9_substrings(spark: SparkSession, folder: str) -> DataFrame:
