@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -57,12 +58,17 @@ def test_quality_empty_and_clashing(spark, documents):
     assert row["n_words"] == 2 and row["_other"] == 1
 
 
-def _shard(doc_id, n):
-    """The least exponential draw, from the published 64-bit hash of id and shard."""
-    def draw(s):
-        h = xxhash.xxh64_intdigest((s).to_bytes(4, "little"), seed=xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), seed=42))
-        return -math.log(((h >> 12) + 0.5) / (1 << 52))
-    return min(range(n), key=lambda s: (draw(s), s))
+def _shard(doc_id, n, base=40):
+    """Level by level down the tree of 5 shards a rack and 2 racks a region, later shards against the winning region's draw."""
+    def draw(level, node, weight):
+        seed = xxhash.xxh64_intdigest(level.encode(), seed=xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), seed=42))
+        h = xxhash.xxh64_intdigest(node.to_bytes(4, "little"), seed=seed)
+        return -math.log(((h >> 12) + 0.5) / (1 << 52)) / weight, node
+    below = lambda width, node: len(range(node * width, min((node + 1) * width, base)))
+    least, region = min(draw("region", r, below(10, r)) for r in range(-(-base // 10)))
+    rack = min(draw("rack", r, below(5, r)) for r in (region * 2, region * 2 + 1) if below(5, r))[1]
+    shard = min(draw("shard", s, 1) for s in range(rack * 5, min(rack * 5 + 5, base)))[1]
+    return min([(least, shard)] + [draw("increment", s, 1) for s in range(base, n)])[1]
 
 
 def test_sharding(documents, awkward):
@@ -80,14 +86,26 @@ def test_sharding(documents, awkward):
     assert set(by) == set(range(40)) and all(sorted(s) == list(range(len(s))) for s in by.values())
 
 
-def test_sharding_weights_move_only_into_what_grew(documents):
+def test_sharding_weights_move_only_through_what_grew(documents):
     docs = documents([(i, "t", "s") for i in range(4000)])
     before = {r["doc_id"]: r["shard"] for r in op3_sharding.assign(docs).collect()}
     after = {r["doc_id"]: r["shard"] for r in op3_sharding.assign(docs, weights={17: 3.0}).collect()}
-    moved = [i for i in before if before[i] != after[i]]
-    assert moved and all(after[i] == 17 for i in moved)
+    moved = [(before[i], after[i]) for i in before if before[i] != after[i]]
+    # into region 1 from others, inside it into rack 3, inside that into shard 17
+    assert moved and all(b // 10 == 1 and (a // 10 != 1 or (b // 5 == 3 and (a // 5 != 3 or b == 17))) for a, b in moved)
     share = sum(s == 17 for s in after.values()) / len(after)
     assert abs(share - 3 / 42) < 0.02
+    drained = {r["doc_id"]: r["shard"] for r in op3_sharding.assign(docs, weights={17: 0.0}).collect()}
+    assert 17 not in drained.values() and all(drained[i] // 10 == s // 10 for i, s in before.items() if s // 10 != 1)
+
+
+def test_sharding_grows_by_increments(documents):
+    docs = documents([(i, "t", "s") for i in range(3000)])
+    for shards, base in ((1, 1), (7, 7), (43, 40), (13, 12)):
+        got = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in op3_sharding.assign(docs, shards, base=base).collect()}
+        assert got == {i: (_shard(i, shards, base), _shard(i, shards + 1, base)) for i in got}
+    with pytest.raises(ValueError):
+        op3_sharding.tree_weights(2, {0: 0.0, 1: 0.0})
 
 
 def test_sharding_nulls_and_empty(documents):
