@@ -441,3 +441,13 @@ def micro_batch_dedupe(t):
     pushes = micro_review.stream_table(t.spark, t.folder, "events")
     once = micro_review.deduplicated(pushes.select("user_id", "event_type"), text.fingerprint(F.col("user_id"), F.col("event_type")))
     return micro_review.run_available(once.select("fingerprint"), "micro-review")
+
+
+@query("new_micro_batch_findings", """SELECT DISTINCT substr(sha1(user_id || '|' || event_type), 1, 16) AS fingerprint FROM events
+ WHERE substr(sha1(user_id || '|' || event_type), 1, 16) NOT IN (SELECT substr(sha1(user_id || '|' || event_type), 1, 16) FROM events WHERE event_type = 'error' AND user_id % 2 = 0)""")
+def new_micro_batch_findings(t):
+    """Findings of a push stream that no issue raised before names, with state bounded by event time."""
+    mark = text.fingerprint(F.col("user_id"), F.col("event_type"))
+    raised = t.table("events").where("event_type = 'error' AND user_id % 2 = 0").select(mark.alias("fingerprint"))
+    pushes = micro_review.stream_table(t.spark, t.folder, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    return micro_review.run_available(micro_review.deduplicated(pushes, mark, "ts", raised=raised).select("fingerprint"), "micro-review")

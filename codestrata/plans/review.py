@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codestrata.operators import review, rules
+from codestrata.operators import batching, review, rules
 from codestrata.plans.architecture import SNAP, snap_judged
 from codestrata.plans.registry import query
 from codestrata.plans.tables import path_of, with_
@@ -313,6 +313,37 @@ def line_batches(t):
     return zipped.groupBy("doc_id", F.col("z.b").cast("bigint").alias("batch")).agg(F.count(F.lit(1)).alias("lines"), F.sum("z.s").alias("chars"))
 
 
+PARTS = """WITH RECURSIVE f AS (SELECT l_orderkey AS o, l_linenumber AS l, SUM(l_suppkey) AS a, SUM(l_partkey) AS n FROM lineitem GROUP BY 1, 2),
+ h AS (SELECT o, l, i, LENGTH('@@ -' || i || ' +' || 10 * i || ',1 @@') + 9 + CAST((a * i) % 200 AS BIGINT) AS s FROM (SELECT o, l, a, UNNEST(GENERATE_SERIES(1, CAST(1 + n % 7 AS BIGINT))) AS i FROM f)),
+ w(o, l, i, p, used, s) AS (SELECT o, l, i, 0, s, s FROM h WHERE i = 1 UNION ALL
+  SELECT h.o, h.l, h.i, CASE WHEN w.used + h.s > 150 THEN w.p + 1 ELSE w.p END, CASE WHEN w.used + h.s > 150 THEN h.s ELSE w.used + h.s END, h.s
+  FROM w JOIN h ON h.o = w.o AND h.l = w.l AND h.i = w.i + 1),
+ parts AS (SELECT o, l, p, COUNT(*) AS hunks, CAST(SUM(LEAST(s, 150)) + COUNT(*) - 1 AS BIGINT) AS chars FROM w GROUP BY 1, 2, 3),
+ r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY o ORDER BY l, p) AS k FROM parts),
+ b(o, k, batch, used) AS (SELECT o, k, 0, chars FROM r WHERE k = 1 UNION ALL
+  SELECT r.o, r.k, CASE WHEN b.used + r.chars > 150 THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.used + r.chars > 150 THEN r.chars ELSE b.used + r.chars END
+  FROM b JOIN r ON r.o = b.o AND r.k = b.k + 1)"""
+
+
+def line_item_diffs(t):
+    """One diff per order: a file per line number, one-line hunks of many lengths."""
+    files = t.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_suppkey").alias("a"), F.sum("l_partkey").alias("n"))
+    name = F.format_string("src/f%d.py", "l_linenumber")
+    hunks = F.array_join(F.transform(F.sequence(F.lit(1).cast("bigint"), 1 + F.col("n") % 7), lambda i: F.concat(
+        F.format_string("@@ -%d +%d,1 @@\n+", i, 10 * i), F.repeat(F.lit("x"), (F.col("a") * i % 200).cast("int")))), "\n")
+    one = F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\nindex 1..2\n--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n"), hunks)
+    texts = files.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", one.alias("s")))).alias("parts"))
+    return texts.select("o_orderkey", F.array_join(F.transform("parts", lambda x: x["s"]), "\n").alias("diff"))
+
+
+@query("hunk_batches", f"""{PARTS} SELECT r.o AS o_orderkey, 'src/f' || l || '.py' AS path, CAST(p AS BIGINT) AS part, hunks, chars, CAST(batch AS BIGINT) AS batch
+ FROM r JOIN b ON b.o = r.o AND b.k = r.k""")
+def hunk_batches(t):
+    """Every diff's files in parts by hunks, and parts in requests, under a budget of 150 characters."""
+    files = gitlog.diff_files(line_item_diffs(t), ["o_orderkey"])
+    return batching.diff_batches(files, ["o_orderkey"], ["section"], 150).select("o_orderkey", "path", "part", "hunks", "chars", "batch")
+
+
 @query("finding_fingerprints", """SELECT doc_id, substr(sha1('code|bug|' || source || '|' || trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))), 1, 16) AS fingerprint FROM documents""")
 def finding_fingerprints(t):
     """Stable identity of a finding from its category, file and whitespace-collapsed quote."""

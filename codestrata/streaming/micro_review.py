@@ -3,7 +3,9 @@
 The stream is the only place with state. A push that is delivered twice, or a finding that several pushes
 repeat, must not raise a second issue, so fingerprints are deduplicated in the state store (on disk with the
 checkpoint, RocksDB when the cluster configures it) and written by an append-only file sink, whose commit log
-makes a restarted batch idempotent."""
+makes a restarted batch idempotent. With an event time the store forgets a fingerprint once the watermark has passed it
+by the horizon, so its size follows the findings of one horizon; what was raised before that is met in the table of
+raised issues."""
 
 from __future__ import annotations
 
@@ -21,9 +23,19 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def deduplicated(findings: DataFrame, fingerprint: Column) -> DataFrame:
-    """One row per fingerprint over the life of the stream."""
-    return findings.withColumn("fingerprint", fingerprint).dropDuplicates(["fingerprint"])
+def deduplicated(findings: DataFrame, fingerprint: Column, at: str | None = None, horizon: str = "30 days", raised: DataFrame | None = None) -> DataFrame:
+    """One row per fingerprint.
+
+    ``at`` names the event time: a fingerprint is then kept in the state for ``horizon`` behind the newest event, and rows
+    that come later than that are dropped by the stream (rows without a time too). ``raised`` (fingerprint) are issues known
+    before the stream starts; what they name is not raised again, however old. Without ``at`` every fingerprint is kept for
+    the life of the stream."""
+    marked = findings.withColumn("fingerprint", fingerprint)
+    if raised is not None:
+        marked = marked.join(raised.select("fingerprint").distinct(), "fingerprint", "left_anti")
+    if at is None:
+        return marked.dropDuplicates(["fingerprint"])
+    return marked.withWatermark(at, horizon).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
 def _shared_folder(spark: SparkSession, label: str) -> str:
