@@ -13,12 +13,13 @@ id, or the same document further up). Steps:
    so do all windows around the phrase there.
 4. Only where a phrase stands in several spans can windows of one span recur in another (the ends of passages). The
    first place of each such span reports its windows; those that are not the first of their kind are repeats.
-5. Each slice compiles the Aho-Corasick automaton of its recurring phrases, as sequences of word numbers, and streams
-   all its documents through it to locate every occurrence. An occurrence that is not its span's first place, and every
-   window of step 4, covers its words.
+5. A passage is confirmed when its span stands in two places or more. Each slice is told the confirmed spans it holds,
+   with their first place of all and a place of its own to read the phrase's words at, compiles Aho-Corasick automata of
+   those phrases as strings of word numbers, and streams all its documents through them to locate every occurrence.
+   An occurrence that is not its span's first place, and every window of step 4, covers its words.
 
-The automata are sharded by documents: a shard holds only phrases that occur in its slice, so its memory follows the
-slice, every document is streamed once, and a passage shared by a third of all documents is one row per slice. What is
+The automata are sharded by documents and, inside a slice, by ``SHARD`` phrases: a slice's hold only phrases that occur in
+it, so memory follows the slice, and a passage shared by a third of all documents is one row per slice. What is
 grouped by one phrase or window has at most a row per slice, or is an aggregate and a join that can be split. Slices are
 ``SLICES_PER_PARTITION`` to a shuffle partition. Spans and windows are compared by 128 bits of hashes.
 
@@ -48,9 +49,11 @@ REACH = WINDOW - PHRASE + 1
 BASE = np.uint64(0xD1342543DE82EF95)
 INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 SLICES_PER_PARTITION = 4
+SHARD = 131_072  # phrases of an automaton; its words, at most 2^20, fit the code points
 
 # What a slice is told. Kind 0: a later copy (id). 1: a recurring phrase (h1). 2: the first place (id, start) of a span
-# (h1, h2) in all slices; n is 1 if its phrase stands in other spans too. 3: a repeated window (id, start).
+# (h1, h2) in all slices, and the first one (own, begin) in this slice; n is 1 if its phrase stands in other spans too.
+# 3: a repeated window (id, start).
 
 
 def _sorted(docs: pa.Table) -> pa.Table:
@@ -125,6 +128,7 @@ def _report_phrases(docs: pa.Table, told: pa.Table) -> pa.Table:
 
 
 PLACES = pa.schema([("_slice", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("start", pa.int32())])
+SPANS = PLACES.append(pa.field("n", pa.int32()))
 
 
 def _number(docs: pa.Table, rows: int) -> pa.Array:
@@ -142,10 +146,10 @@ def _of_kind(told: pa.Table, kind: int) -> pa.Table:
 
 
 def _report_spans(docs: pa.Table, told: pa.Table) -> pa.Table:
-    """The first place in the slice of every span of a recurring phrase."""
+    """The first place in the slice of every span of a recurring phrase, and whether it has one (n 1) or more (2)."""
     known = _of_kind(told, 1).column("h1").to_numpy().view(np.uint64)
     if not docs.num_rows or not len(known):
-        return PLACES.empty_table()
+        return SPANS.empty_table()
     rows, copies = _without_copies(docs, told)
     words = Words(_texts(rows, copies))
     at, phrases = _phrases(words)
@@ -154,15 +158,16 @@ def _report_spans(docs: pa.Table, told: pa.Table) -> pa.Table:
     spans = _spans(words, at, _Ranges(words, 1))
     order = np.lexsort((at, spans, phrases))
     at, phrases, spans = at[order], phrases[order], spans[order]
-    first = np.concatenate([[True], (phrases[1:] != phrases[:-1]) | (spans[1:] != spans[:-1])]) if len(at) else np.zeros(0, bool)
-    return _located(docs, rows, words, phrases[first], spans[first], at[first])
+    first = np.flatnonzero(np.concatenate([[True], (phrases[1:] != phrases[:-1]) | (spans[1:] != spans[:-1])]) if len(at) else np.zeros(0, bool))
+    n = np.minimum(np.diff(np.append(first, len(at))), 2).astype(np.int32)
+    return _located(docs, rows, words, phrases[first], spans[first], at[first]).append_column("n", pa.array(n))
 
 
-def _places(words: Words, ids: np.ndarray, told: pa.Table) -> np.ndarray:
+def _places(words: Words, ids: np.ndarray, told: pa.Table, id_: str = "id", start: str = "start") -> np.ndarray:
     """Word places of (id, start) rows; -1 for those of other slices."""
-    wanted = told.column("id").to_numpy()
+    wanted = told.column(id_).to_numpy()
     row = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
-    return np.where(ids[row] == wanted, words.starts[row] + told.column("start").to_numpy(), -1)
+    return np.where(ids[row] == wanted, words.starts[row] + told.column(start).to_numpy(), -1)
 
 
 def _report_windows(docs: pa.Table, told: pa.Table) -> pa.Table:
@@ -182,44 +187,50 @@ def _report_windows(docs: pa.Table, told: pa.Table) -> pa.Table:
     return _located(docs, rows, words, _Ranges(words, 1).of(found, found + WINDOW), _Ranges(words, 2).of(found, found + WINDOW), found)
 
 
-def _automaton(words: Words, known: np.ndarray) -> ahocorasick.Automaton | None:
-    """The automaton of the slice's recurring phrases; its values are their hashes' numbers in ``known``."""
-    at, phrases = _phrases(words)
-    again = np.flatnonzero(np.isin(phrases, known))
-    if not len(again):
-        return None
-    kinds, one = np.unique(phrases[again], return_index=True)
-    number = np.searchsorted(known, kinds)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    codes = words.codes.tolist()
-    for value, p in zip(number.tolist(), at[again[one]].tolist(), strict=True):
-        automaton.add_word(tuple(codes[p:p + PHRASE]), value)
-    automaton.make_automaton()
-    return automaton
-
-
-def _covered(words: Words, ids: np.ndarray, told: pa.Table) -> np.ndarray:
-    """Which words a repeated window covers."""
+def _letters(numbers: np.ndarray) -> str:
+    """A character for each number, surrogates left out."""
+    points = np.where(numbers >= 0xD800, numbers + 0x800, numbers).astype("<u4")
+    return points.tobytes().decode("utf-32-le")
+
+
+def _occurrences(words: Words, phrases: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, numbers): every place at which a phrase stands inside one text, and its row in ``phrases``, the places its
+    words are read at (phrases differ). Words marked ``apart`` belong to no occurrence."""
+    found = [np.zeros((2, 0), np.int64)]
+    left = words.left()
+    for low in range(0, len(phrases), SHARD):
+        codes = words.codes[phrases[low:low + SHARD, None] + np.arange(PHRASE)]
+        kinds, numbers = np.unique(codes, return_inverse=True)
+        letters, automaton = _letters(numbers.ravel() + 1), ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for row in range(len(codes)):
+            automaton.add_word(letters[row * PHRASE:(row + 1) * PHRASE], low + row)
+        automaton.make_automaton()
+        number = np.zeros(len(words.kinds), np.int64)  # 0: a word of no phrase
+        number[kinds] = np.arange(1, len(kinds) + 1)
+        stream = number[words.codes]
+        stream[apart] = 0
+        hits = np.fromiter(automaton.iter(_letters(stream)), dtype=[("last", np.int64), ("row", np.int64)])
+        at = hits["last"] - PHRASE + 1
+        inside = left[at] >= PHRASE
+        found.append(np.stack([at[inside], hits["row"][inside]]))
+    at, row = np.concatenate(found, axis=1)
+    return at, row
+
+
+def _covered(words: Words, ids: np.ndarray, copies: np.ndarray, told: pa.Table) -> np.ndarray:
+    """Which words a repeated window covers, later copies aside."""
     edges = np.zeros(len(words.codes) + 1, np.int64)
     spans = _of_kind(told, 2)
-    known = np.unique(spans.column("h1").to_numpy().view(np.uint64))
-    automaton = _automaton(words, known) if len(known) else None
-    if automaton is not None:
-        found, values = [], []
-        for start, end in zip(words.starts.tolist(), words.ends.tolist(), strict=True):
-            if end - start >= WINDOW:
-                for last, value in automaton.iter(tuple(words.codes[start:end].tolist())):
-                    found.append(start + last - PHRASE + 1)
-                    values.append(value)
-        at, phrases = np.array(found, np.int64), known[np.array(values, np.int64)]
-        # an occurrence belongs to the span it stands in; its first place in all slices was told
-        key = mixed(phrases, _spans(words, at, _Ranges(words, 1)))
-        told_key = mixed(spans.column("h1").to_numpy().view(np.uint64), spans.column("h2").to_numpy().view(np.uint64))
+    if spans.num_rows:
+        h1, h2 = (spans.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
+        known, one = np.unique(h1, return_index=True)
+        at, row = _occurrences(words, _places(words, ids, spans, "own", "begin")[one], (copies | (words.counts < WINDOW))[words.owner])
+        # an occurrence belongs to the span it stands in; that span's first place in all slices was told
+        key, told_key = mixed(known[row], _spans(words, at, _Ranges(words, 1))), mixed(h1, h2)
         order = np.argsort(told_key)
         told_key, first = told_key[order], _places(words, ids, spans)[order]
         row = np.minimum(np.searchsorted(told_key, key), len(told_key) - 1)
-        again = (told_key[row] == key) & (first[row] != at)
-        begin, last = _around(words, at[again])
+        begin, last = _around(words, at[(told_key[row] == key) & (first[row] != at)])
         np.add.at(edges, begin, 1)
         np.add.at(edges, last + WINDOW, -1)
     repeats = _places(words, ids, _of_kind(told, 3))
@@ -234,7 +245,7 @@ def _remove(carried: list[str], want_text: bool, schema: pa.Schema):
             return schema.empty_table()
         rows, copies = _without_copies(docs, told)
         words = Words(rows.column("text"))
-        gone = _covered(words, rows.column("_id").to_numpy(), told)
+        gone = _covered(words, rows.column("_id").to_numpy(), copies, told)
         gone |= (copies & (words.counts >= WINDOW))[words.owner]
         n_removed = np.bincount(words.owner[gone], minlength=rows.num_rows).astype(np.int64)
         kept = np.concatenate([[0], np.cumsum(words.counts - n_removed)])
@@ -277,7 +288,7 @@ def dedup(docs: DataFrame, want_text: bool = True) -> DataFrame:
 
     def told(rows: DataFrame, kind: int, at=None, **columns) -> DataFrame:
         """Rows of what slices are told; columns not given are 0."""
-        empty = {"h1": nothing, "h2": nothing, "id": nothing, "start": zero, "n": zero}
+        empty = {"h1": nothing, "h2": nothing, "id": nothing, "start": zero, "own": nothing, "begin": zero, "n": zero}
         return rows.select((F.col("_slice") if at is None else at).alias("_slice"), F.lit(kind).alias("kind"),
                            *[columns.get(c, default).alias(c) for c, default in empty.items()])
 
@@ -291,18 +302,19 @@ def dedup(docs: DataFrame, want_text: bool = True) -> DataFrame:
     phrases = cogrouped(flags, _report_phrases, "_slice int, h1 long, n int")
     again = phrases.withColumn("n", F.sum("n").over(Window.partitionBy("h1"))).where("n > 1")
     place = "_slice int, h1 long, h2 long, id long, start int"
-    spans = cut(cogrouped(flags.unionByName(told(again, 1, h1=h1)), _report_spans, place))
+    spans = cut(cogrouped(flags.unionByName(told(again, 1, h1=h1)), _report_spans, place + ", n int"))
     # a span has one row per slice; a phrase may stand in any number of spans, so those are only aggregated
     whole = Window.partitionBy("h1", "h2").orderBy("id", "start").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     mixed_phrases = spans.groupBy(h1.alias("_h")).agg(F.min("h2").alias("_least"), F.max("h2").alias("_most")).where("_least < _most")
-    firsts = spans.select("_slice", "h1", "h2", F.first("id").over(whole).alias("id"), F.first("start").over(whole).alias("start"))
-    firsts = cut(firsts.join(mixed_phrases.select("_h"), h1 == F.col("_h"), "left").withColumn("n", F.col("_h").isNotNull().cast("int")))
-    known = told(firsts, 2, h1=h1, h2=h2, id=id_, start=start, n=F.col("n"))
-    windows = cut(cogrouped(flags.unionByName(known.where("n = 1")), _report_windows, place))
+    firsts = spans.select("_slice", "h1", "h2", id_.alias("own"), start.alias("begin"), F.first("id").over(whole).alias("id"),
+                          F.first("start").over(whole).alias("start"), F.sum("n").over(whole).alias("places"))
+    firsts = cut(firsts.join(mixed_phrases.select("_h"), h1 == F.col("_h"), "left").withColumn("n", F.col("_h").isNotNull().cast("int")).where("n = 1 or places > 1"))
+    known = {c: F.col(c) for c in ("h1", "h2", "id", "start", "own", "begin", "n")}
+    windows = cut(cogrouped(flags.unionByName(told(firsts.where("n = 1"), 2, **known)), _report_windows, place))
     # a window can stand in any number of spans: its first place is an aggregate, met by a join that can be split
     opening = windows.groupBy(h1.alias("_h1"), h2.alias("_h2")).agg(F.min(F.struct("id", "start")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     repeats = windows.join(opening, (h1 == F.col("_h1")) & (h2 == F.col("_h2"))).where(F.struct("id", "start") != F.col("_first"))
-    told_all = flags.unionByName(known).unionByName(told(repeats, 3, id=id_, start=start))
+    told_all = flags.unionByName(told(firsts.where("places > 1"), 2, **known)).unionByName(told(repeats, 3, id=id_, start=start))
     kinds = {f.name: f.dataType for f in docs.schema}
     schema = T.StructType([T.StructField(n, kinds[c]) for c, n in zip(kept, carried, strict=True)]
                           + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(last, T.StringType())])

@@ -54,6 +54,40 @@ def test_substrings_overlaps_and_hot_passages(documents):
     _check_substrings(documents(rows), rows)
 
 
+def test_automata_locate_every_occurrence(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    words = Words(pa.array(texts))
+    k = op9_substrings.PHRASE
+    places = [int(i) for i in np.flatnonzero(words.left() >= k)]
+    phrase = {p: tuple(words.codes[p:p + k].tolist()) for p in places}
+    kinds = sorted({phrase[p]: p for p in reversed(places)}.values())[:90]
+    apart = words.owner == 5
+    want = sorted((p, i) for i, kind in enumerate(kinds) for p in places if phrase[p] == phrase[kind] and words.owner[p] != 5)
+    for shard in (7, 1 << 17):
+        monkeypatch.setattr(op9_substrings, "SHARD", shard)
+        at, row = op9_substrings._occurrences(words, np.array(kinds), apart)
+        assert sorted(zip(at.tolist(), row.tolist(), strict=True)) == want
+    numbers = np.array([1, 0xD7FF, 0xD800, 1 << 20])
+    assert len(set(op9_substrings._letters(numbers))) == 4
+
+
+def test_automata_carry_the_result(monkeypatch):
+    """What the automata do not locate is not removed."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    words = Words(pa.array([passage, passage]))
+    at, phrases = op9_substrings._phrases(words)
+    spans = op9_substrings._spans(words, at, op9_substrings._Ranges(words, 1))
+    first = at < 20
+    n = int(first.sum())
+    told = pa.table({"kind": [2] * n, "h1": phrases[first].view(np.int64), "h2": spans[first].view(np.int64), "id": [1] * n, "start": at[first],
+                     "own": [1] * n, "begin": at[first]})
+    ids, copies = np.array([1, 2]), np.zeros(2, bool)
+    assert op9_substrings._covered(words, ids, copies, told).tolist() == [False] * 20 + [True] * 20
+    monkeypatch.setattr(op9_substrings, "_occurrences", lambda *_: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert not op9_substrings._covered(words, ids, copies, told).any()
+
+
 def test_substrings_text_and_columns(documents):
     long = " ".join(f"w{i}" for i in range(30))
     docs = documents([(1, long + "\n  x", "s"), (2, "y  y\t" + long, None), (None, None, "s"), (3, " spaced  out ", "s")]).withColumn("n_words", F.lit("mine"))
