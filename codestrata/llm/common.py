@@ -46,7 +46,17 @@ def cut(df: DataFrame) -> DataFrame:
     column that depends on partition order stays as it is, and sizes are known to the plans that follow."""
     path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._cut_folder = path
+    return written
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes what ``cut`` wrote for tables that no plan still to be run reads, so the shared folder holds only what is in use."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(df._cut_folder)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def free(df: DataFrame, *names: str) -> list[str]:

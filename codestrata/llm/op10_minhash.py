@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import LAST, components, cut, free, numbered, table
+from codestrata.llm.common import LAST, components, cut, drop, free, numbered, table
 from codestrata.llm.shingles import Words, rolled
 
 SHINGLE = 3
@@ -269,9 +269,12 @@ class _Join:
     def sets(self, ids: DataFrame) -> DataFrame:
         """(id, shingles) of the named ids, from their texts; ids are sent to the scan while they are few, else joined by
         a shuffle."""
+        ids = cut(ids)
         few = ids.count() <= BROADCAST_ROWS
         wanted = self.texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-        return cut(wanted.dropDuplicates(["id"]).select("id", "text").mapInArrow(_sets(self.k), "id long, shingles binary"))
+        sets = cut(wanted.dropDuplicates(["id"]).select("id", "text").mapInArrow(_sets(self.k), "id long, shingles binary"))
+        drop(ids)
+        return sets
 
     def pairs(self, pairs: DataFrame) -> DataFrame | None:
         """Links among candidate pairs (a < b)."""
@@ -280,11 +283,14 @@ class _Join:
                    .join(marks.select(F.col("id").alias("b"), F.col("brief").alias("sb")), "b")
                    .select("a", "b", "sa", "sb").mapInArrow(_estimated(self.percent / 100 - SLACK), "a long, b long"))
         if near.isEmpty():
+            drop(near)
             return None
-        sets = self.sets(cut(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()))
-        return cut(near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a")
-                   .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
-                   .select("a", "b", "xa", "xb").mapInArrow(_confirmed(self.percent), "a long, b long"))
+        sets = self.sets(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
+        linked = cut(near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a")
+                     .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
+                     .select("a", "b", "xa", "xb").mapInArrow(_confirmed(self.percent), "a long, b long"))
+        drop(near, sets)
+        return linked
 
     def exhaustive(self, rows: DataFrame, count: int) -> DataFrame | None:
         """Links inside small nodes, ``rows`` (node, id, n, component); edges that connect what is linked."""
@@ -293,12 +299,15 @@ class _Join:
         clusters = cut(loaded.groupBy("_task").applyInArrow(_clusters(self.percent / 100 - SLACK, self.percent), "cluster long, id long, component long").distinct())
         count = clusters.count()
         if not count:
+            drop(clusters)
             return None
-        sets = self.sets(cut(clusters.select("id").distinct()))
+        sets = self.sets(clusters.select("id").distinct())
         size = sets.agg(F.avg(F.octet_length("shingles"))).first()[0]
         tasks = max(1, int(count * size // UNIT_BYTES) + 1)
         loaded = clusters.select("cluster", "id").join(sets, "id").withColumn("_task", F.pmod(F.xxhash64("cluster"), F.lit(tasks)))
-        return cut(loaded.groupBy("_task").applyInArrow(_linked(self.percent), "a long, b long").distinct())
+        linked = cut(loaded.groupBy("_task").applyInArrow(_linked(self.percent), "a long, b long").distinct())
+        drop(clusters, sets)
+        return linked
 
     def add(self, found: list[DataFrame | None]) -> None:
         """Extends links and components."""
@@ -320,7 +329,7 @@ class _Join:
         """All levels of the trees that begin at the given positions."""
         roots = F.explode(F.array(*[F.xxhash64(F.lit(p), _value("signature", p)) for p in positions]))
         members = self.classes.select("id", "n", roots.alias("node"))
-        level = 1
+        level, read = 1, []
         while True:
             # nodes of one member end here
             sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -328,12 +337,15 @@ class _Join:
             each = placed.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c"))
             nodes = cut(each.groupBy("node").agg(F.sum("c").alias("size"), F.max("c").alias("most"), F.max_by("component", "c").alias("main"))
                         .where("most < size"))
+            drop(*read)  # the level above, of which these members came
+            read = [placed, nodes]
             small = F.col("size") <= SMALL
             inside = nodes.agg(F.sum(F.when(small, F.col("size"))), F.sum(F.when(~small, F.col("size")))).first()
             rows = placed.select("node", "id", "n", "component")
             found = [self.exhaustive(rows.join(nodes.where(small).select("node"), "node", "left_semi"), inside[0])] if inside[0] else []
             if not inside[1]:
                 self.add(found)
+                drop(*read)
                 return
             large = nodes.where(~small)
             few = F.lit(level >= DEEPEST) | (F.col("size") - F.col("most") <= FEW)
