@@ -100,20 +100,25 @@ def describe(package: Column) -> Column:
     return F.coalesce(F.concat(package, F.lit(" ("), category(package), F.lit(")")), package)
 
 
-def manifest_changes(after: DataFrame, before: DataFrame) -> DataFrame:
-    """(sha, manifest, package, side, dev, ecosystem, initial) for packages added to or removed from a manifest
-    by a commit. ``before`` is keyed by the commit whose parent version it is. ``initial`` marks manifests that
-    had no packages before."""
+def version_changes(versions: DataFrame) -> DataFrame:
+    """(sha, manifest, package, side, dev, ecosystem, initial) for packages added to or removed from a manifest by a commit.
+
+    ``versions`` is (sha, manifest, package, dev, ecosystem, after): the packages of a manifest as the commit leaves it, and
+    those it had before. ``initial`` marks manifests that had no packages before. Rows are dealt by commit once; what
+    follows here and in ``dependency_decisions`` is grouped where they are."""
     keys = ["sha", "manifest", "package"]
-    a = after.select(*keys, F.struct("dev", "ecosystem").alias("_a"))
-    b = before.select(*keys, F.struct("dev", "ecosystem").alias("_b"))
-    both = a.join(b, keys, "full_outer")
-    had = before.select("sha", "manifest").distinct().withColumn("_had", F.lit(True))
-    changed = both.filter(F.col("_a").isNull() | F.col("_b").isNull())
-    return changed.join(had, ["sha", "manifest"], "left").select(
-        *keys, F.when(F.col("_a").isNotNull(), "added").otherwise("removed").alias("side"),
-        F.coalesce("_a.dev", "_b.dev").alias("dev"), F.coalesce("_a.ecosystem", "_b.ecosystem").alias("ecosystem"),
-        F.col("_had").isNull().alias("initial"))
+    both = versions.repartition("sha").groupBy(*keys).agg(
+        F.max("after").alias("_a"), (~F.min("after")).alias("_b"), F.max("dev").alias("dev"), F.max("ecosystem").alias("ecosystem"))
+    had = F.max("_b").over(Window.partitionBy("sha", "manifest"))
+    return both.withColumn("initial", ~had).filter(F.col("_a") != F.col("_b")).select(
+        *keys, F.when(F.col("_a"), "added").otherwise("removed").alias("side"), "dev", "ecosystem", "initial")
+
+
+def manifest_changes(after: DataFrame, before: DataFrame) -> DataFrame:
+    """``version_changes`` of the packages after and before commits. ``before`` is keyed by the commit whose parent version it
+    is."""
+    columns = ["sha", "manifest", "package", "dev", "ecosystem"]
+    return version_changes(after.select(*columns, F.lit(True).alias("after")).unionByName(before.select(*columns, F.lit(False).alias("after"))))
 
 
 def _curated_first(prefix: list) -> list:
@@ -134,21 +139,20 @@ def dependency_decisions(changes: DataFrame) -> DataFrame:
     lead = F.row_number().over(Window.partitionBy(*manifest, "side").orderBy(*_curated_first([~F.col("notable")])))
     named = facts.withColumn("n", rank).withColumn("lead", lead)
     item = F.struct("n", "lead", "package", "shown", "weight", "notable")
-    lists = named.groupBy(*manifest).agg(*[
-        F.sort_array(F.collect_list(F.when(F.col("side") == s, item))).alias(s) for s in ("added", "removed")])
     curated = F.col("category").isNotNull()
 
     def total(side, keep):
         return F.sum(F.when((F.col("side") == side) & keep, F.col("weight")).otherwise(0.0))
 
-    sums = facts.groupBy(*manifest).agg(
+    lists = [F.sort_array(F.collect_list(F.when(F.col("side") == s, item))).alias(s) for s in ("added", "removed")]
+    sums = named.groupBy(*manifest).agg(
         F.max("initial").alias("initial"), F.count_if(F.col("side") == "added").alias("n_added"),
         F.count_if(F.col("side") == "removed").alias("n_removed"),
         (total("added", curated) + F.least(total("added", ~curated), F.lit(UNCURATED_CAP))).alias("w_added"),
         (total("removed", curated) + F.least(total("removed", ~curated), F.lit(UNCURATED_CAP))).alias("w_removed"),
         F.collect_set(F.when(F.col("side") == "added", F.col("category"))).alias("c_added"),
-        F.collect_set(F.when(F.col("side") == "removed", F.col("category"))).alias("c_removed"))
-    rows = sums.join(lists, manifest).filter(~F.col("initial") | (F.col("n_added") > 0))
+        F.collect_set(F.when(F.col("side") == "removed", F.col("category"))).alias("c_removed"), *lists)
+    rows = sums.filter(~F.col("initial") | (F.col("n_added") > 0))
 
     def shown(column, limit):
         first = column if limit is None else F.slice(column, 1, limit)
