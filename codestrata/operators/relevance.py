@@ -32,11 +32,17 @@ def merge_counts(parts: list[DataFrame], doc: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts).groupBy(doc, "token").agg(F.sum("n").alias("n"))
 
 
-def commit_terms(commits: DataFrame, touched: DataFrame, messages: list[Column], per_commit: int = PATHS_PER_COMMIT) -> DataFrame:
-    """Terms of a commit: its message and its first touched paths (``file_ord`` order). The rank keeps at most
-    ``per_commit`` rows of a commit inside each task before the shuffle."""
-    first = touched.withColumn("_n", F.row_number().over(Window.partitionBy("hash").orderBy("file_ord"))).filter(F.col("_n") <= per_commit)
-    return merge_counts([term_counts(commits, "hash", messages), term_counts(first, "hash", [F.col("path")])], "hash")
+def commit_terms(commits: DataFrame, touched: DataFrame, messages: list[Column], per_commit: int = PATHS_PER_COMMIT, path: Column | None = None) -> DataFrame:
+    """Terms of a commit: its message and its first touched paths (``file_ord`` order). Messages and paths are dealt by commit
+    once, in which the rank and the counts follow. ``path`` gives a path's text if ``touched`` holds keys."""
+    said = commits.select("hash", F.lit(None).alias("file_ord"), F.lit(None).alias("path"), F.array(*messages).alias("_said"))
+    rows = touched.select("hash", "file_ord", "path", F.lit(None).cast("array<string>").alias("_said"))
+    both = rows.unionByName(said.select("hash", F.col("file_ord").cast(rows.schema["file_ord"].dataType), F.col("path").cast(rows.schema["path"].dataType), "_said"))
+    place = F.sum(F.when(F.col("_said").isNull(), 1).otherwise(0)).over(
+        Window.partitionBy("hash").orderBy("file_ord").rowsBetween(Window.unboundedPreceding, 0))
+    first = both.withColumn("_n", place).filter(F.col("_said").isNotNull() | (F.col("_n") <= per_commit))
+    pieces = F.flatten(F.transform(F.coalesce("_said", F.array(F.col("path") if path is None else path)), text.tokens))
+    return first.select("hash", F.explode(pieces).alias("token")).groupBy("hash", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def inverse_frequency(terms: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -50,8 +56,8 @@ def vectors(terms: DataFrame, idf: DataFrame, n_docs: DataFrame, doc: str) -> Da
     """Unit-length (doc, token, weight) with (1 + ln n) * idf; terms never seen get the highest idf."""
     raw = terms.join(idf, "token", "left").join(F.broadcast(n_docs)).select(
         doc, "token", ((1.0 + F.log(F.col("n").cast("double"))) * F.coalesce("idf", F.log(1.0 + F.col("n_docs")) + 1.0)).alias("w"))
-    norm = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return raw.join(norm, doc).select(doc, "token", (F.col("w") / F.col("_norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))  # over one document's terms
+    return raw.select(doc, "token", (F.col("w") / norm).alias("w"))
 
 
 def cosines(queries: DataFrame, documents: DataFrame, query: str, doc: str) -> DataFrame:
@@ -61,12 +67,12 @@ def cosines(queries: DataFrame, documents: DataFrame, query: str, doc: str) -> D
     return documents.join(q, "token").groupBy(query, doc).agg(F.sum(F.col("w") * F.col("_q")).alias("similarity"))
 
 
-def focus_files(decisions: DataFrame, usage: DataFrame, imports: DataFrame) -> DataFrame:
+def focus_files(decisions: DataFrame, usage: DataFrame, imports: DataFrame, path: Column | None = None) -> DataFrame:
     """(decision, path, weight): a decision's own files without manifests and lock files, and the modules using
     its packages, weigh 1; what they import or are imported by weighs 0.5.
 
-    ``decisions`` is (decision, path), ``usage`` is (decision, path)."""
-    own = decisions.filter(~paths.is_dependency_file(F.col("path"))).select("decision", "path")
+    ``decisions`` is (decision, path), ``usage`` is (decision, path). ``path`` gives a path's text if they hold keys."""
+    own = decisions.filter(~paths.is_dependency_file(F.col("path") if path is None else path)).select("decision", "path")
     core = own.unionByName(usage.select("decision", "path")).distinct()
     ends = imports.select(F.col("from").alias("path"), F.col("to").alias("other")).unionByName(
         imports.select(F.col("to").alias("path"), F.col("from").alias("other")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from codestrata.functions import paths, text
 from codestrata.operators import documents, evaluation, graph, pull_requests, rules, source_text
 from codestrata.plans.architecture import CTE, SNAP, judged, snap_judged
-from codestrata.plans.decisions import EVIDENCE_SQL, _evidence, tokens_sql
+from codestrata.plans.decisions import EVIDENCE_SQL, _evidence, shown, tokens_sql
 from codestrata.plans.evolution import SNAP_HEALTH, snapshot_health
 from codestrata.plans.registry import query
 from codestrata.plans.structure import CALLEE, CALLER, FUN, GROUP, LAYERED, MOD
@@ -365,7 +365,7 @@ def usage_by_purpose(t):
  SELECT x.decision, x.i::BIGINT AS weighting, ROUND(len(list_intersect(x.s, b.s))::DOUBLE / len(list_distinct(x.s || b.s)), 6) AS jaccard FROM s x JOIN s b ON b.decision = x.decision AND b.i = 0 WHERE x.i > 0""")
 def evidence_sensitivity(t):
     """Overlap of each decision's evidence under other weightings."""
-    scored, _dated, _indexed = _evidence(t)
+    scored = shown(_evidence(t)[0])
     rounded = scored.select("decision", "hash", *[F.round(c, 6).alias(c) for c in ("time", "graph", "text")])
     found = evaluation.sensitivity(rounded, [(0.3, 0.45, 0.25), (1.0, 0.0, 0.0), (0.2, 0.4, 0.4)], 0.35, 11)
     return found.select("decision", F.col("weighting").cast("bigint").alias("weighting"), F.round("jaccard", 6).alias("jaccard"))
