@@ -94,17 +94,18 @@ def commits_in_range(parents: DataFrame, base: str, head: str) -> DataFrame:
     return found.join(merges, "hash", "left_anti")
 
 
-def resolve_range(parents: DataFrame, commits: DataFrame, head: str, base: str | None, count: int) -> DataFrame:
+def resolve_range(parents: DataFrame, commits: DataFrame, head: str, base: str | None, count: int, found: DataFrame | None = None) -> DataFrame:
     """One row (base, head, empty_base, fallback): the given base if it is a commit that ``head`` reaches; otherwise the commit
-    ``count`` first parents back, or the empty tree if the history is shorter, and why it fell back."""
+    ``count`` first parents back, or the empty tree if the history is shorter, and why it fell back. ``found`` is what ``entries`` gave
+    for this head, if it is known."""
     asked = base is not None and set(base) != {"0"}
     if asked:
-        found = entries(parents, one_head(parents, head))
+        found = entries(parents, one_head(parents, head)) if found is None else found
         chain = found.filter("on_chain")
         known = commits.filter(F.col("hash") == base).agg((F.count(F.lit(1)) > 0).alias("_known"))
         held = found.filter(F.col("hash") == base).agg((F.count(F.lit(1)) > 0).alias("_held"))
     else:
-        chain = first_parent_chain(parents, head)
+        chain = first_parent_chain(parents, head) if found is None else found.filter("on_chain")
         known, held = (parents.sparkSession.range(1).select(F.lit(False).alias(c)) for c in ("_known", "_held"))
     chain = chain.filter(F.col("step") == max(1, count)).agg(F.max("hash").alias("_back"))
     row = chain.crossJoin(known).crossJoin(held)  # one row each

@@ -29,7 +29,7 @@ def blocks(t) -> int:
 
 
 def parents(t):
-    """(hash, parent, ord) of the whole blocks."""
+    """(hash, parent, ord) of the whole blocks, by order keys: the hashes are built where rows leave (``hashed``)."""
     orders = t.table("orders").select(F.col("o_orderkey").alias("k")).filter(F.col("k") < 8 * blocks(t))
     place, first = F.col("k") % 8, F.when(F.col("k") % 8 == 0, F.col("k") - 1)
     second = None
@@ -38,16 +38,20 @@ def parents(t):
     for at, to in SECOND.items():
         second = (F.when if second is None else second.when)(place == at, F.col("k") - at + to)
     both = orders.select("k", F.posexplode(F.array(first, second)).alias("ord", "p")).filter("p >= 0")
-    return both.select(F.expr(hash_of("k")).alias("hash"), F.expr(hash_of("p")).alias("parent"), "ord")
+    return both.select(F.col("k").cast("long").alias("hash"), F.col("p").cast("long").alias("parent"), "ord")
 
 
-def head(t) -> str:
-    return key_hash(8 * blocks(t) - 1)
+def hashed(found):
+    return found.withColumn("hash", F.expr(hash_of("hash")))
 
 
-def middle(t) -> str:
+def head(t) -> int:
+    return 8 * blocks(t) - 1
+
+
+def middle(t) -> int:
     """A merge of a side branch in the middle of the history."""
-    return key_hash(8 * (blocks(t) // 2) + 4)
+    return 8 * (blocks(t) // 2) + 4
 
 
 CHAIN = "chain AS (SELECT hash, 3 * (nb - 1 - b) + CASE j WHEN 7 THEN 0 WHEN 6 THEN 1 ELSE 2 END AS step FROM y WHERE j IN (0, 6, 7))"
@@ -56,20 +60,20 @@ CHAIN = "chain AS (SELECT hash, 3 * (nb - 1 - b) + CASE j WHEN 7 THEN 0 WHEN 6 T
 @query("first_parent_chain", f"WITH {KEYS}, {CHAIN} SELECT hash, step FROM chain")
 def first_parent_chain(t):
     """The first-parent history of the newest commit, by doubling."""
-    return commit_graph.first_parent_chain(parents(t), head(t))
+    return hashed(commit_graph.first_parent_chain(parents(t), head(t)))
 
 
 @query("snapshot_points", f"""WITH {KEYS}, {CHAIN}, span AS (SELECT MAX(step) AS n FROM chain), pick AS (SELECT DISTINCT CAST(round_even(i * n::DOUBLE / 19, 0) AS BIGINT) AS age FROM range(20) r(i), span)
  SELECT hash, step FROM chain, span WHERE n - step IN (SELECT age FROM pick)""")
 def snapshot_points(t):
     """Twenty commits spread evenly over the first-parent history."""
-    return commit_graph.spread_over(commit_graph.first_parent_chain(parents(t), head(t)), 20)
+    return hashed(commit_graph.spread_over(commit_graph.first_parent_chain(parents(t), head(t)), 20))
 
 
 @query("commits_in_range", f"WITH {KEYS} SELECT hash FROM y WHERE j NOT IN (4, 7) AND (b > nb // 2 OR (b = nb // 2 AND j IN (5, 6)))")
 def commits_in_range(t):
     """Commits after a merge of a side branch, merges left out."""
-    return commit_graph.commits_in_range(parents(t), middle(t), head(t))
+    return hashed(commit_graph.commits_in_range(parents(t), middle(t), head(t)))
 
 
 @query("resolved_range", f"""WITH {KEYS}, e AS (SELECT '{commit_graph.EMPTY_TREE}' AS empty, MAX(CASE WHEN k = 8 * nb - 1 THEN hash END) AS head, MAX(CASE WHEN b = nb // 2 AND j = 4 THEN hash END) AS mid,
@@ -80,9 +84,12 @@ def commits_in_range(t):
  UNION ALL SELECT 'short', empty, mid, true, substr(late, 1, 7) || ' is not an ancestor of HEAD (force push?)' FROM e""")
 def resolved_range(t):
     """Where a range starts: at a given ancestor, else some first parents back, else at the empty tree."""
-    graph, commits, late = parents(t), t.commits, key_hash(8 * (blocks(t) // 2) + 5)
-    asks = [("ancestor", head(t), middle(t), 10), ("unknown", head(t), "1234567890123456", 10), ("zeros", head(t), "0" * 40, 10), ("none", head(t), None, 10), ("short", middle(t), late, 1 << 40)]
-    rows = [commit_graph.resolve_range(graph, commits, at, base, count).withColumn("ask", F.lit(ask)) for ask, at, base, count in asks]
+    graph, newest, mid = parents(t), head(t), middle(t)
+    # each head's history is labelled once, whatever is asked of it
+    known = {key_hash(k): hashed(commit_graph.entries(graph, commit_graph.one_head(graph, k))) for k in (newest, mid)}
+    late = key_hash(mid + 1)
+    asks = [("ancestor", newest, key_hash(mid), 10), ("unknown", newest, "1234567890123456", 10), ("zeros", newest, "0" * 40, 10), ("none", newest, None, 10), ("short", mid, late, 1 << 40)]
+    rows = [commit_graph.resolve_range(graph, t.commits, key_hash(at), base, count, known[key_hash(at)]).withColumn("ask", F.lit(ask)) for ask, at, base, count in asks]
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -93,5 +100,5 @@ def pull_request_commits(t):
     place, block = F.col("k") % 8, F.expr("k div 8")
     orders = t.table("orders").select(F.col("o_orderkey").alias("k")).filter(F.col("k") < 8 * blocks(t))
     number = F.when((place == 7) & (block % 3 != 0), block + 1).when((place == 4) & (block % 2 == 0), block + 100000)
-    numbered = orders.select(F.expr(hash_of("k")).alias("hash"), number.alias("number")).filter("number is not null")
-    return commit_graph.pull_request_commits(parents(t), numbered, head(t))
+    numbered = orders.select(F.col("k").cast("long").alias("hash"), number.alias("number")).filter("number is not null")
+    return hashed(commit_graph.pull_request_commits(parents(t), numbered, head(t)))

@@ -112,3 +112,11 @@ def test_long_histories_take_few_rounds(spark, monkeypatch):
     points = {r["step"] for r in commit_graph.spread_over(chain, 4).collect()}
     assert points == {299, 199, 100, 0}
     assert commit_graph.spread_over(chain, 1000).count() == 300
+
+
+def test_one_labelling_answers_all_ranges_of_a_head(spark, monkeypatch):
+    df = relation(spark, {"a": [], "b": ["a"], "c": ["b"], "d": ["b"], "e": ["c", "d"]})
+    commits, found = df.select("hash").distinct(), commit_graph.entries(df, commit_graph.one_head(df, "e"))
+    monkeypatch.setattr(commit_graph, "chains", None)  # nothing is walked again
+    answers = [tuple(commit_graph.resolve_range(df, commits, "e", base, 2, found).first()) for base in ("d", None)]
+    assert answers == [("d", "e", False, None), ("b", "e", False, None)]
