@@ -1,73 +1,69 @@
 """Next-fit batches over rows: consecutive items share a batch until the next one would overflow its budget.
 
-Batches are a chain: where one begins decides where the next does. Each row's successor, the begin of the next batch if one
-began at that row, is found in running sums; the rows the chain visits are found by doubling successors, so the rounds
-grow with the logarithm of the longest chain and no group is folded into an array."""
+Batches are a chain: where one begins decides where the next does. Rows are sorted by group and order, and a task reads
+them once in that order with one running sum; it holds one Arrow batch of rows, however long a group is, and no group is
+folded into an array."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from codestrata.operators.review import BATCH_CHARS
-from codestrata.session import cut_lineage
 from codestrata.sources import gitlog
 
 
-def _successors(placed: DataFrame, by: list[str], budget: int) -> DataFrame:
-    """``placed`` (by, _pos from 1, _size, ...) with _next: the first later position whose item no longer fits a batch that
-    begins here, null if all fit. An item larger than the budget has a batch to itself."""
-    ordered = Window.partitionBy(*by).orderBy("_pos")
-    before = F.coalesce(F.sum("_size").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
-    summed = placed.withColumn("_before", before)
-    whole = Window.partitionBy(*by)
-    ends = summed.withColumn("_count", F.max("_pos").over(whole)).withColumn("_total", F.max(F.col("_before") + F.col("_size")).over(whole))
-    # sums descend here, so the rows before the frame's end are those past the budget; the one before the first of them overflows
-    beyond = Window.partitionBy(*by).orderBy(F.desc("_before")).rangeBetween(Window.unboundedPreceding, -(budget + 1))
-    past = F.coalesce(F.min("_pos").over(beyond), F.when(F.col("_total") - F.col("_before") > budget, F.col("_count") + 1))
-    found = ends.withColumn("_next", F.greatest(F.col("_pos") + 1, past - 1)).withColumn("_next", F.when(past.isNotNull(), F.col("_next")))
-    return found.withColumn("_next", F.when(F.col("_next") <= F.col("_count"), F.col("_next"))).drop("_before", "_count", "_total")
+def _numbered(kept: list[str], budget: int):
+    """Arrow batches of sorted rows, with the number of each row's batch after the ``kept`` columns."""
+
+    def run(rows: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        batch = used = 0
+        for part in rows:
+            numbers = []
+            for position, size in zip(part.column("_pos").to_pylist(), part.column("_size").to_pylist()):
+                if position == 1:
+                    batch, used = 0, size
+                elif used + size > budget:
+                    batch, used = batch + 1, size
+                else:
+                    used += size
+                numbers.append(batch)
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(numbers, pa.int64())], [*kept, "_batch"])
 
-def _met(left: DataFrame, right: DataFrame, by: list[str], on: str, how: str = "inner") -> DataFrame:
-    """``left`` joined to ``right`` on ``by`` (null equal to null) and the position ``on``; ``right``'s keys are dropped."""
-    named = right.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col(on).alias("_on"), *[c for c in right.columns if c not in (*by, on)])
-    same = F.col(on) == F.col("_on")
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
-    return left.join(named, same, how).drop("_on", *[f"_by{i}" for i in range(len(by))])
+    return run
 
 
 def next_fit_rows(rows: DataFrame, by: list[str], order: list[str], size: str, budget: int = BATCH_CHARS, name: str = "batch") -> DataFrame:
     """``rows`` with the number (long, from 0) of the batch each falls into, in order within ``by``.
 
     A null size counts as 0; a null in ``by`` is a key like any other. Rows equal in order stand in any order. Sizes of 0 join the batch before them, or open one."""
+    # the window leaves its rows sorted, so position 1 begins a group and the fold needs no look at the keys
     placed = rows.withColumn("_pos", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint")).withColumn(
         "_size", F.coalesce(F.col(size), F.lit(0)).cast("bigint"))
-    chained = cut_lineage(_successors(placed, by, budget))
-    jumps = chained.where("_next is not null").select(*by, "_pos", "_next")
-    # groups of one batch have no jump and take no part in the doubling
-    reached = jumps.where("_pos = 1").select(*by, F.lit(1).cast("bigint").alias("_pos"))
-    while True:
-        step = cut_lineage(_met(reached, jumps, by, "_pos").select(*by, F.col("_next").alias("_pos")))
-        if step.isEmpty():
-            break
-        reached = reached.unionByName(step)
-        ahead = jumps.select(*by, F.col("_pos").alias("_next"), F.col("_next").alias("_then"))
-        jumps = cut_lineage(_met(jumps, ahead, by, "_next").select(*by, "_pos", F.col("_then").alias("_next")))
-    starts = reached.where("_pos > 1").select(*by, "_pos", F.lit(1).alias("_start"))
-    counted = F.coalesce(F.sum("_start").over(Window.partitionBy(*by).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    return _met(chained, starts, by, "_pos", "left").withColumn(name, counted.cast("bigint")).drop("_pos", "_size", "_next", "_start")
+    schema = StructType(list(rows.schema.fields)).add("_batch", LongType())
+    return placed.mapInArrow(_numbered(rows.columns, budget), schema).withColumn(name, F.col("_batch")).drop("_batch")
+
+
+def _shown_chars(hunk: Column) -> Column:
+    """Length of a hunk as it is shown: its header, and a line break and the rendered text for each of its lines."""
+    lines = gitlog.hunk_lines(hunk["body"])
+    first = F.struct(hunk["start"].cast("bigint").alias("no"), F.length(hunk["header"]).cast("bigint").alias("chars"))
+    return F.aggregate(lines, first, lambda seen, x: F.struct(
+        (seen["no"] + F.when(gitlog.line_kind(x) == "-", 0).otherwise(1)).alias("no"),
+        (seen["chars"] + 1 + F.length(gitlog.render_line(gitlog.line_kind(x), seen["no"], F.substr(x, F.lit(2))))).alias("chars")))["chars"]
 
 
 def hunk_sizes(files: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, section, path, hunk, chars): the length of every hunk as it is shown, from its lines' lengths; no text is built."""
-    lines = gitlog.diff_lines(files, keys)
-    body = lines.groupBy(*keys, "section", "hunk").agg(F.sum(F.length(gitlog.render_lines(lines)) + 1).alias("_body"))
-    heads = files.select(*keys, "section", "path", F.posexplode("hunks").alias("hunk", "_h")).select(
-        *keys, "section", "path", "hunk", F.length("_h.header").alias("_head"))
-    return heads.join(body, [*keys, "section", "hunk"], "left").select(
-        *keys, "section", "path", "hunk", (F.col("_head") + F.coalesce("_body", F.lit(0))).cast("bigint").alias("chars"))
+    """(keys, section, path, hunk, chars): the length of every hunk as it is shown. A hunk is one value, so its lines are
+    added up beside it."""
+    # the outer form keeps Spark from taking the text apart a second time in an inferred size filter
+    hunks = files.select(*keys, "section", "path", F.posexplode_outer("hunks").alias("hunk", "_h")).where("_h is not null")
+    return hunks.select(*keys, "section", "path", "hunk", _shown_chars(F.col("_h")).alias("chars"))
 
 
 def file_parts(hunks: DataFrame, keys: list[str], budget: int = BATCH_CHARS) -> DataFrame:
@@ -75,8 +71,8 @@ def file_parts(hunks: DataFrame, keys: list[str], budget: int = BATCH_CHARS) ->
     the budget and is shown up to it; hunks of a part are joined by line breaks."""
     placed = next_fit_rows(hunks, [*keys, "section"], ["hunk"], "chars", budget, "part")
     shown = F.sum(F.least(F.col("chars"), F.lit(budget))) + F.count(F.lit(1)) - 1
-    return placed.groupBy(*keys, "section", "part").agg(
-        F.first("path").alias("path"), F.count(F.lit(1)).alias("hunks"), shown.cast("bigint").alias("chars"))
+    # a section has one path; as a key it leaves the buffers to numbers
+    return placed.groupBy(*keys, "section", "path", "part").agg(F.count(F.lit(1)).alias("hunks"), shown.cast("bigint").alias("chars"))
 
 
 def diff_batches(files: DataFrame, keys: list[str], order: list[str], budget: int = BATCH_CHARS) -> DataFrame:

@@ -79,14 +79,19 @@ def diff_files(texts: DataFrame, keys: list[str]) -> DataFrame:
     ``diff_lines``, from the hunk starts."""
     whole = F.concat(F.lit("\n"), F.regexp_replace(F.regexp_replace("diff", r"\r\n?", "\n"), r"\n\z", ""))
     sections = F.filter(F.split(whole, r"\ndiff --git "), lambda s: s.rlike(r"\A\S"))
-    rows = texts.select(*keys, F.posexplode(sections).alias("section", "s"))
-    head = F.regexp_extract("s", r"(?s)\A(.*?)(?:\n@@|\z)", 1)
+    # the outer form keeps Spark from splitting the text a second time in an inferred size filter
+    rows = texts.select(*keys, F.posexplode_outer(sections).alias("section", "s")).filter("s IS NOT NULL")
+    rows = rows.withColumn("_head", F.regexp_extract("s", r"(?s)\A(.*?)(?:\n@@|\z)", 1))
+    head = F.col("_head")
+    # each step is a column of its own: an expression named twice below would be worked out twice
     # the text part of a path line ends at a tab that follows a name with spaces; a tab inside a name is escaped
-    grab = lambda pattern: unquoted(F.nullif(F.regexp_replace(F.regexp_extract(head, pattern, 1), r"\t\z", ""), F.lit("")))
-    old_line, new_line = grab(r"(?m)^--- (.+)$"), grab(r"(?m)^\+\+\+ (.+)$")
-    strip = lambda c, side: F.when(c != "/dev/null", F.regexp_replace(c, rf"^{side}/", ""))
-    old_path = F.coalesce(grab(r"(?m)^rename from (.+)$"), strip(old_line, "a"))
-    path = F.coalesce(strip(new_line, "b"), grab(r"(?m)^rename to (.+)$"), old_path)
+    grab = lambda pattern: F.nullif(F.regexp_replace(F.regexp_extract(head, pattern, 1), r"\t\z", ""), F.lit(""))
+    named = {"_old": r"(?m)^--- (.+)$", "_new": r"(?m)^\+\+\+ (.+)$", "_from": r"(?m)^rename from (.+)$", "_to": r"(?m)^rename to (.+)$"}
+    rows = rows.withColumns({c: grab(pattern) for c, pattern in named.items()}).withColumns({c: unquoted(F.col(c)) for c in named})
+    strip = lambda c, side: F.when(F.col(c) != "/dev/null", F.regexp_replace(c, rf"^{side}/", ""))
+    rows = rows.withColumn("_before", F.coalesce("_from", strip("_old", "a")))
+    old_path = F.col("_before")
+    path = F.coalesce(strip("_new", "b"), F.col("_to"), old_path)
     status = (F.when(head.rlike(r"(?m)^rename from "), "renamed").when(head.rlike(r"(?m)^deleted file mode"), "deleted")
               .when(head.rlike(r"(?m)^new file mode"), "added").otherwise("modified"))
     body = F.regexp_extract("s", r"(?s)\n(@@.*)\z", 1)
@@ -97,14 +102,23 @@ def diff_files(texts: DataFrame, keys: list[str]) -> DataFrame:
                        head.rlike(r"(?m)^Binary files ").alias("binary"), hunks.alias("hunks"))
 
 
+def hunk_lines(body: Column) -> Column:
+    """The lines of a hunk's body as they stand there; other rows, such as a mark of no newline, are left out."""
+    return F.filter(F.split(body, "\n"), lambda x: x.rlike(r"\A([+\- ]|\z)"))
+
+
+def line_kind(line: Column) -> Column:
+    return F.when(line == "", " ").otherwise(F.left(line, F.lit(1)))
+
+
 def diff_lines(files: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, section, path, hunk, pos, kind, new_no, text): every hunk line with its number in the new file;
     removed lines have none. A line's number is the hunk start plus the lines before it that are not removed;
     the window covers one hunk, whose text was a single value anyway."""
-    per_hunk = files.select(*keys, "section", "path", F.posexplode("hunks").alias("hunk", "h"))
-    raw = F.filter(F.split("h.body", "\n"), lambda x: x.rlike(r"\A([+\- ]|\z)"))
-    lines = per_hunk.select(*keys, "section", "path", "hunk", F.col("h.start").alias("start"), F.posexplode(raw).alias("pos", "x"))
-    kind = F.when(F.col("x") == "", " ").otherwise(F.left("x", F.lit(1)))
+    per_hunk = files.select(*keys, "section", "path", F.posexplode_outer("hunks").alias("hunk", "h")).filter("h IS NOT NULL")
+    raw = hunk_lines(F.col("h.body"))
+    lines = per_hunk.select(*keys, "section", "path", "hunk", F.col("h.start").alias("start"), F.posexplode_outer(raw).alias("pos", "x")).filter("x IS NOT NULL")
+    kind = line_kind(F.col("x"))
     hunk = Window.partitionBy(*keys, "section", "hunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.when(F.col("x").startswith("-"), 0).otherwise(1)).over(hunk), F.lit(0))
     return lines.withColumn("_before", before).select(
@@ -112,9 +126,13 @@ def diff_lines(files: DataFrame, keys: list[str]) -> DataFrame:
         F.when(kind != "-", F.col("start") + F.col("_before")).cast("bigint").alias("new_no"), F.substr("x", F.lit(2)).alias("text"))
 
 
-def render_lines(lines: DataFrame) -> Column:
+def render_line(kind: Column, new_no: Column, text: Column) -> Column:
     """Display form of a hunk line: right-aligned new number, kind, text."""
-    number = F.coalesce(F.col("new_no").cast("string"), F.lit(""))
+    number = F.coalesce(new_no.cast("string"), F.lit(""))
     padded = F.when(F.length(number) >= 5, number).otherwise(F.lpad(number, 5, " "))
-    return F.when(F.col("kind") == "-", F.concat(F.lit("      - "), F.col("text"))).otherwise(
-        F.concat(padded, F.lit(" "), F.col("kind"), F.lit(" "), F.col("text")))
+    return F.when(kind == "-", F.concat(F.lit("      - "), text)).otherwise(F.concat(padded, F.lit(" "), kind, F.lit(" "), text))
+
+
+def render_lines(lines: DataFrame) -> Column:
+    """``render_line`` of the rows of ``diff_lines``."""
+    return render_line(F.col("kind"), F.col("new_no"), F.col("text"))

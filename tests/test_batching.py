@@ -41,3 +41,26 @@ def test_files_are_split_by_hunks(spark):
     small = len("@@ -1 +1,1 @@") + 9
     assert [(r["path"], r["part"], r["hunks"], r["chars"], r["batch"]) for r in got] == [
         ("a.py", 0, 2, 2 * (small + 20) + 1, 0), ("a.py", 1, 1, 100, 1), ("b.py", 0, 1, small + 5, 2), ("c.py", 0, 1, small + 5, 2)]
+
+
+def test_one_pass_whatever_the_chain(spark):
+    """A chain of 20,000 batches takes no round of its own: no checkpoint, and the jobs of one sort."""
+    rows = spark.range(20000).selectExpr("0 as g", "id as i", "7 as s")
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    got = batching.next_fit_rows(rows, ["g"], ["i"], "s", 10)
+    assert set(spark.sparkContext.statusTracker().getJobIdsForGroup()) == before  # nothing ran to plan it
+    assert got.agg({"batch": "max"}).first()[0] == 19999
+
+
+def test_sizes_of_hunks_are_those_of_the_rendered_lines(spark):
+    """Numbers of five digits and more, removed and empty lines, a mark of no newline, hunks without lines."""
+    from pyspark.sql import functions as F
+
+    body = "+a\n-bb\n ccc\n\n\\ No newline at end of file\n+d"
+    diff = f"diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1 +9998,4 @@ def f\n{body}\n@@ -9 +123456 @@\n+z\n@@ -10 +7 @@\n"
+    files = gitlog.diff_files(spark.createDataFrame([(1, diff), (2, None), (3, "")], "id int, diff string"), ["id"])
+    lines = gitlog.diff_lines(files, ["id"])
+    shown = {r["hunk"]: r["n"] for r in lines.groupBy("hunk").agg(F.sum(F.length(gitlog.render_lines(lines)) + 1).alias("n")).collect()}
+    heads = {0: "@@ -1 +9998,4 @@ def f", 1: "@@ -9 +123456 @@", 2: "@@ -10 +7 @@"}
+    got = {r["hunk"]: r["chars"] for r in batching.hunk_sizes(files, ["id"]).collect()}
+    assert got == {h: len(head) + shown.get(h, 0) for h, head in heads.items()}
