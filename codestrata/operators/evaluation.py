@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.text import tokens
+from codestrata.session import stored
 
 MATCH_DAYS = 30
+BLOCK_WORDS = 1_000_000  # words of a block of records, or of decisions, that meet in one task
 
 
 def precision_recall(expected: DataFrame, predicted: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
@@ -34,27 +36,87 @@ def routing_accuracy(routed: DataFrame) -> DataFrame:
                       F.avg(F.when(hit & (F.size("intents") == 1), 1.0).otherwise(0.0)).alias("exact"))
 
 
+def _best_in_block(days: int):
+    """A block of record sets and one of decision sets -> the best decision of each record set and day (``match_records``)."""
+
+    def run(records, decisions):
+        import numpy as np
+        import pyarrow as pa
+
+        def parts(column):
+            lists = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            return lists.flatten(), sizes, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+        ours, _, begins = parts(records.column("_w"))
+        theirs, sizes, _ = parts(decisions.column("_w"))
+        numbers = pa.concat_arrays([ours, theirs]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        mine, held = numbers[:len(ours)], numbers[len(ours):]
+        # the decision sets that hold each word, one after the other
+        holders = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(held, kind="stable")]
+        at = np.concatenate([[0], np.cumsum(np.bincount(held, minlength=int(numbers.max(initial=-1)) + 1))])
+        found, counts, _ = parts(decisions.column("_found"))
+        order = np.argsort(found.field("day").to_numpy(zero_copy_only=False), kind="stable")
+        day, owner = found.field("day").to_numpy(zero_copy_only=False)[order], np.repeat(np.arange(len(counts)), counts)[order]
+        ids = found.field("decision").take(pa.array(order))
+        wanted, _, first = parts(records.column("_days"))
+        wanted = wanted.to_numpy(zero_copy_only=False)
+        out = []
+        for i in range(records.num_rows):
+            lists = [holders[at[w]:at[w + 1]] for w in mine[begins[i]:begins[i + 1]]]
+            shared = np.bincount(np.concatenate(lists), minlength=len(sizes)) if lists else np.zeros(len(sizes), np.int64)
+            for d in wanted[first[i]:first[i + 1]].tolist():
+                low, high = np.searchsorted(day, [d - days, d + days + 1])
+                near = shared[owner[low:high]]
+                most = int(near.max(initial=0))
+                if most:
+                    equal = low + np.flatnonzero(near == most)
+                    gaps = np.abs(day[equal] - d)
+                    least = min(ids.take(pa.array(equal[gaps == gaps.min()])).to_pylist(), key=lambda x: (x is not None, x))
+                    out.append((i, d, least, most, int(gaps.min())))
+        rows, dates, chosen, most, gap = zip(*out) if out else ((),) * 5
+        return pa.table({"_set": records.column("_set").take(pa.array(rows, pa.int64())), "_d": pa.array(dates, pa.int32()),
+                         "decision": pa.array(chosen, ids.type), "shared": pa.array(most, pa.int64()), "_gap": pa.array(gap, pa.int32())})
+
+    return run
+
+
 def match_records(records: DataFrame, decisions: DataFrame, generic: tuple[str, ...] = (), days: int = MATCH_DAYS) -> DataFrame:
     """(record, temporal, decision, shared): for each written record the detected decision within the window
     that shares most topic words, the nearest on ties; ``temporal`` says whether any decision is in the window.
 
-    Candidates meet on shared words inside date buckets as wide as the window, so records and decisions that
-    have nothing in common never form a pair; the temporal flag is a bucketed semi-join on counts per day."""
-    topic = lambda c: F.array_distinct(F.filter(tokens(c), lambda w: ~w.isin(*generic)) if generic else tokens(c))
+    Equal word sets of one date bucket, which is as wide as the window, count once. Sets of neighbouring buckets meet in
+    blocks of bounded size; a task counts shared words in a word index of its block and gives one row for each record set
+    and day, so the pairs themselves, which grow with the square of a busy bucket, are never rows."""
+    topic = lambda c: F.array_sort(F.array_distinct(F.filter(tokens(c), lambda w: ~w.isin(*generic)) if generic else tokens(c)))
     day = lambda c: F.unix_date(F.to_date(c))
-    width = days + 1
-    r = records.select("record", day("date").alias("_d"), topic(F.col("title")).alias("_w"))
-    d = decisions.select("decision", day("date").alias("_e"), topic(F.col("topic")).alias("_t"))
-    buckets = F.explode(F.array(*[F.floor(F.col("_d") / width) + k for k in (-1, 0, 1)])).alias("_b")
-    words = r.select("record", "_d", F.explode("_w").alias("word")).select("record", "_d", "word", buckets)
-    have = d.select("decision", "_e", F.floor(F.col("_e") / width).alias("_b"), F.explode("_t").alias("word"))
-    shared = words.join(have, ["word", "_b"]).filter(F.abs(F.col("_d") - F.col("_e")) <= days).groupBy("record", "decision").agg(
-        F.count(F.lit(1)).alias("shared"), F.min(F.abs(F.col("_d") - F.col("_e"))).alias("_gap"))
-    best = shared.groupBy("record").agg(F.min_by(F.struct("decision", "shared"), F.struct(-F.col("shared"), F.col("_gap"), F.col("decision"))).alias("b"))
-    per_day = d.select(F.col("_e").alias("_day")).distinct()
-    around = r.select("record", F.explode(F.sequence(F.col("_d") - days, F.col("_d") + days)).alias("_day"))
-    near = around.join(per_day, "_day", "left_semi").select("record").distinct().withColumn("temporal", F.lit(True))
-    return records.select("record").join(near, "record", "left").join(best, "record", "left").select(
+    # words hold letters and digits only, so a space keeps them apart
+    named = lambda df: df.withColumn("_set", F.unhex(F.sha2(F.array_join("_w", " "), 256))).withColumn("_b", F.floor(F.col("_d") / (days + 1)))
+    r = stored(named(records.select("record", day("date").alias("_d"), topic(F.col("title")).alias("_w"))))
+    d = stored(named(decisions.select("decision", day("date").alias("_d"), topic(F.col("topic")).alias("_w"))))
+    dated = "_d IS NOT NULL AND size(_w) > 0"
+    sets = r.where(dated).groupBy("_set", "_b").agg(F.any_value("_w").alias("_w"), F.collect_set("_d").alias("_days")).withColumn(
+        "_b", F.explode(F.array(*[F.col("_b") + k for k in (-1, 0, 1)])))
+    have = d.where(dated).groupBy("_set", "_b", "_d").agg(F.any_value("_w").alias("_w"), F.min("decision").alias("decision")).groupBy("_set", "_b").agg(
+        F.any_value("_w").alias("_w"), F.collect_list(F.struct(F.col("_d").alias("day"), "decision")).alias("_found"))
+    sets, have = stored(sets), stored(have)
+    # one row a bucket: the blocks on either side
+    blocks = lambda df, name: df.groupBy("_b").agg(F.ceil(F.sum(F.size("_w")) / BLOCK_WORDS).alias(name))
+    dealt = F.broadcast(blocks(sets, "_rows").join(blocks(have, "_columns"), "_b"))
+    mine = lambda n: F.pmod(F.xxhash64("_set"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = sets.join(dealt, "_b").select("_b", mine("_rows").alias("_i"), every("_columns").alias("_j"), "_set", "_w", "_days")
+    right = have.join(dealt, "_b").select("_b", every("_rows").alias("_i"), mine("_columns").alias("_j"), "_w", "_found")
+    # few bytes, much work: the partitions are named, so that they are not put together by their size
+    key, spark = ["_b", "_i", "_j"], records.sparkSession
+    wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    left, right = left.repartition(wide, *key), right.repartition(wide, *key)
+    kind = decisions.schema["decision"].dataType.simpleString()
+    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_best_in_block(days), f"_set binary, _d int, decision {kind}, shared bigint, _gap int")
+    best = met.groupBy("_set", "_d").agg(F.min_by(F.struct("decision", "shared"), F.struct(-F.col("shared"), F.col("_gap"), F.col("decision"))).alias("b"))
+    around = r.select("_d").distinct().select("_d", F.explode(F.sequence(F.col("_d") - days, F.col("_d") + days)).alias("_day"))
+    near = around.join(d.select(F.col("_d").alias("_day")).distinct(), "_day", "left_semi").select("_d").distinct().withColumn("temporal", F.lit(True))
+    return r.select("record", "_d", "_set").join(near, "_d", "left").join(best, ["_set", "_d"], "left").select(
         "record", F.coalesce("temporal", F.lit(False)).alias("temporal"), F.col("b.decision").alias("decision"), F.coalesce("b.shared", F.lit(0)).cast("bigint").alias("shared"))
 
 
