@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.paths import basename, dirname
 from codestrata.functions.text import strip_jsonc
-from codestrata.session import cut_lineage
+from codestrata.session import cut_lineage, stored
 
 # Extensions of each family, extends and re-export hops followed.
 TS_FAMILY, JS_FAMILY = (".ts", ".tsx"), (".js", ".jsx")
 MAX_EXTENDS, MAX_HOPS = 5, 5
+# Fixed value: what a specifier may leave out at the end of a path, or say in its place.
+ENDING = r"(?:/index|\.(?:jsx?|mjs|cjs|tsx?)|/)*\z"
 
 
 def normalize(path: Column) -> Column:
@@ -68,8 +70,8 @@ def resolve_specifiers(wanted: DataFrame, known: DataFrame, configs: DataFrame |
     ``known`` distinct (path). ``by`` adds leading keys to both, such as a revision, within which files are looked up.
 
     A specifier means the same to every file of one folder and language family, so it is resolved once per
-    (folder, spec, family) and joined back. Candidates carry their order and meet the known files by equality;
-    the first one that exists wins."""
+    (folder, spec, family) and joined back. It meets the known files that differ from it in their ending only, so
+    its candidates are no rows of their own; the first of them that exists wins."""
     key = [*by, "folder", "spec", "own_ts"]
     keyed = wanted.filter("spec <> ''").select(*by, "path", "spec", dirname(F.col("path")).alias("folder"), F.col("path").rlike(r"\.tsx?$").alias("own_ts"))
     specs = keyed.select(*key).distinct()
@@ -83,8 +85,10 @@ def resolve_specifiers(wanted: DataFrame, known: DataFrame, configs: DataFrame |
     node_next = F.when(F.col("base").rlike(r"\.(js|jsx|mjs|cjs)$"), F.array(*[F.concat(stem, F.lit(e)) for e in TS_FAMILY])).otherwise(F.array().cast("array<string>"))
     probes = F.concat(F.array("base"), F.transform(exts, lambda e: F.concat(F.col("base"), e)),
                       F.transform(exts, lambda e: F.concat(F.when(F.col("base") == "", "index").otherwise(F.concat("base", F.lit("/index"))), e)), node_next)
-    tried = bases.select(*key, "rank", F.posexplode(probes).alias("ord", "target"))
-    found = tried.join(known.select(*by, F.col("path").alias("target")), [*by, "target"], "left_semi")
+    core = lambda c: F.regexp_replace(F.concat(F.lit("/"), c), ENDING, "")
+    asked = bases.select(*key, "rank", "base", core(F.col("base")).alias("_core"))
+    met = asked.join(known.select(*by, F.col("path").alias("target"), core(F.col("path")).alias("_core")), [*by, "_core"])
+    found = met.withColumn("ord", F.array_position(probes, F.col("target"))).filter("ord > 0")
     best = found.groupBy(*key).agg(F.min_by("target", F.struct("rank", "ord")).alias("target"))
     return keyed.join(best, key).select(*by, "path", "spec", "target")
 
@@ -201,13 +205,27 @@ def call_edges(facts: DataFrame, bindings: DataFrame, stars: DataFrame) -> DataF
             .unionByName(out(on_class, F.col("tpath"), F.col("tname"), F.col("target"))).unionByName(out(lone, F.col("tpath"), F.col("_c"), F.col("target"))).distinct())
 
 
+def _located(facts: DataFrame, files: DataFrame, config_files: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(known, targets): the script files, and the file each specifier names."""
+    known = files.filter(F.col("path").rlike(r"\.(js|jsx|ts|tsx)$") & ~F.col("path").endswith(".d.ts")).select("path").distinct()
+    wanted = facts.filter("fact IN ('import', 'reexport')").select("path", F.col("owner").alias("spec")).distinct()
+    return known, resolve_specifiers(wanted, known, None if config_files is None else path_configs(config_files))
+
+
+def resolve_imports(files: DataFrame, config_files: DataFrame | None = None) -> DataFrame:
+    """Import edges of script files (path, content); names and calls are not looked at."""
+    from codestrata.sources import script_source
+
+    facts = stored(script_source.facts(files).filter("fact IN ('import', 'reexport')").select("path", "fact", "owner"))
+    return import_edges(facts, _located(facts, files, config_files)[1])
+
+
 def resolve(files: DataFrame, config_files: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(facts, import edges, call edges) of script files (path, content)."""
     from codestrata.sources import script_source
 
-    facts = cut_lineage(script_source.facts(files))
-    known = files.filter(F.col("path").rlike(r"\.(js|jsx|ts|tsx)$") & ~F.col("path").endswith(".d.ts")).select("path").distinct()
-    wanted = facts.filter("fact IN ('import', 'reexport')").select("path", F.col("owner").alias("spec")).distinct()
-    targets = cut_lineage(resolve_specifiers(wanted, known, None if config_files is None else path_configs(config_files)))
+    facts = stored(script_source.facts(files))
+    known, targets = _located(facts, files, config_files)
+    targets = stored(targets)
     bindings, stars = name_tables(facts, targets, known)
     return facts, import_edges(facts, targets), call_edges(facts, bindings, stars)

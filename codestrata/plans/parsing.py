@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codestrata.operators import resolve_python, resolve_script
 from codestrata.plans.registry import query
-from codestrata.session import cut_lineage
+from codestrata.session import stored
 from codestrata.sources import python_source
 
 PKG = "CONCAT('app/seg', CAST({c} % 5 AS STRING), '/c', CAST({c} AS STRING), '/')"
@@ -60,8 +60,8 @@ def order_sources(t):
 def parsed(t):
     """Facts of every derived file, written once: six joins below read them."""
     files = package_sources(t).unionByName(order_sources(t))
-    facts = cut_lineage(python_source.facts(files))
-    index = cut_lineage(resolve_python.module_index(files.select("path")))
+    facts = stored(python_source.facts(files))
+    index = stored(resolve_python.module_index(files.select("path")))
     return facts, index
 
 
@@ -152,7 +152,7 @@ def script_config_table(t):
  UNION ALL SELECT path, dir || 'svc.ts' FROM o WHERE f IN (0, 4, 7) UNION ALL SELECT path, dir || 'index.js' FROM o WHERE f IN (1, 2, 3, 6)""")
 def script_imports(t):
     """Import edges of JavaScript and TypeScript: relative, aliased, index files, .js naming .ts."""
-    return resolve_script.resolve(script_sources(t), script_configs(t))[1]
+    return resolve_script.resolve_imports(script_sources(t), script_configs(t))
 
 
 @query("script_calls", JS_SQL + """ SELECT dir || 'svc.ts' AS caller_module, NULL AS caller_class, 'load' || k AS caller_name, dir || 'svc.ts' AS callee_module, NULL AS callee_class, 'helper' AS callee_name FROM c
