@@ -14,18 +14,36 @@ from codestrata.session import cut_lineage
 MAX_HOPS = 5  # re-exports followed
 
 
+def _given(paths: DataFrame, by: tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """(name, path, _prio): full dotted names, and package names of ``__init__`` files."""
+    full = paths.select(*by, dotted_name(F.col("path")).alias("name"), "path", F.lit(0).alias("_prio"))
+    return full, full.filter(F.col("name").endswith(".__init__")).select(
+        *by, F.regexp_replace("name", r"\.__init__$", "").alias("name"), "path", F.lit(1).alias("_prio"))
+
+
+def _suffixes(named: DataFrame, by: tuple = ()) -> DataFrame:
+    """(path, name): every shorter dotted suffix of a name."""
+    pieces = F.split("name", r"\.")
+    return named.select(*by, "path", F.explode(F.transform(
+        F.sequence(F.lit(2), F.greatest(F.size(pieces), F.lit(2))), lambda i: F.array_join(F.slice(pieces, i, F.size(pieces)), "."))).alias("name")).filter(
+        "name <> '' AND name <> '__init__'")
+
+
+def claims(paths: DataFrame) -> DataFrame:
+    """(name, path): every file a name may mean, whichever files stand beside it."""
+    full, packages = _given(paths)
+    named = full.unionByName(packages).select("path", "name")
+    return named.unionByName(_suffixes(named)).distinct()
+
+
 def module_index(paths: DataFrame, by: tuple = ()) -> DataFrame:
     """(name, path): what an import may call each file. Full dotted names come first, then package names of
     ``__init__`` files, then every shorter dotted suffix that exactly one file can claim. ``by`` adds leading keys, such as
     a revision, within which names are looked up."""
-    full = paths.select(*by, dotted_name(F.col("path")).alias("name"), "path", F.lit(0).alias("_prio"))
-    packages = full.filter(F.col("name").endswith(".__init__")).select(
-        *by, F.regexp_replace("name", r"\.__init__$", "").alias("name"), "path", F.lit(1).alias("_prio"))
+    full, packages = _given(paths, by)
     named = full.unionByName(packages).groupBy(*by, "name").agg(F.min_by("path", "_prio").alias("path"))
-    pieces = F.split("name", r"\.")
-    suffixes = named.select(*by, "path", F.explode(F.transform(
-        F.sequence(F.lit(2), F.greatest(F.size(pieces), F.lit(2))), lambda i: F.array_join(F.slice(pieces, i, F.size(pieces)), "."))).alias("name"))
-    claims = suffixes.filter("name <> '' AND name <> '__init__'").groupBy(*by, "name").agg(F.min("path").alias("path"), F.max("path").alias("_other"))
+    suffixes = _suffixes(named, by)
+    claims = suffixes.groupBy(*by, "name").agg(F.min("path").alias("path"), F.max("path").alias("_other"))
     unique = claims.filter(F.col("path") == F.col("_other")).select(*by, "name", "path").join(named, [*by, "name"], "left_anti")
     return named.unionByName(unique)
 
@@ -37,6 +55,21 @@ def _defined(facts: DataFrame, by: tuple = ()) -> DataFrame:
         *by, "path", "name", F.when(F.col("_k") == 0, "function").otherwise("class").alias("kind"))
 
 
+def settled(imports: DataFrame, facts: DataFrame, claimed: DataFrame) -> DataFrame:
+    """``imports`` with what they mean if that hangs on a file's being there alone: ``_open`` is true if a name of the import is
+    claimed by several files, or if the stem's file may define what is imported. Else it means ``_stem`` and ``_sub``, each
+    where it exists. ``claimed`` is ``claims`` of all files that stand anywhere."""
+    wide = imports.withColumn("_full", F.when(F.col("name").isNotNull(), F.concat_ws(".", "owner", "name")))
+    wanted = wide.select(F.explode(F.array("owner", "_full")).alias("name")).filter("name IS NOT NULL").distinct()
+    one = claimed.join(wanted, "name", "left_semi").groupBy("name").agg(F.min("path").alias("path"), (F.min("path") != F.max("path")).alias("many"))
+    for key, named in (("owner", "_stem"), ("_full", "_sub")):
+        wide = wide.join(one.select(F.col("name").alias(key), F.col("path").alias(named), F.col("many").alias(f"{named}_many")), key, "left")
+    taken = _defined(facts).select(F.col("path").alias("_stem"), "name", F.lit(True).alias("_taken"))
+    several = F.coalesce("_stem_many", F.lit(False)) | F.coalesce("_sub_many", F.lit(False))
+    return wide.join(taken, ["_stem", "name"], "left").withColumn("_open", several | (F.col("_sub").isNotNull() & F.col("_taken").isNotNull())).select(
+        *imports.columns, "_full", "_stem", "_sub", "_open")
+
+
 def _located(facts: DataFrame, index: DataFrame, defined: DataFrame, by: tuple = ()) -> DataFrame:
     """Imports with the file their stem names (``target``) and, when the imported name is a file of its own and
     not something the stem's file defines, that file (``sub``)."""

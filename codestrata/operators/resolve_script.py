@@ -72,6 +72,19 @@ def resolve_specifiers(wanted: DataFrame, known: DataFrame, configs: DataFrame |
     A specifier means the same to every file of one folder and language family, so it is resolved once per
     (folder, spec, family) and joined back. It meets the known files that differ from it in their ending only, so
     its candidates are no rows of their own; the first of them that exists wins."""
+    keyed, found, key = _met(wanted, known, configs, by)
+    best = found.groupBy(*key).agg(F.min_by("target", F.struct("rank", "ord")).alias("target"))
+    return keyed.join(best, key).select(*by, "path", "spec", "target")
+
+
+def candidates(wanted: DataFrame, known: DataFrame, configs: DataFrame | None = None) -> DataFrame:
+    """(path, spec, targets): all files a specifier may name, whichever of them exist; a few that differ in their ending."""
+    keyed, found, key = _met(wanted, known, configs)
+    return keyed.join(found.groupBy(*key).agg(F.collect_set("target").alias("targets")), key).select("path", "spec", "targets")
+
+
+def _met(wanted: DataFrame, known: DataFrame, configs: DataFrame | None, by: tuple = ()) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(specifiers with their key, the known files each key may mean in order of ``rank`` and ``ord``, the key's columns)."""
     key = [*by, "folder", "spec", "own_ts"]
     keyed = wanted.filter("spec <> ''").select(*by, "path", "spec", dirname(F.col("path")).alias("folder"), F.col("path").rlike(r"\.tsx?$").alias("own_ts"))
     specs = keyed.select(*key).distinct()
@@ -88,9 +101,7 @@ def resolve_specifiers(wanted: DataFrame, known: DataFrame, configs: DataFrame |
     core = lambda c: F.regexp_replace(F.concat(F.lit("/"), c), ENDING, "")
     asked = bases.select(*key, "rank", "base", core(F.col("base")).alias("_core"))
     met = asked.join(known.select(*by, F.col("path").alias("target"), core(F.col("path")).alias("_core")), [*by, "_core"])
-    found = met.withColumn("ord", F.array_position(probes, F.col("target"))).filter("ord > 0")
-    best = found.groupBy(*key).agg(F.min_by("target", F.struct("rank", "ord")).alias("target"))
-    return keyed.join(best, key).select(*by, "path", "spec", "target")
+    return keyed, met.withColumn("ord", F.array_position(probes, F.col("target"))).filter("ord > 0"), key
 
 
 def _alias_bases(specs: DataFrame, configs: DataFrame, key: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from codestrata.operators import layers, revisions
 from codestrata.plans.registry import query
 from codestrata.plans.tables import MONTHS_SQL, RULES_SQL, layer_sql, month_of, with_
+from codestrata.session import stored
 
 
 def folder_of(key: str) -> str:
@@ -83,7 +84,7 @@ def snapshot_facts(t):
 @query("snapshot_edges", with_(**SQL) + ' SELECT idx, src AS "from", dst AS "to" FROM edges')
 def snapshot_edges(t):
     """Import edges of every revision, resolved against the files of that revision."""
-    files = tree(t)
+    files = stored(tree(t))
     found = revisions.snapshot_edges(files, version_facts(t, files))
     return found.join(F.broadcast(t.months.select(F.col("m").alias("revision"), "idx")), "revision").select("idx", "from", "to")
 
@@ -102,7 +103,7 @@ def snapshot_edges(t):
  FROM months x""")
 def snapshot_build(t):
     """One row per revision: sizes, versions parsed for it, edges, violations and their changes."""
-    files = tree(t)
+    files = stored(tree(t))
     order = t.months.select(F.col("m").alias("revision"), "idx")
     tagged = files.select("path").distinct().withColumn("layer_type", layers.classify(F.col("path"), t.rules_document))
     return revisions.build(files.drop("idx"), version_facts(t, files), tagged, t.rules, order)

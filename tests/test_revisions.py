@@ -83,3 +83,45 @@ def test_build(spark):
 def test_empty_tree(spark):
     tree, facts = inputs(spark)
     assert revisions.snapshot_edges(tree.limit(0), facts).count() == 0
+
+
+def test_names_one_file_claims_need_no_index_of_a_revision(spark, monkeypatch):
+    tree = spark.createDataFrame([(r, p, "d") for r in (1, 2) for p in ("a/one.py", "b/two.py", "w/x.ts", "w/y.ts")], "revision long, path string, digest string")
+    rows = [("a/one.py", "d", "python", "import", 0, "two", None, "two", None, None), ("w/x.ts", "d", "script", "import", 0, "./y", None, None, None, None)]
+    facts = spark.createDataFrame(rows, "path string, digest string, language string, fact string, ord int, owner string, name string, detail string, obj string, target string")
+
+    def unwanted(*_):
+        raise AssertionError("names are looked up in every revision")
+
+    monkeypatch.setattr(revisions.resolve_python, "module_index", unwanted)
+    monkeypatch.setattr(revisions.resolve_script, "resolve_specifiers", unwanted)
+    want = {(r, *e) for r in (1, 2) for e in (("a/one.py", "b/two.py"), ("w/x.ts", "w/y.ts"))}
+    assert {tuple(r) for r in revisions.snapshot_edges(tree, facts).collect()} == want
+
+
+def test_random_trees_against_an_index_of_each_revision(spark):
+    import random
+
+    rng = random.Random(7)
+    python = [f"{d}{n}.py" for d in ("", "a/", "b/", "a/b/") for n in ("__init__", "a", "b", "c", "only_" + d.replace("/", "_"))]
+    script = [f"{d}{n}" for d in ("w/", "w/v/") for n in ("p.ts", "p.js", "q.tsx", "index.js", "p/index.ts", "r.jsx")]
+    names = ["a", "b", "c", "a.b", "a.b.c", "b.a", "a.__init__", "only_a_", "a.only_a_", "nothing"]
+    tree = [(r, p, rng.choice("xy")) for r in range(12) for p in python + script if rng.random() < 0.45]
+    facts = []
+    for p in python:
+        for d in "xy":
+            facts += [(p, d, "python", "import", i, rng.choice(names), rng.choice([None, "a", "b", "c", "only_a_"]), "m", None, None) for i in range(4)]
+            facts += [(p, d, "python", rng.choice(["function", "class"]), 9, None, rng.choice(["a", "b", "c", "run"]), None, None, None)]
+    for p in script:
+        for d in "xy":
+            facts += [(p, d, "script", "import", i, rng.choice(["./p", "./q", "../w", "./v", "./v/r", "./p.js", "../v/p", "x"]), None, None, None, None) for i in range(3)]
+    files = spark.createDataFrame(tree, "revision long, path string, digest string")
+    rows = spark.createDataFrame(facts, "path string, digest string, language string, fact string, ord int, owner string, name string, detail string, obj string, target string")
+    here, paths = revisions.snapshot_facts(files, rows), files.select("revision", "path")
+    index = revisions.resolve_python.module_index(paths.filter("path LIKE '%.py'"), ("revision",))
+    want = {tuple(r) for r in revisions.resolve_python.import_edges(here.filter("language = 'python'"), index, ("revision",)).collect()}
+    specs = here.filter("language = 'script'").select("revision", "path", here["owner"].alias("spec")).distinct()
+    found = revisions.resolve_script.resolve_specifiers(specs, paths.filter("path NOT LIKE '%.py'"), None, ("revision",))
+    want |= {(r["revision"], r["path"], r["target"]) for r in found.collect() if r["path"] != r["target"]}
+    got = [tuple(r) for r in revisions.snapshot_edges(files, rows).collect()]
+    assert len(want) > 100 and len(got) == len(set(got)) and set(got) == want
