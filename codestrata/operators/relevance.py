@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions import paths, text
+from codestrata.session import dealt
 
 # Weights of time, files and text; threshold; evidence kept; the window around a decision.
 TIME_WEIGHT, FILE_WEIGHT, TEXT_WEIGHT = 0.3, 0.45, 0.25
@@ -19,12 +20,14 @@ TOP_K = 12
 WINDOW_DAYS = 30
 WINDOW_COMMITS = 40
 PATHS_PER_COMMIT, PATHS_PER_DECISION = 50, 30
+FREQUENT_TOKENS = 100_000  # sent to every task
 
 
 def term_counts(rows: DataFrame, doc: str, columns: list[Column]) -> DataFrame:
     """(doc, token, n) from text columns."""
     pieces = F.concat(*[text.tokens(c) for c in columns])
-    return rows.select(F.col(doc), F.explode(pieces).alias("token")).groupBy(doc, "token").agg(F.count(F.lit(1)).alias("n"))
+    # texts are dealt by document, as their terms take several times the room
+    return dealt(rows, doc).select(F.col(doc), F.explode(pieces).alias("token")).groupBy(doc, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge_counts(parts: list[DataFrame], doc: str) -> DataFrame:
@@ -60,6 +63,32 @@ def vectors(terms: DataFrame, idf: DataFrame, n_docs: DataFrame, doc: str) -> Da
     return raw.select(doc, "token", (F.col("w") / norm).alias("w"))
 
 
+def weights(terms: DataFrame, idf: DataFrame, n_docs: DataFrame, doc: str, frequent: int = FREQUENT_TOKENS) -> DataFrame:
+    """(doc, token, w): ``vectors`` before they have unit length, of terms that all have an ``idf``. Most terms are of the most
+    frequent tokens, which every task knows; only terms of other tokens are dealt by token. ``terms`` and ``idf`` are stored."""
+    top = F.broadcast(idf.orderBy("idf", "token").limit(frequent))
+    met = terms.join(top, "token", "left")
+    rare = met.filter("idf IS NULL").drop("idf").join(idf.join(top.select("token"), "token", "left_anti"), "token", "left")
+    raw = met.filter("idf IS NOT NULL").unionByName(rare).join(F.broadcast(n_docs))
+    return raw.select(doc, "token", ((1.0 + F.log(F.col("n").cast("double"))) * F.coalesce("idf", F.log(1.0 + F.col("n_docs")) + 1.0)).alias("w"))
+
+
+def length() -> Column:
+    """Euclidean length of the weights ``w`` of a group."""
+    return F.sqrt(F.sum(F.col("w") * F.col("w")))
+
+
+def similarities(queries: DataFrame, terms: DataFrame, idf: DataFrame, n_docs: DataFrame, query: str, doc: str) -> DataFrame:
+    """``cosines`` of few queries (unit vectors) with all documents, from their stored ``terms``: a document's length and products
+    are sums, so its vector is never put together."""
+    asked = F.broadcast(queries.select(query, "token", F.col("w").alias("_q")))
+    here = terms.join(F.broadcast(queries.select("token").distinct()), "token", "left_semi")
+    dots = weights(here, idf.join(F.broadcast(queries.select("token").distinct()), "token", "left_semi"), n_docs, doc).join(asked, "token").groupBy(
+        query, doc).agg(F.sum(F.col("w") * F.col("_q")).alias("_dot"))
+    lengths = weights(terms, idf, n_docs, doc).groupBy(doc).agg(length().alias("_length"))
+    return dots.join(lengths, doc).select(query, doc, (F.col("_dot") / F.col("_length")).alias("similarity"))
+
+
 def cosines(queries: DataFrame, documents: DataFrame, query: str, doc: str) -> DataFrame:
     """(query, doc, similarity) for pairs sharing a term. Meant for few queries: their vectors are the small
     side, and the products are summed map-side."""

@@ -81,6 +81,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(wanted)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by a key, in no fewer parts than ``spread`` makes, before each becomes many that are grouped by it."""
+    spark = df.sparkSession
+    wanted = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(wanted, *keys)
+
+
 def _numbered_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
     """Rows sorted into range partitions, with ``_at`` (partition id and position) pinned by a checkpoint, so
     that totals per partition and the rows themselves are read from the same files. Sampled bounds over unique
