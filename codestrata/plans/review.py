@@ -8,6 +8,7 @@ from codestrata.operators import batching, review, rules
 from codestrata.plans.architecture import SNAP, snap_judged
 from codestrata.plans.registry import query
 from codestrata.plans.tables import path_of, with_
+from codestrata.session import spread
 from codestrata.sources import gitlog
 
 # --- git log text: one record per event ----------------------------------------------------------------------
@@ -59,7 +60,8 @@ ORDER_FILE = "CONCAT('src/o', CAST(o_orderkey AS STRING), CASE WHEN o_orderkey %
 
 
 def diffs(t):
-    o = t.table("orders")
+    # spread before the texts are built, which are far longer
+    o = spread(t.table("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"))
     k, start = F.col("o_orderkey").cast("string"), F.expr(START)
     p = F.expr(ORDER_FILE)
     head = F.concat(F.lit("diff --git a/"), p, F.lit(" b/"), p, F.lit("\n"))
@@ -133,11 +135,7 @@ def diff_rendering(t):
 
 
 def _changed(t):
-    files = gitlog.diff_files(diffs(t), ["o_orderkey"]).filter("path IS NOT NULL")
-    sizes = gitlog.diff_lines(files, ["o_orderkey"]).groupBy("o_orderkey", "section").agg(
-        F.count_if(F.col("kind") == "+").alias("n_added"), F.sum(F.length("text")).alias("n_chars"))
-    joined = files.join(sizes, ["o_orderkey", "section"], "left")
-    return joined.withColumn("n_added", F.coalesce("n_added", F.lit(0))).withColumn("n_chars", F.coalesce("n_chars", F.lit(0)))
+    return gitlog.with_sizes(gitlog.diff_files(diffs(t), ["o_orderkey"])).filter("path IS NOT NULL")
 
 
 @query("review_skips", f"""SELECT {ORDER_FILE} AS path, CASE WHEN o_orderkey % 13 = 0 THEN 'deleted' WHEN o_orderkey % 6 = 0 THEN 'not source code' ELSE '' END AS reason

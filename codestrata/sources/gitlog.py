@@ -126,6 +126,16 @@ def diff_lines(files: DataFrame, keys: list[str]) -> DataFrame:
         F.when(kind != "-", F.col("start") + F.col("_before")).cast("bigint").alias("new_no"), F.substr("x", F.lit(2)).alias("text"))
 
 
+def with_sizes(files: DataFrame) -> DataFrame:
+    """Files of ``diff_files`` with ``n_added``, their added lines, and ``n_chars``, the length of all hunk lines without their
+    marks; ``hunks`` is left out. A file's hunks are one value, so they are counted where they are."""
+    lines = files.withColumn("_lines", F.flatten(F.transform("hunks", lambda h: hunk_lines(h["body"])))).drop("hunks")
+    chars = F.aggregate("_lines", F.lit(0).cast("long"), lambda total, x: total + F.greatest(F.length(x) - 1, F.lit(0)))
+    sized = lines.withColumns({"n_added": F.size(F.filter("_lines", lambda x: x.startswith("+"))).cast("long"), "n_chars": chars}).drop("_lines")
+    # an outer generator keeps filters on these columns from working them out again
+    return sized.select(F.explode_outer(F.array(F.struct(*sized.columns))).alias("_file")).select("_file.*")
+
+
 def render_line(kind: Column, new_no: Column, text: Column) -> Column:
     """Display form of a hunk line: right-aligned new number, kind, text."""
     number = F.coalesce(new_no.cast("string"), F.lit(""))
