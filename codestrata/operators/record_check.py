@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.operators.relevance import confidence_cap, confidence_label
+from codestrata.session import stored
 
 # What counts as a citation in a record's text, and the fields a record has.
 HASH_CITATION = r"\[([0-9a-f]{7,40})\]"
@@ -36,19 +37,20 @@ def normal_hash(cited: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(cited, r"^\s+|\s+$", ""), r"^[\[\]]+|[\[\]]+$", ""))
 
 
-def cited_commits(drafts: DataFrame, items: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(record_id, cited, in_items, in_text, place, match): each distinct commit citation, the first evidence commit it
+def cited_commits(hashes: DataFrame, items: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``hashes`` is (record_id, cited), those in the texts. (record_id, cited, in_items, in_text, place, match): each distinct commit citation, the first evidence commit it
     names (null: none) and its first place among the items."""
-    inside = drafts.select("record_id", F.explode(F.array_distinct(F.regexp_extract_all(draft_text(), F.lit(HASH_CITATION), F.lit(1)))).alias("cited"))
     every = items.select("record_id", F.coalesce("commit", F.lit("")).alias("cited"), F.col("ord").alias("place"), F.lit(True).alias("in_items")).unionByName(
-        inside.select("record_id", "cited", F.lit(None).cast("long").alias("place"), F.lit(False).alias("in_items")))
-    distinct = every.groupBy("record_id", "cited").agg(F.max("in_items").alias("in_items"), F.max(~F.col("in_items")).alias("in_text"), F.min("place").alias("place"))
-    keyed = distinct.withColumn("_normal", normal_hash(F.col("cited"))).withColumn(
-        "_key", F.when(F.length("_normal") >= LEAST_HASH, F.left("_normal", F.lit(LEAST_HASH))))
+        hashes.select("record_id", "cited", F.lit(None).cast("long").alias("place"), F.lit(False).alias("in_items")))
+    normal = normal_hash(F.col("cited"))
+    # dealt by the key the evidence is met by, in which the groups before and after the join lie
+    keyed = every.withColumn("_normal", normal).withColumn("_key", F.when(F.length("_normal") >= LEAST_HASH, F.left("_normal", F.lit(LEAST_HASH))))
+    distinct = keyed.repartition("record_id", "_key").groupBy("record_id", "_key", "cited").agg(
+        F.max("in_items").alias("in_items"), F.max(~F.col("in_items")).alias("in_text"), F.min("place").alias("place"), F.first("_normal").alias("_normal"))
     known = evidence.select(F.col("record_id").alias("_record"), F.left("hash", F.lit(LEAST_HASH)).alias("_known"), "hash", "short", "pos")
     agrees = F.col("hash").startswith(F.col("_normal")) | F.col("_normal").startswith(F.col("short"))
-    joined = keyed.join(known, (F.col("record_id") == F.col("_record")) & (F.col("_key") == F.col("_known")) & agrees, "left")
-    return joined.groupBy("record_id", "cited", "in_items", "in_text", "place").agg(F.min_by("short", "pos").alias("match"))
+    joined = distinct.join(known, (F.col("record_id") == F.col("_record")) & (F.col("_key") == F.col("_known")) & agrees, "left")
+    return joined.groupBy("record_id", "_key", "cited", "in_items", "in_text", "place").agg(F.min_by("short", "pos").alias("match")).drop("_key")
 
 
 def citations(drafts: DataFrame, items: DataFrame, evidence: DataFrame, payloads: DataFrame, attached: DataFrame) -> DataFrame:
@@ -58,22 +60,24 @@ def citations(drafts: DataFrame, items: DataFrame, evidence: DataFrame, payloads
     characters or more); ``payloads``: record_id, payload (the evidence as text, one row a record); ``attached``: record_id, number
     of the pull requests and issues that belong to the evidence. A path is supported if the payload holds it, in any case, or
     if it is the name of a product; a null text or payload is empty."""
-    commits = cited_commits(drafts, items, evidence).select(
-        "record_id", F.lit("commit").alias("kind"), "cited", "in_items", "in_text", "place", "match", F.col("match").isNotNull().alias("supported"))
-
     def in_text(rows: DataFrame, kind: str, match: Column, supported: Column) -> DataFrame:
         return rows.select("record_id", F.lit(kind).alias("kind"), "cited", F.lit(False).alias("in_items"), F.lit(True).alias("in_text"),
                            F.lit(None).cast("long").alias("place"), match.alias("match"), supported.alias("supported"))
 
-    # the payload is read beside the draft, before paths become rows
+    # a draft's texts are read once, with the payload beside them, before citations become rows
     texts = drafts.select("record_id", draft_text().alias("_text")).join(
         payloads.select("record_id", F.lower("payload").alias("_payload")), "record_id", "left")
-    found = F.transform(F.array_distinct(F.regexp_extract_all("_text", F.lit(PATH_MENTION), F.lit(1))), lambda path: F.struct(
-        path.alias("cited"), (F.coalesce(F.contains("_payload", F.lower(path)), F.lit(False)) | path.rlike(PRODUCT_NAME)).alias("supported")))
-    paths = in_text(texts.select("record_id", F.inline(found)), "path", F.lit(None).cast("string"), F.col("supported"))
-    numbers = drafts.select("record_id", F.explode(F.array_distinct(F.transform(
-        F.regexp_extract_all(draft_text(), F.lit(NUMBER_MENTION), F.lit(1)), lambda n: n.cast("long")))).alias("number"))
-    linked = attached.select("record_id", F.col("number").cast("long").alias("number"), F.lit(True).alias("_linked")).distinct()
+    each = lambda pattern: F.array_distinct(F.regexp_extract_all("_text", F.lit(pattern), F.lit(1)))
+    found = stored(texts.select(
+        "record_id", each(HASH_CITATION).alias("hashes"),
+        F.transform(each(PATH_MENTION), lambda path: F.struct(
+            path.alias("cited"), (F.coalesce(F.contains("_payload", F.lower(path)), F.lit(False)) | path.rlike(PRODUCT_NAME)).alias("supported"))).alias("paths"),
+        F.array_distinct(F.transform(each(NUMBER_MENTION), lambda n: n.cast("long"))).alias("numbers")))
+    commits = cited_commits(found.select("record_id", F.explode("hashes").alias("cited")), items, evidence).select(
+        "record_id", F.lit("commit").alias("kind"), "cited", "in_items", "in_text", "place", "match", F.col("match").isNotNull().alias("supported"))
+    paths = in_text(found.select("record_id", F.inline("paths")), "path", F.lit(None).cast("string"), F.col("supported"))
+    numbers = found.select("record_id", F.explode("numbers").alias("number"))
+    linked = attached.select("record_id", F.col("number").cast("long").alias("number")).distinct().withColumn("_linked", F.lit(True))
     held = numbers.join(linked, ["record_id", "number"], "left").withColumn("cited", F.concat(F.lit("#"), F.col("number").cast("string")))
     return commits.unionByName(paths).unionByName(in_text(held, "number", F.lit(None).cast("string"), F.coalesce("_linked", F.lit(False))))
 
@@ -86,7 +90,9 @@ def verdicts(drafts: DataFrame, cited: DataFrame, scores: DataFrame) -> DataFram
     commits in order of the items that name them; the other lists are in order of their texts. A draft that lacks a required
     text or whose items name no evidence falls back to the lowest confidence."""
     listed = F.col("kind") == "commit"
-    by_record = cited.groupBy("record_id").agg(
+    # a commit only a text cites, and a path, says nothing more once it is supported
+    telling = cited.filter(~F.col("supported") | (listed & F.col("in_items")) | (F.col("kind") == "number"))
+    by_record = telling.groupBy("record_id").agg(
         F.collect_list(F.when(listed & F.col("in_items") & F.col("supported"), F.struct("place", "match"))).alias("_items"),
         F.sort_array(F.collect_list(F.when(listed & ~F.col("supported"), F.col("cited")))).alias("invalid"),
         F.sort_array(F.collect_list(F.when(~listed & ~F.col("supported"), F.col("cited")))).alias("unsupported"),

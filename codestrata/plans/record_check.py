@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codestrata.operators import record_check
@@ -29,10 +32,16 @@ SQL = f"""WITH l AS (SELECT l_orderkey AS record_id, l_linenumber AS ln, {POSITI
   UNION ALL SELECT DISTINCT record_id, 'number', '#' || number, false, true, CAST(NULL AS BIGINT), NULL, number % 10 = 0 FROM l JOIN drafts USING (record_id))"""
 
 
+def of_each(text: str) -> Column:
+    """``text``, an expression on a line, of every line of the array ``_lines``: lines are gathered as keys."""
+    return F.expr(f"sort_array(transform(_lines, x -> {re.sub(r'\bl_', 'x.l_', text)}))")
+
+
 def drafts(t):
     """One draft for each order; its context names what its lines cite, some lack a decision or an inference."""
-    sentence = F.concat(F.lit("Since ["), F.expr(IN_TEXT), F.lit("] "), F.expr(PATH), F.lit(" runs on Node.js, see #"), F.expr(NUMBER).cast("string"), F.lit("."))
-    said = t.table("lineitem").groupBy(F.col("l_orderkey").alias("record_id")).agg(F.array_join(F.sort_array(F.collect_list(sentence)), " ").alias("context"))
+    sentence = f"concat('Since [', {IN_TEXT}, '] ', {PATH}, ' runs on Node.js, see #', cast({NUMBER} AS STRING), '.')"
+    lines = t.table("lineitem").groupBy(F.col("l_orderkey").alias("record_id")).agg(F.collect_list(F.struct("l_partkey", "l_suppkey", "l_linenumber")).alias("_lines"))
+    said = lines.select("record_id", F.array_join(of_each(sentence), " ").alias("context"))
     key = F.col("o_orderkey")
     return t.table("orders").join(said, key == F.col("record_id"), "left").select(
         key.alias("record_id"), F.concat(F.lit("Record "), key.cast("string")).alias("title"), "context", F.when(key % 11 != 0, F.lit("Split it")).alias("decision"),
@@ -45,7 +54,8 @@ def cited(t, records):
     record = F.col("l_orderkey").alias("record_id")
     items = lines.where("l_linenumber <= 3").select(record, F.expr(POSITION).alias("ord"), F.expr(ITEM).alias("commit"))
     evidence = lines.where("l_returnflag <> 'R'").select(record, F.expr(POSITION).alias("pos"), F.expr(hash_of("l_partkey")).alias("hash"), F.expr(SHORT).alias("short"))
-    payloads = lines.where("l_linestatus = 'O'").groupBy(record).agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("Files: "), F.upper(F.expr(PATH))))), "\n").alias("payload"))
+    shown = lines.where("l_linestatus = 'O'").groupBy(record).agg(F.collect_list(F.struct("l_suppkey")).alias("_lines"))
+    payloads = shown.select("record_id", F.array_join(of_each(f"concat('Files: ', upper({PATH}))"), "\n").alias("payload"))
     attached = lines.select(record, (F.col("l_linenumber") * 10).alias("number"))
     return record_check.citations(records, items, evidence, payloads, attached)
 

@@ -55,3 +55,15 @@ def test_verdicts(spark):
     assert got[2]["missing"] == ["title", "decision"] and not got[2]["usable"] and got[2]["confidence"] == 0.1
     assert got[3]["invalid"] == ["feedbee"] and got[3]["cited_commits"] == [] and got[3]["label"] == "Low"
     assert got[4]["missing"] == ["title", "context", "decision", "inference"] and got[4]["cap"] == 0.3
+
+
+def test_texts_are_read_once(spark):
+    drafts = spark.createDataFrame([(1, "[abcdef0] a.py #1", None, None, None, None, None)], "record_id long, title string, context string, decision string, consequences string, alternatives string, inference string")
+    items = spark.createDataFrame([(1, 1, "abcdef01")], "record_id long, ord long, commit string")
+    evidence = spark.createDataFrame([(1, 1, "abcdef0123", "abcdef0")], "record_id long, pos long, hash string, short string")
+    payloads = spark.createDataFrame([(1, "A.PY")], "record_id long, payload string")
+    attached = spark.createDataFrame([(1, 2)], "record_id long, number long")
+    found = record_check.citations(drafts, items, evidence, payloads, attached)
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["kind"], r["cited"], r["match"], r["supported"]) for r in found.collect()) == [
+        ("commit", "abcdef0", "abcdef0", True), ("commit", "abcdef01", "abcdef0", True), ("number", "#1", None, False), ("path", "a.py", None, True)]
