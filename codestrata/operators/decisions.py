@@ -239,7 +239,11 @@ def top_folder(path: Column) -> Column:
 def folder_changes(presence: DataFrame, last_idx: DataFrame, minimum: int = STRUCTURE_MIN_MODULES) -> DataFrame:
     """(folder, idx, change, n): folders that appear from nothing or vanish with at least ``minimum`` modules.
     ``presence`` is distinct (folder, path, idx). Counts of idx and idx - 1 meet by shifting one of them."""
-    counts = presence.groupBy("folder", "idx").agg(F.count(F.lit(1)).alias("n"))
+    return count_changes(presence.groupBy("folder", "idx").agg(F.count(F.lit(1)).alias("n")), last_idx, minimum)
+
+
+def count_changes(counts: DataFrame, last_idx: DataFrame, minimum: int = STRUCTURE_MIN_MODULES) -> DataFrame:
+    """``folder_changes`` from (folder, idx, n), n above 0."""
     sides = counts.select("folder", "idx", F.col("n").alias("after"), F.lit(0).alias("before")).unionByName(
         counts.select("folder", (F.col("idx") + 1).alias("idx"), F.lit(0).alias("after"), F.col("n").alias("before")))
     both = sides.groupBy("folder", "idx").agg(F.max("after").alias("after"), F.max("before").alias("before"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import paths
 from codestrata.operators import decisions, temporal
+from codestrata.session import stored
 
 SHAPE = ["sha", "kind", "subject", "significance", "n_files", "packages"]
 
@@ -54,16 +55,19 @@ def _folders_above(path: Column) -> Column:
 def structure_decisions(modules: DataFrame, touched: DataFrame, snapshots: DataFrame, excluded: Column) -> DataFrame:
     """Module groups that appear or vanish, pinned to the first commit of the gap that adds (deletes) a file below the
     folder. ``modules`` is (idx, path), the files of each snapshot; changes without such a commit are left out."""
-    grouped = modules.withColumn("folder", decisions.top_folder(F.col("path"))).filter(F.col("folder").isNotNull() & ~excluded)
     last = snapshots.agg(F.max("idx").alias("last"))
-    changes = decisions.folder_changes(grouped.select("folder", "path", "idx").distinct(), last)
+    # one pass over the files counts those of each group and those below each folder a group can be
+    top = F.when(~excluded, decisions.top_folder(F.col("path")))
+    above = modules.select("idx", "path").distinct().select("idx", top.alias("_top"), F.explode(_folders_above(F.col("path"))).alias("folder"))
+    counts = stored(above.groupBy("folder", "idx").agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("_top") == F.col("folder")).alias("n")))
+    changes = decisions.count_changes(counts.filter("n > 0").select("folder", "idx", "n"), last)
     status = F.when(F.col("change") == "appeared", "A").otherwise("D")
     wanted = changes.withColumn("status", status).withColumn("held", F.when(F.col("change") == "appeared", F.col("idx")).otherwise(F.col("idx") - 1))
-    below = with_gap(touched.filter("status in ('A', 'D')"), snapshots).select("hash", "pos", "idx", "status", F.explode(_folders_above(F.col("path"))).alias("folder"))
-    pinned = below.join(wanted.select("folder", "idx", "status"), ["folder", "idx", "status"], "left_semi").groupBy("folder", "idx", "status").agg(
-        F.min_by("hash", "pos").alias("sha"))
-    files = modules.select("idx", "path").distinct().select(F.col("idx").alias("held"), F.explode(_folders_above(F.col("path"))).alias("folder")).groupBy(
-        "folder", "held").agg(F.count(F.lit(1)).alias("n_files"))
+    below = with_gap(touched.filter("status in ('A', 'D')").select("hash", "pos", "status", "path"), snapshots).select(
+        "hash", "pos", "idx", "status", F.explode(_folders_above(F.col("path"))).alias("folder"))
+    # folders that hold most files are one row a task before they are dealt out
+    pinned = below.groupBy("folder", "idx", "status").agg(F.min_by("hash", "pos").alias("sha"))
+    files = counts.select("folder", F.col("idx").alias("held"), "n_files")
     verb = F.when(F.col("change") == "appeared", "Introduce").otherwise("Remove")
     return _shaped(wanted.join(pinned, ["folder", "idx", "status"]).join(files, ["folder", "held"]).select(
         "sha", F.lit("structure").alias("kind"), F.format_string("%s the %s/ module group (%d modules)", verb, "folder", "n").alias("subject"),
