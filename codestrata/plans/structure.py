@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from codestrata.operators import graph, scope
 from codestrata.plans.registry import query
 from codestrata.plans.tables import (CALLS_SQL, CLASSES_SQL, COMMITS_SQL, FILES_SQL, FUNCTION_ROWS_SQL, FUNCTIONS_SQL, IMPORTS_SQL,
                                      MODULES_SQL, MONTHS_SQL, layer_sql, path_of, with_)
+from codestrata.session import stored
 
 FUN = dict(function_rows=FUNCTION_ROWS_SQL, functions=FUNCTIONS_SQL, classes=CLASSES_SQL)
 MOD = dict(modules=MODULES_SQL)
@@ -91,7 +93,18 @@ def nodes(t) -> DataFrame:
     return reduce(lambda a, b: a.union(b), parts)
 
 
-def edges(t) -> DataFrame:
+class Relations(NamedTuple):
+    """What the code of a graph is made of, or a part of it."""
+
+    modules: DataFrame
+    classes: DataFrame
+    functions: DataFrame
+    imports: DataFrame
+    calls: DataFrame
+
+
+def code_edges(t) -> DataFrame:
+    """IMPORTS, CALLS and CONTAINS of the tables or of ``Relations``."""
     lit = F.lit
     imports = t.imports.select(lit("IMPORTS").alias("type"), lit("Module").alias("src_kind"), F.col("from").alias("src"),
                                lit("Module").alias("dst_kind"), F.col("to").alias("dst"))
@@ -100,11 +113,16 @@ def edges(t) -> DataFrame:
         lit("Function"), graph.qualified(F.col("callee_module"), F.col("callee_class"), F.col("callee_name")))
     contains = graph.contains_edges(t.modules, t.classes, t.functions).select(
         lit("CONTAINS"), "src_kind", "src", "dst_kind", "dst")
+    return imports.union(calls).union(contains)
+
+
+def edges(t) -> DataFrame:
+    lit = F.lit
     authored = t.commits.select(lit("AUTHORED"), lit("Developer"), F.col("author_id"), lit("Commit"), F.col("hash"))
     modified = t.commit_files.select(lit("MODIFIED"), lit("Commit"), F.col("hash"), lit("Module"), F.col("path")).distinct()
     chain = graph.chain_edges(t.months).select(
         lit("NEXT"), lit("Snapshot"), F.col("idx").cast("string"), lit("Snapshot"), F.col("next_idx").cast("string"))
-    return reduce(lambda a, b: a.union(b), [imports, calls, contains, authored, modified, chain])
+    return reduce(lambda a, b: a.union(b), [code_edges(t), authored, modified, chain])
 
 
 NODES = f"""SELECT 'Module' AS label, path AS id, regexp_extract(path, '[^/]*$') AS name FROM modules
@@ -164,7 +182,20 @@ def view_nodes(t):
  AND src IN (SELECT id FROM shown) AND dst IN (SELECT id FROM shown) ORDER BY type, src, dst LIMIT 4000""")
 def view_edges(t):
     """Relationships between the nodes the code view shows."""
-    return graph.view_edges(edges(t), _code_view(t), graph.VIEWS["code"][1]).select("type", "src", "dst")
+    shown = stored(_code_view(t))
+    ids = F.broadcast(shown.select(F.col("id").alias("_id")).distinct())  # bounded by the view's caps
+
+    def among(rows, *ends):
+        for end in ends:
+            rows = rows.join(ids, end == F.col("_id"), "left_semi")
+        return rows
+
+    path, called = F.col("path"), lambda side: graph.qualified(*[F.col(f"{side}_{c}") for c in ("module", "class", "name")])
+    held = Relations(
+        among(t.modules, path), among(t.classes, F.concat("module_path", F.lit("::"), "name")),
+        among(t.functions, graph.qualified(F.col("module_path"), F.col("class_name"), F.col("name"))),
+        among(t.imports, F.col("from"), F.col("to")), among(t.calls, called("caller"), called("callee")))
+    return graph.view_edges(code_edges(held), shown, graph.VIEWS["code"][1]).select("type", "src", "dst")
 
 
 @query("view_truncation", GRAPH + f""", shown AS ({SHOWN}) SELECT a.label, a.total, b.shown FROM (SELECT label, COUNT(*) AS total FROM nodes GROUP BY 1) a

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.sources import rules_doc
@@ -48,6 +48,11 @@ def iso_of(ts: str) -> str:
     return f"CAST(CAST({ts} AS DATE) AS STRING)"
 
 
+def _named(prefix: str, key: str) -> Column:
+    """A name of a key; ``format_string`` makes a formatter for every row."""
+    return F.concat(F.lit(prefix), F.expr(f"CAST({key} AS STRING)"))
+
+
 # --- the same relations as SQL, for the twins -------------------------------------------------------------
 
 MODULES_SQL = f"SELECT p_partkey AS k, {path_of('p_partkey')} AS path FROM part"
@@ -156,9 +161,9 @@ class Tables:
             "l_partkey", "l_returnflag", "l_linenumber", "l_suppkey", "l_linestatus").distinct()
         return keys.select(
             F.expr(path_of("l_partkey")).alias("caller_module"), F.expr(class_of("l_returnflag")).alias("caller_class"),
-            F.format_string("fn_%d", "l_linenumber").alias("caller_name"),
+            _named("fn_", "l_linenumber").alias("caller_name"),
             F.expr(path_of("l_suppkey")).alias("callee_module"), F.expr(class_of("l_linestatus")).alias("callee_class"),
-            F.format_string("fn_%d", F.col("l_linenumber") % 3).alias("callee_name"))
+            _named("fn_", "l_linenumber % 3").alias("callee_name"))
 
     @cached_property
     def function_rows(self) -> DataFrame:
@@ -166,13 +171,13 @@ class Tables:
         li = self.table("lineitem")
         own = li.select(
             F.expr(path_of("l_partkey")).alias("module_path"), F.expr(class_of("l_returnflag")).alias("class_name"),
-            F.format_string("fn_%d", "l_linenumber").alias("name"),
-            F.format_string("fn_%d(%s, %d)", "l_linenumber", "l_linestatus", F.col("l_orderkey") % 5).alias("signature"),
+            _named("fn_", "l_linenumber").alias("name"),
+            F.concat(_named("fn_", "l_linenumber"), F.lit("("), "l_linestatus", F.lit(", "), F.expr("CAST(l_orderkey % 5 AS STRING)"), F.lit(")")).alias("signature"),
             F.col("l_orderkey").alias("ord"))
         other = li.filter("l_linestatus = 'O'").select(
             F.expr(path_of("l_suppkey")).alias("module_path"), F.expr(class_of("l_linestatus")).alias("class_name"),
-            F.format_string("fn_%d", F.col("l_linenumber") % 3).alias("name"),
-            F.format_string("fn_%d(x)", F.col("l_linenumber") % 3).alias("signature"), F.lit(-1).cast("bigint").alias("ord"))
+            _named("fn_", "l_linenumber % 3").alias("name"),
+            F.concat(_named("fn_", "l_linenumber % 3"), F.lit("(x)")).alias("signature"), F.lit(-1).cast("bigint").alias("ord"))
         return own.unionByName(other)
 
     @cached_property

@@ -48,3 +48,10 @@ def test_time_travel(spark):
     edges = [tuple(r) for r in views.relationships("temporal", labels, kinds).collect()]
     assert edges == [("AT", "0", "c7", None, None), ("AT", "1", "c4", None, None), ("H_IMPORTS", "m1", "m2", 0, 1), ("H_IMPORTS", "m1", "m2", 1, None),
                      ("NEXT", "0", "1", None, None)]
+
+
+def test_code_view_ranks_its_nodes_once(spark):
+    from codestrata.plans import catalog
+
+    plan = catalog.QUERIES["view_edges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "MODIFIED" not in plan
