@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import paths
 from codestrata.operators import decisions, temporal
-from codestrata.session import stored
+from codestrata.session import dealt, stored
 
 SHAPE = ["sha", "kind", "subject", "significance", "n_files", "packages"]
 
@@ -83,13 +83,15 @@ def needle_changes(versions: DataFrame, needles: DataFrame) -> DataFrame:
     """(path, needle, hash, pos, idx): versions that hold a needle more or less often than the path's version before.
 
     ``versions`` is (hash, pos, idx, path, content), ``needles`` distinct (path, needle). Each version is read once with all of its
-    path's needles, which leave it as counts; only counts are ordered by position. A deleted file is a version without
-    content."""
+    path's needles, which leave it as an array of counts; arrays are compared along the path's versions, and only a needle whose
+    count changes becomes a row. A deleted file is a version without content."""
     asked = needles.groupBy("path").agg(F.collect_set("needle").alias("needles"))  # of one file's changed neighbours
-    counts = F.transform("needles", lambda needle: F.struct(needle.alias("needle"), occurrences(F.col("content"), needle).alias("n")))
-    counted = versions.join(asked, "path").select("hash", "pos", "idx", "path", F.explode(counts).alias("c")).select("hash", "pos", "idx", "path", "c.*")
-    before = F.lag("n", 1, 0).over(Window.partitionBy("path", "needle").orderBy("pos"))
-    return counted.withColumn("_before", before).filter(F.col("n") != F.col("_before")).select("path", "needle", "hash", "pos", "idx")
+    # a task holds the needles of its paths, one row a path, and sorts versions only once, for the comparison
+    counted = versions.join(asked.hint("shuffle_hash"), "path").withColumn("_n", F.transform("needles", lambda needle: occurrences(F.col("content"), needle)))
+    before = F.coalesce(F.lag("_n").over(Window.partitionBy("path").orderBy("pos")), F.transform("needles", lambda _: F.lit(0).cast("bigint")))
+    changed = F.filter(F.arrays_zip("needles", "_n", "_before"), lambda pair: pair["_n"] != pair["_before"])
+    return (counted.drop("content").withColumn("_before", before).select("path", "hash", "pos", "idx", F.explode(changed).alias("_c"))
+            .select("path", F.col("_c.needles").alias("needle"), "hash", "pos", "idx"))
 
 
 def violation_decisions(presence: DataFrame, versions: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -98,13 +100,16 @@ def violation_decisions(presence: DataFrame, versions: DataFrame, snapshots: Dat
 
     ``presence`` is (idx, rule_name, caller_module, caller_class, caller_name, callee_module, callee_class, callee_name)."""
     keys = ["rule_name", "caller_module", "caller_class", "caller_name", "callee_module", "callee_class", "callee_name"]
-    known = presence.select("idx", *[F.coalesce(F.col(k), F.lit("")).alias(k) for k in keys])
+    between = ["rule_name", "caller_module", "callee_module"]
+    # dealt once for the differences and for the groups made of them
+    known = dealt(presence.select("idx", *[F.coalesce(F.col(k), F.lit("")).alias(k) for k in keys]), *between)
     changed = temporal.diffs(known, keys, snapshots.agg(F.max("idx").alias("last")))
-    group = ["idx", "change", "rule_name", "caller_module", "callee_module"]
+    group = ["idx", "change", *between]
     first = changed.groupBy(*group).agg(F.min_by("callee_name", F.struct("caller_class", "caller_name", "callee_class", "callee_name")).alias("_name"))
     file = paths.basename(F.col("callee_module"))
     stem = F.regexp_replace(file, r"(?<=.)\.[^.]*$", "")
-    wanted = first.withColumn("needle", F.when(F.col("_name") != "", F.col("_name")).otherwise(stem)).withColumn("path", F.col("caller_module"))
+    needle = F.when(F.col("_name") != "", F.col("_name")).otherwise(stem)
+    wanted = stored(first.select(*group, needle.alias("needle"), F.col("caller_module").alias("path")))  # read for the needles and for the pins
     changes = needle_changes(with_gap(versions, snapshots), wanted.select("path", "needle").distinct())
     pinned = changes.groupBy("path", "needle", "idx").agg(F.min_by("hash", "pos").alias("sha"))
     added = F.col("change") == "added"

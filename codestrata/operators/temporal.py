@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 def diffs(presence: DataFrame, keys: list[str], last_idx: DataFrame) -> DataFrame:
     """(keys, idx, change) with change 'added' / 'removed' against the previous snapshot.
 
-    A key present at i contributes +1 at i and -1 at i + 1; the sum per (key, idx) is the change, so one
-    shuffle replaces a self anti-join per direction. The first snapshot has no diff. ``last_idx`` is a
-    one-row relation (last)."""
-    here = presence.select(*keys, "idx").distinct()
-    marks = here.withColumn("_d", F.lit(1)).unionByName(
-        here.select(*keys, (F.col("idx") + 1).alias("idx")).withColumn("_d", F.lit(-1)))
-    changed = marks.groupBy(*keys, "idx").agg(F.sum("_d").alias("_d")).filter("_d <> 0 AND idx > 0")
-    return (changed.join(F.broadcast(last_idx)).filter(F.col("idx") <= F.col("last"))
-            .select(*keys, "idx", F.when(F.col("_d") > 0, "added").otherwise("removed").alias("change")))
+    The snapshots of a key meet in one small set, and a change is one whose neighbour is missing there, so one shuffle
+    replaces a self anti-join per direction. The first snapshot has no diff. ``last_idx`` is a one-row relation (last)."""
+    held = presence.groupBy(*keys).agg(F.collect_set("idx").alias("_held"))
+    after = F.transform("_held", lambda i: i + 1)
+    mark = lambda found, change: F.transform(found, lambda i: F.struct(i.alias("idx"), F.lit(change).alias("change")))
+    changes = F.concat(mark(F.array_except("_held", after), "added"), mark(F.array_except(after, "_held"), "removed"))
+    return (held.select(*keys, F.explode(changes).alias("_c")).select(*keys, "_c.idx", "_c.change").join(F.broadcast(last_idx))
+            .filter((F.col("idx") > 0) & (F.col("idx") <= F.col("last"))).drop("last"))
 
 
 def intervals(presence: DataFrame, keys: list[str], last_idx: DataFrame) -> DataFrame:
