@@ -193,6 +193,15 @@ def _letters(numbers: np.ndarray) -> str:
     return points.tobytes().decode("utf-32-le")
 
 
+def _readable(stream: np.ndarray) -> np.ndarray:
+    """Places at which an occurrence can lie: runs of at least a phrase's words that phrases have, and the place after each."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], stream > 0, [0]]).astype(np.int8)))
+    begin, end = edges[::2], edges[1::2]
+    long = end - begin >= PHRASE
+    begin, size = begin[long], np.minimum(end[long] + 1, len(stream)) - begin[long]
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 def _occurrences(words: Words, phrases: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, numbers): every place at which a phrase stands inside one text, and its row in ``phrases``, the places its
     words are read at (phrases differ). Words marked ``apart`` belong to no occurrence."""
@@ -209,8 +218,9 @@ def _occurrences(words: Words, phrases: np.ndarray, apart: np.ndarray) -> tuple[
         number[kinds] = np.arange(1, len(kinds) + 1)
         stream = number[words.codes]
         stream[apart] = 0
-        hits = np.fromiter(automaton.iter(_letters(stream)), dtype=[("last", np.int64), ("row", np.int64)])
-        at = hits["last"] - PHRASE + 1
+        places = _readable(stream)
+        hits = np.fromiter(automaton.iter(_letters(stream[places])), dtype=[("last", np.int64), ("row", np.int64)])
+        at = places[hits["last"]] - PHRASE + 1
         inside = left[at] >= PHRASE
         found.append(np.stack([at[inside], hits["row"][inside]]))
     at, row = np.concatenate(found, axis=1)
