@@ -368,14 +368,16 @@ class _Join:
 
 def _grouped(texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(id, n, component) for every row of ``texts`` (id, text), whose ids are all different."""
-    described = cut(texts.mapInArrow(_describe(k), "id long, n long, digest binary, signature binary, brief binary"))
+    signed = cut(texts.mapInArrow(_describe(k), "id long, n long, digest binary, signature binary, brief binary"))
     # rows of one digest have one set, so any of their signatures will do
-    classes = cut(described.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "signature", "brief")]))
+    classes = cut(signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "signature", "brief")]))
+    described = cut(signed.select("id", "n", "digest"))
+    drop(signed)  # signatures are needed once a class, and classes have theirs
     labels = _Join(classes.select("id", "n", "signature", "brief"), texts.where("text is not null"), k, percent).run()
     groups = classes.select(F.col("digest").alias("_digest"), F.col("id").alias("least"))
     if labels is not None:
         groups = groups.join(labels, groups["least"] == labels["id"], "left").select("_digest", F.coalesce("component", "least").alias("least"))
-    got = described.select("id", "n", "digest").join(groups, F.col("digest") == F.col("_digest"), "left")
+    got = described.join(groups, F.col("digest") == F.col("_digest"), "left")
     return got.select("id", "n", F.coalesce("least", "id").alias("component"))
 
 
