@@ -70,7 +70,17 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    written = spark.read.schema(df.schema).parquet(folder)
+    written._folder = folder
+    return written
+
+
+def deleted(*tables: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for tables that no plan still to be run reads."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(df._folder)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -120,3 +120,40 @@ def test_one_labelling_answers_all_ranges_of_a_head(spark, monkeypatch):
     monkeypatch.setattr(commit_graph, "chains", None)  # nothing is walked again
     answers = [tuple(commit_graph.resolve_range(df, commits, "e", base, 2, found).first()) for base in ("d", None)]
     assert answers == [("d", "e", False, None), ("b", "e", False, None)]
+
+
+def test_contraction_follows_long_histories_in_few_rounds(spark, monkeypatch):
+    """Chains by contraction, with side lines hanging off the history, several heads and more pointers than one task follows."""
+    rng = random.Random(5)
+    parents = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(400)}
+    parents |= {f"s{i}": [f"s{i - 1}" if i % 7 else f"c{rng.randrange(400)}"] for i in range(140)}
+    parents |= {f"d{i}": [f"d{i - 1}"] if i else [] for i in range(50)}
+    first = commit_graph.first_parents(relation(spark, parents))
+    heads, levels, joins = ["c399", "d49"], [], []
+    spliced, twice = commit_graph._spliced, commit_graph._twice
+    monkeypatch.setattr(commit_graph, "FOLLOWED", 30)
+    monkeypatch.setattr(commit_graph, "_spliced", lambda pointers, level: levels.append(pointers.count()) or spliced(pointers, level))
+    monkeypatch.setattr(commit_graph, "_twice", lambda jump: joins.append(1) or twice(jump))
+    got = commit_graph.chains(first, spark.createDataFrame([(h,) for h in heads], "hash string")).collect()
+    assert {(r["head"], r["hash"], r["step"]) for r in got} == {(h, c, i) for h in heads for i, c in enumerate(chain_of(parents, h))} and len(got) == 450
+    assert not joins and 3 < len(levels) < 20 and sum(levels) < 5 * levels[0]  # a few times the commits in all, not so many a round
+
+
+@pytest.mark.parametrize("steps", [0, 2])
+def test_labels_move_along_first_parents_in_few_rounds(spark, monkeypatch, steps):
+    """A long side line that a merge brings is labelled by doubling; commits the head does not reach cost no longer pointers."""
+    made, twice = [], commit_graph._twice
+    monkeypatch.setattr(commit_graph, "STEPS", steps)
+    monkeypatch.setattr(commit_graph, "_twice", lambda jump: made.append(1) or twice(jump))
+    parents = {"c0": [], "c1": ["c0"], "s0": ["c0"], **{f"s{i}": [f"s{i - 1}"] for i in range(1, 20)}, "c2": ["c1", "s19"], "c3": ["c2", "s9"],
+               "n0": ["c3"], **{f"n{i}": [f"n{i - 1}"] for i in range(1, 100)}}
+    df = relation(spark, parents)
+    got = {r["hash"]: r["entry_step"] for r in commit_graph.entries(df, commit_graph.one_head(df, "c3")).collect()}
+    assert got == {"c3": 0, "c2": 1, "c1": 2, "c0": 3} | {f"s{i}": 1 for i in range(20)}
+    assert 1 <= len(made) <= 6
+
+
+def test_nothing_lies_between_a_commit_and_one_it_reaches(spark):
+    df = relation(spark, {"a": [], "b": ["a"], "c": ["b"]})
+    assert commit_graph.commits_in_range(df, "c", "b").count() == 0
+    assert [r["hash"] for r in commit_graph.commits_in_range(df, "a", "c").orderBy("hash").collect()] == ["b", "c"]
