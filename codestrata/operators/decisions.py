@@ -254,9 +254,14 @@ def count_changes(counts: DataFrame, last_idx: DataFrame, minimum: int = STRUCTU
         F.greatest("after", "before").cast("bigint").alias("n")).filter("change IS NOT NULL")
 
 
-def restructures(touched: DataFrame, minimum: int = RESTRUCTURE_MIN_RENAMES) -> DataFrame:
-    """Commits that move many files."""
-    counts = touched.groupBy("hash").agg(F.count_if(F.col("old_path").isNotNull()).alias("renames"), F.count_distinct("path").alias("n_files"))
+def commit_counts(touched: DataFrame) -> DataFrame:
+    """(hash, renames, n_files) of every commit."""
+    return touched.groupBy("hash").agg(F.count_if(F.col("old_path").isNotNull()).alias("renames"), F.count_distinct("path").alias("n_files"))
+
+
+def restructures(touched: DataFrame, minimum: int = RESTRUCTURE_MIN_RENAMES, counts: DataFrame | None = None) -> DataFrame:
+    """Commits that move many files. ``counts`` is what ``commit_counts`` gives, if it is known."""
+    counts = commit_counts(touched) if counts is None else counts
     return counts.filter(F.col("renames") >= minimum).select(
         F.col("hash").alias("sha"), F.lit("restructure").alias("kind"),
         F.format_string("Restructure: %d files moved or renamed", "renames").alias("subject"),

@@ -29,19 +29,16 @@ def with_gap(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
     return placed.filter(F.col("idx") < F.size("_ends")).drop("_ends")
 
 
-def commit_sizes(touched: DataFrame) -> DataFrame:
-    return touched.groupBy(F.col("hash").alias("sha")).agg(F.count_distinct("path").alias("n_files"))
-
-
 def _shaped(rows: DataFrame) -> DataFrame:
     packages = F.col("packages") if "packages" in rows.columns else F.array().cast("array<string>")
     return rows.select(*[c for c in SHAPE if c != "packages"], packages.alias("packages"))
 
 
-def infrastructure_decisions(touched: DataFrame, excluded: Column) -> DataFrame:
-    """The first commit that brings in each kind of infrastructure."""
+def infrastructure_decisions(touched: DataFrame, excluded: Column, counts: DataFrame | None = None) -> DataFrame:
+    """The first commit that brings in each kind of infrastructure. ``counts`` is what ``commit_counts`` gives, if it is known."""
+    counts = decisions.commit_counts(touched) if counts is None else counts
     first = decisions.infrastructure(touched.filter(~excluded), ["pos", "ord"])
-    return _shaped(first.join(commit_sizes(touched), "sha").select(
+    return _shaped(first.join(counts.select(F.col("hash").alias("sha"), "n_files"), "sha").select(
         "sha", F.lit("infrastructure").alias("kind"), F.concat(F.lit("Introduce "), "label").alias("subject"), F.lit(1.0).alias("significance"), "n_files"))
 
 
@@ -125,20 +122,34 @@ def unusable(touched: DataFrame, excluded: Column) -> DataFrame:
 
 
 def detect(commits: DataFrame, touched: DataFrame, snapshots: DataFrame, modules: DataFrame, presence: DataFrame, versions: DataFrame,
-           dependencies: DataFrame, patterns: tuple[str, ...] = ()) -> DataFrame:
+           dependencies: DataFrame, patterns: tuple[str, ...] = (), name: Column | None = None) -> DataFrame:
     """(id, sha, date, kind, subject, significance, n_files, packages) of all detectors. ``dependencies`` are the decisions of
-    manifest changes (sha, kind, subject, significance, packages). Paths that match ``patterns`` are excluded."""
+    manifest changes (sha, kind, subject, significance, packages). Paths that match ``patterns`` are excluded. Shorter keys may stand for
+    hashes everywhere; ``name`` makes the hash of a key ``sha``.
+
+    Each detector is written before the next begins, and its shuffles go with it: the disk holds those of one at a time. What the
+    detectors ask of a commit is counted once."""
     excluded = decisions.excluded(F.col("path"), list(patterns)) if patterns else F.lit(False)
     if patterns:
-        gone = unusable(touched, excluded)
+        gone = stored(unusable(touched, excluded))
         commits, touched, versions = (df.join(gone, "hash", "left_anti") for df in (commits, touched, versions))
+    counts = stored(decisions.commit_counts(dealt(touched.select("hash", "path", "old_path"), "hash")))
+    dates = commits.select(F.col("hash").alias("sha"), "date")
+
+    def dated(rows: DataFrame) -> DataFrame:
+        return stored(rows.join(dates, "sha"))
+
+    sizes = counts.select(F.col("hash").alias("sha"), "n_files")
     found = [
-        _shaped(dependencies.join(commit_sizes(touched), "sha", "left").na.fill(0, ["n_files"])),
-        infrastructure_decisions(touched, excluded),
-        structure_decisions(modules, touched, snapshots, excluded),
-        _shaped(decisions.restructures(touched)),
-        violation_decisions(presence, versions, snapshots),
+        # left as they are dealt by commit, the dependencies meet counts and dates where they are
+        dated(_shaped(dependencies.join(sizes, "sha", "left").na.fill(0, ["n_files"]))),
+        dated(infrastructure_decisions(touched, excluded, counts)),
+        dated(structure_decisions(modules, touched, snapshots, excluded)),
+        dated(_shaped(decisions.restructures(touched, counts=counts))),
+        dated(violation_decisions(presence, versions, snapshots)),
     ]
     united = reduce(DataFrame.unionByName, found)
-    return united.join(commits.select(F.col("hash").alias("sha"), "date"), "sha").select(
+    if name is not None:
+        united = united.withColumn("sha", name)
+    return united.select(
         decisions.decision_id(F.col("sha"), F.col("kind"), F.col("subject")).alias("id"), "sha", "date", "kind", "subject", "significance", "n_files", "packages")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # monotonically_increasing_id() keeps the position inside a partition in the low 33 bits.
 _POSITION_BITS = 33
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(master: str = "local[8]", app: str = "codestrata", **conf: str) -> SparkSession:
@@ -66,10 +67,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a compressed table in the checkpoint folder: ``cut_lineage`` for large relations of plain columns, several
-    times smaller there and with a size the planner knows."""
+    times smaller there and with a size the planner knows. The shuffles it took are removed once it is written."""
     spark = df.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    before = spark.conf.get(_RELEASE, None)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.unset(_RELEASE) if before is None else spark.conf.set(_RELEASE, before)
     written = spark.read.schema(df.schema).parquet(folder)
     written._folder = folder
     return written

@@ -1,8 +1,11 @@
 """The detectors on a small literal history."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from codestrata.operators import detection
+from codestrata.session import stored
 
 COMMITS = [(f"c{i}", i, f"2024-01-{i:02d}") for i in range(1, 11)]
 SNAPSHOTS = [(0, 3), (1, 6), (2, 9)]
@@ -82,3 +85,39 @@ def test_all_detectors_in_one_shape(spark):
     # commits that touch nothing but excluded paths can be no decision
     left = detection.detect(commits, touched, snapshots, modules, presence, versions, dependencies, ("app/core/*", "terraform/*", "docker/*")).collect()
     assert sorted((r["kind"], r["sha"]) for r in left) == [("infrastructure", "c1"), ("restructure", "c9")]
+
+
+def _shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+
+def _settled(spark, before):
+    for _ in range(50):  # files are removed beside the work that follows
+        left = _shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    return left
+
+
+def test_what_is_stored_leaves_no_shuffle_behind(spark):
+    before, setting = _shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    asked = spark.conf.get(setting)
+    kept = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "k"))
+    assert _settled(spark, before) == set() and spark.conf.get(setting) == asked
+    assert kept.count() == 7
+
+
+def test_detectors_leave_no_shuffle_and_name_keys_last(spark):
+    """Keys that stand for hashes give the same decisions, and the shuffles of a detector end with it."""
+    commits, touched, snapshots, modules = tables(spark)
+    presence, versions = spark.createDataFrame([], PRESENCE), spark.createDataFrame([], VERSIONS)
+    dependencies = spark.createDataFrame([("c2", "dependency_change", "Adopt flask (web framework)", 1.5, ["flask"])], "sha string, kind string, subject string, significance double, packages array<string>")
+    want = {tuple(r)[:7] for r in detection.detect(commits, touched, snapshots, modules, presence, versions, dependencies).collect()}
+    key = lambda c: F.substring(c, 2, 9).cast("long")
+    commits, touched, versions, dependencies = (df.withColumn(c, key(c)) for df, c in ((commits, "hash"), (touched, "hash"), (versions, "hash"), (dependencies, "sha")))
+    before = _shuffle_files(spark)
+    found = detection.detect(commits, touched, snapshots, modules, presence, versions, dependencies, name=F.concat(F.lit("c"), F.col("sha").cast("string")))
+    assert _settled(spark, before) == set()
+    assert {tuple(r)[:7] for r in found.collect()} == want and len(want) == 6
