@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import paths, text
 from codestrata.functions.patterns import matches, matches_any
+from codestrata.session import dealt, stored
 
 MAX_DECISIONS = 8
 MAX_PER_KIND = 3
@@ -90,14 +91,16 @@ def category(package: Column) -> Column:
     return chain
 
 
-def package_weight(package: Column, dev: Column) -> Column:
-    """1.5 curated or 0.6 other, times 0.4 for development-only, times 0.2 for low-signal packages."""
-    return (F.when(category(package).isNotNull(), 1.5).otherwise(0.6) * F.when(dev, 0.4).otherwise(1.0)
+def package_weight(package: Column, dev: Column, known: Column | None = None) -> Column:
+    """1.5 curated or 0.6 other, times 0.4 for development-only, times 0.2 for low-signal packages. ``known`` is the category, if it
+    stands in a column."""
+    known = category(package) if known is None else known
+    return (F.when(known.isNotNull(), 1.5).otherwise(0.6) * F.when(dev, 0.4).otherwise(1.0)
             * F.when(package.rlike(LOW_SIGNAL), 0.2).otherwise(1.0))
 
 
-def describe(package: Column) -> Column:
-    return F.coalesce(F.concat(package, F.lit(" ("), category(package), F.lit(")")), package)
+def describe(package: Column, known: Column | None = None) -> Column:
+    return F.coalesce(F.concat(package, F.lit(" ("), category(package) if known is None else known, F.lit(")")), package)
 
 
 def version_changes(versions: DataFrame) -> DataFrame:
@@ -125,42 +128,37 @@ def _curated_first(prefix: list) -> list:
     return prefix + [F.col("category").isNull(), F.col("low"), F.col("package")]
 
 
-def dependency_decisions(changes: DataFrame) -> DataFrame:
-    """One decision per commit and kind from manifest changes.
+def dependency_decisions(changes: DataFrame, sides: bool = False) -> DataFrame:
+    """One decision per commit and kind from manifest changes; with ``sides`` also the changed packages, arrays ``added`` and ``removed``.
 
-    Only the packages that can be named (the first few per side, curated ones first) are ranked and listed;
-    everything else is a sum or a count, so a generated manifest with any number of packages is fine."""
+    A manifest's changed packages are one array a side, curated ones first, beside their sums and counts; they are sorted
+    there, not as rows."""
+    known = F.col("category")
     facts = changes.withColumn("category", category(F.col("package"))).withColumn("low", F.col("package").rlike(LOW_SIGNAL)) \
-        .withColumn("weight", package_weight(F.col("package"), F.col("dev"))).withColumn("shown", describe(F.col("package"))) \
-        .withColumn("notable", F.col("category").isNotNull() & ~F.col("dev"))
+        .withColumn("weight", package_weight(F.col("package"), F.col("dev"), known)).withColumn("notable", known.isNotNull() & ~F.col("dev"))
     manifest = ["sha", "manifest"]
-    rank = F.row_number().over(Window.partitionBy(*manifest, "side").orderBy(*_curated_first([])))
-    # For a first manifest the notable packages lead; without any, the first five stand in.
-    lead = F.row_number().over(Window.partitionBy(*manifest, "side").orderBy(*_curated_first([~F.col("notable")])))
-    named = facts.withColumn("n", rank).withColumn("lead", lead)
-    item = F.struct("n", "lead", "package", "shown", "weight", "notable")
-    curated = F.col("category").isNotNull()
+    item = F.struct(known.isNull().alias("other"), "low", "package", describe(F.col("package"), known).alias("shown"), "weight", "notable")
 
     def total(side, keep):
         return F.sum(F.when((F.col("side") == side) & keep, F.col("weight")).otherwise(0.0))
 
     lists = [F.sort_array(F.collect_list(F.when(F.col("side") == s, item))).alias(s) for s in ("added", "removed")]
-    sums = named.groupBy(*manifest).agg(
+    sums = facts.groupBy(*manifest).agg(
         F.max("initial").alias("initial"), F.count_if(F.col("side") == "added").alias("n_added"),
         F.count_if(F.col("side") == "removed").alias("n_removed"),
-        (total("added", curated) + F.least(total("added", ~curated), F.lit(UNCURATED_CAP))).alias("w_added"),
-        (total("removed", curated) + F.least(total("removed", ~curated), F.lit(UNCURATED_CAP))).alias("w_removed"),
-        F.collect_set(F.when(F.col("side") == "added", F.col("category"))).alias("c_added"),
-        F.collect_set(F.when(F.col("side") == "removed", F.col("category"))).alias("c_removed"), *lists)
+        (total("added", known.isNotNull()) + F.least(total("added", known.isNull()), F.lit(UNCURATED_CAP))).alias("w_added"),
+        (total("removed", known.isNotNull()) + F.least(total("removed", known.isNull()), F.lit(UNCURATED_CAP))).alias("w_removed"),
+        F.collect_set(F.when(F.col("side") == "added", known)).alias("c_added"),
+        F.collect_set(F.when(F.col("side") == "removed", known)).alias("c_removed"), *lists)
     rows = sums.filter(~F.col("initial") | (F.col("n_added") > 0))
 
     def shown(column, limit):
         first = column if limit is None else F.slice(column, 1, limit)
         return F.array_join(F.transform(first, lambda x: x["shown"]), ", ")
 
-    by_lead = F.array_sort(F.transform("added", lambda x: F.struct(x["lead"], x["notable"], x["package"], x["shown"], x["weight"])))
-    notable = F.filter(by_lead, lambda x: x["notable"])
-    stack = F.when(F.size(notable) > 0, notable).otherwise(F.slice(by_lead, 1, 5))
+    # for a first manifest the notable packages lead; without any, the first five stand in
+    notable = F.filter("added", lambda x: x["notable"])
+    stack = F.when(F.size(notable) > 0, notable).otherwise(F.slice("added", 1, 5))
     rows = rows.withColumn("stack", stack)
     stack6 = F.slice("stack", 1, 6)
     replace = (F.col("n_added") > 0) & (F.col("n_removed") > 0) & (
@@ -169,7 +167,7 @@ def dependency_decisions(changes: DataFrame) -> DataFrame:
     dropped = F.when(F.col("n_removed") > 0, F.concat(F.lit("; drop "), shown("removed", 3))).otherwise("")
     names = lambda c: F.transform(c, lambda x: x["package"])
     return rows.select(
-        *manifest,
+        *manifest, *([names(side).alias(side) for side in ("added", "removed")] if sides else []),
         F.when(F.col("initial"), "initial_stack").when(replace, "dependency_replace").otherwise("dependency_change").alias("kind"),
         F.when(F.col("initial"), F.concat(F.lit("Initial technology stack: "), F.array_join(F.transform(stack6, lambda x: x["shown"]), ", ")))
         .when(replace, F.concat(F.lit("Replace "), shown("removed", None), F.lit(" with "), shown("added", None)))
@@ -181,24 +179,30 @@ def dependency_decisions(changes: DataFrame) -> DataFrame:
         "n_added", "n_removed")
 
 
-def merge_same_commit(found: DataFrame, changes: DataFrame) -> DataFrame:
+def merge_same_commit(found: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """One row per (sha, kind) when a commit changes several manifests: significances add up, and the subject
-    is rebuilt from the united packages. Only names that can be shown are listed; the rest is counted."""
+    is rebuilt from the united packages. Only names that can be shown are listed; the rest is counted.
+
+    ``found`` is what ``dependency_decisions`` gives; without its sides they are taken from ``changes``. It is written once,
+    and its packages are dealt by group once and ranked where they are."""
+    if "added" not in found.columns:
+        sides = [F.collect_set(F.when(F.col("side") == s, F.col("package"))).alias(s) for s in ("added", "removed")]
+        found = found.join(changes.groupBy("sha", "manifest").agg(*sides), ["sha", "manifest"], "left")
+    found = stored(found.select("sha", "kind", "manifest", "subject", "significance", "added", "removed", "packages"))
     kept = found.groupBy("sha", "kind").agg(
         F.round(F.sum("significance"), 3).alias("significance"), F.count(F.lit(1)).alias("n_manifests"),
         F.min("subject").alias("_own"), F.array_join(F.sort_array(F.collect_set("manifest")), ", ").alias("manifest"))
-    several = kept.filter("n_manifests > 1").select("sha", "kind")
-    # (sha, kind, side, package) over all manifests of the group; 'packages' carries the named ones.
-    sides = changes.join(found.select("sha", "manifest", "kind"), ["sha", "manifest"]).select("sha", "kind", "side", "package")
-    listed = found.select("sha", "kind", F.lit("packages").alias("side"), F.explode("packages").alias("package"))
-    united = sides.unionByName(listed).join(several, ["sha", "kind"], "left_semi").distinct()
+    # (sha, kind, side, package) over all manifests of the group; 'packages' carries the named ones
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("names")) for s in ("added", "removed", "packages")])
+    each = dealt(found.select("sha", "kind", "added", "removed", "packages"), "sha", "kind").select("sha", "kind", F.explode(sides).alias("_s"))
+    united = each.select("sha", "kind", "_s.side", F.explode("_s.names").alias("package")).distinct()
     facts = united.withColumn("category", category(F.col("package"))).withColumn("low", F.col("package").rlike(LOW_SIGNAL))
-    rank = F.row_number().over(Window.partitionBy("sha", "kind", "side").orderBy(*_curated_first([])))
-    named = facts.withColumn("n", rank).filter(F.col("n") <= LISTED_PACKAGES).select(
-        "sha", "kind", "side", F.struct("n", "package", describe(F.col("package")).alias("shown")).alias("item"))
-    lists = named.groupBy("sha", "kind").agg(*[
-        F.sort_array(F.collect_list(F.when(F.col("side") == s, F.col("item")))).alias(s) for s in ("added", "removed", "packages")])
-    n_added = facts.groupBy("sha", "kind").agg(F.count_if(F.col("side") == "added").alias("_n_added"))
+    side = Window.partitionBy("sha", "kind", "side")
+    ranked = facts.withColumn("n", F.row_number().over(side.orderBy(*_curated_first([])))).withColumn("_all", F.count(F.lit(1)).over(side))
+    item = F.struct("n", "package", describe(F.col("package"), F.col("category")).alias("shown"))
+    lists = ranked.filter(F.col("n") <= LISTED_PACKAGES).groupBy("sha", "kind").agg(
+        F.max(F.when(F.col("side") == "added", F.col("_all"))).alias("_n_added"),
+        *[F.sort_array(F.collect_list(F.when(F.col("side") == s, item))).alias(s) for s in ("added", "removed", "packages")])
 
     def shown(column, limit):
         return F.array_join(F.transform(F.slice(column, 1, limit), lambda x: x["shown"]), ", ")
@@ -209,9 +213,9 @@ def merge_same_commit(found: DataFrame, changes: DataFrame) -> DataFrame:
         .when(F.col("kind") == "dependency_replace", F.concat(F.lit("Replace "), shown("removed", 3), F.lit(" with "), shown("added", 3)))
         .when(F.col("_n_added") > 0, F.concat(F.lit("Adopt "), shown("added", 4), more))
         .otherwise(F.concat(F.lit("Drop "), shown("removed", 4))))
-    return kept.join(lists, ["sha", "kind"], "left").join(n_added, ["sha", "kind"], "left").select(
+    return kept.join(lists, ["sha", "kind"], "left").select(
         "sha", "kind", F.when(F.col("n_manifests") > 1, subject).otherwise(F.col("_own")).alias("subject"), "significance",
-        "manifest", "n_manifests", F.transform("packages", lambda x: x["package"]).alias("packages"))
+        "manifest", "n_manifests", F.when(F.col("n_manifests") > 1, F.transform("packages", lambda x: x["package"])).alias("packages"))
 
 
 # --- other detectors ----------------------------------------------------------------------------------------
