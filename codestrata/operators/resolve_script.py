@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.paths import basename, dirname
 from codestrata.functions.text import strip_jsonc
-from codestrata.session import cut_lineage, stored
+from codestrata.session import stored
 
 # Extensions of each family, extends and re-export hops followed.
 TS_FAMILY, JS_FAMILY = (".ts", ".tsx"), (".js", ".jsx")
@@ -30,6 +30,11 @@ def _join(base: Column, rel: Column) -> Column:
     return normalize(F.when(base == "", rel).otherwise(F.concat(base, F.lit("/"), rel)))
 
 
+def _once(value: Column) -> Column:
+    """A value as a row of its own: a filter on it does not work it out again, nor earlier, on rows not yet made distinct."""
+    return F.explode_outer(F.array(value))
+
+
 # --- tsconfig / jsconfig --------------------------------------------------------------------------------------
 
 
@@ -40,7 +45,7 @@ def path_configs(files: DataFrame) -> DataFrame:
     schema = "extends string, compilerOptions struct<baseUrl string, paths map<string, array<string>>>"
     own = files.select("path", F.from_json(strip_jsonc(F.regexp_replace("content", "^﻿", "")), schema).alias("j"))
     parent = _join(dirname(F.col("path")), F.col("j.extends"))
-    facts = cut_lineage(own.select(
+    facts = stored(own.select(
         "path", F.when(F.col("j.extends").startswith("."), F.when(parent.endswith(".json"), parent).otherwise(F.concat(parent, F.lit(".json")))).alias("parent"),
         F.when(F.col("j.compilerOptions.baseUrl").isNotNull(), _join(dirname(F.col("path")), F.col("j.compilerOptions.baseUrl"))).alias("base_url"),
         F.col("j.compilerOptions.paths").alias("paths"), dirname(F.col("path")).alias("paths_dir")))
@@ -88,7 +93,8 @@ def _met(wanted: DataFrame, known: DataFrame, configs: DataFrame | None, by: tup
     key = [*by, "folder", "spec", "own_ts"]
     keyed = wanted.filter("spec <> ''").select(*by, "path", "spec", dirname(F.col("path")).alias("folder"), F.col("path").rlike(r"\.tsx?$").alias("own_ts"))
     specs = keyed.select(*key).distinct()
-    relative = specs.filter(F.col("spec").startswith(".")).select(*key, _join(F.col("folder"), F.col("spec")).alias("base"), F.lit(0).alias("rank"))
+    specs = stored(specs)  # read for relative and aliased ones
+    relative = specs.filter(F.col("spec").startswith(".")).select(*key, _once(_join(F.col("folder"), F.col("spec"))).alias("base"), F.lit(0).alias("rank"))
     bases = relative.filter("base IS NOT NULL")
     if configs is not None:
         bases = bases.unionByName(_alias_bases(specs.filter(~F.col("spec").startswith(".")), configs, key))
@@ -101,7 +107,7 @@ def _met(wanted: DataFrame, known: DataFrame, configs: DataFrame | None, by: tup
     core = lambda c: F.regexp_replace(F.concat(F.lit("/"), c), ENDING, "")
     asked = bases.select(*key, "rank", "base", core(F.col("base")).alias("_core"))
     met = asked.join(known.select(*by, F.col("path").alias("target"), core(F.col("path")).alias("_core")), [*by, "_core"])
-    return keyed, met.withColumn("ord", F.array_position(probes, F.col("target"))).filter("ord > 0"), key
+    return keyed, met.select(*met.columns, _once(F.array_position(probes, F.col("target"))).alias("ord")).filter("ord > 0"), key
 
 
 def _alias_bases(specs: DataFrame, configs: DataFrame, key: list[str]) -> DataFrame:
@@ -121,8 +127,8 @@ def _alias_bases(specs: DataFrame, configs: DataFrame, key: list[str]) -> DataFr
     weight = F.when(star, F.length(prefix)).otherwise(F.length("pattern") + 1)
     hit = each.filter(fits & (F.size(F.split("pattern", r"\*")) <= 2)).select(
         *key, (F.lit(100_000) - weight * 100).alias("rank"), middle.alias("middle"), "at", F.posexplode("targets").alias("n", "t"))
-    by_pattern = hit.select(*key, _join(F.col("at"), F.replace("t", F.lit("*"), "middle")).alias("base"), (F.col("rank") + F.col("n")).alias("rank"))
-    by_base = nearest.filter("c.base_url IS NOT NULL").select(*key, _join(F.col("c.base_url"), F.col("spec")).alias("base"), F.lit(1_000_000).alias("rank"))
+    by_pattern = hit.select(*key, _once(_join(F.col("at"), F.replace("t", F.lit("*"), "middle"))).alias("base"), (F.col("rank") + F.col("n")).alias("rank"))
+    by_base = nearest.filter("c.base_url IS NOT NULL").select(*key, _once(_join(F.col("c.base_url"), F.col("spec"))).alias("base"), F.lit(1_000_000).alias("rank"))
     return by_pattern.unionByName(by_base).filter("base IS NOT NULL")
 
 
@@ -136,9 +142,9 @@ def import_edges(facts: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def name_tables(facts: DataFrame, targets: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(bindings, stars). bindings: (path, name, outside) -> (kind, tpath, tname, next_outside), one row each:
-    functions, classes, imports, and (from outside only) re-exports; kind 'follow' continues at (tpath, tname).
-    stars: (path, ord, target) of ``export *``."""
+    """(bindings, stars). bindings: (path, name) -> (kind, tpath, tname, next_outside, inner), one row each:
+    functions, classes, imports, and re-exports, which only bind from outside (``inner`` is false); kind 'follow' continues at
+    (tpath, tname). stars: (path, ord, target) of ``export *``."""
     row = ["path", "name", "prio", "ord", "kind", "tpath", "tname", "next_outside"]
 
     def rows(df, name, prio, kind, tpath, tname, nxt):
@@ -158,11 +164,11 @@ def name_tables(facts: DataFrame, targets: DataFrame, known: DataFrame) -> tuple
     local = rows(imported, F.col("detail"), 3, whole, F.col("target"), symbol, True)
     again = located.filter("fact = 'reexport' AND target <> path")
     exported = rows(again.filter("name IS NOT NULL"), F.col("detail"), 4, whole, F.col("target"), symbol, True)
-    inner = defaults.unionByName(functions).unionByName(classes).unionByName(local)
-    best = lambda df: df.groupBy("path", "name").agg(F.min_by(F.struct(*row[4:]), F.struct("prio", "ord")).alias("b")).select("path", "name", "b.*")
-    bindings = best(inner).withColumn("outside", F.lit(False)).unionByName(best(inner.unionByName(exported)).withColumn("outside", F.lit(True)))
+    every = defaults.unionByName(functions).unionByName(classes).unionByName(local).unionByName(exported)
+    # re-exports come last, so the best row of a name is one of them only where nothing else binds it
+    best = every.groupBy("path", "name").agg(F.min_by(F.struct(*row[4:], (F.col("prio") < 4).alias("inner")), F.struct("prio", "ord")).alias("b"))
     stars = again.filter("name IS NULL").select("path", "ord", "target").distinct()
-    return cut_lineage(bindings), stars
+    return stored(best.select("path", "name", "b.*")), stored(stars)
 
 
 def follow(queries: DataFrame, bindings: DataFrame, stars: DataFrame) -> DataFrame:
@@ -170,37 +176,38 @@ def follow(queries: DataFrame, bindings: DataFrame, stars: DataFrame) -> DataFra
     looked for behind its ``export *`` lines, the first line that resolves wins (``way`` keeps their order)."""
     keys = ["path", "name", "outside"]
     open_ = queries.select(*keys).distinct().select(*keys, F.col("path").alias("p"), F.col("name").alias("n"), F.col("outside").alias("o"), F.array().cast("array<int>").alias("way"))
-    b = bindings.select(F.col("path").alias("p"), F.col("name").alias("n"), F.col("outside").alias("o"), "kind", "tpath", "tname", "next_outside")
+    b = bindings.select(F.col("path").alias("p"), F.col("name").alias("n"), "inner", "kind", "tpath", "tname", "next_outside")
     behind = stars.select(F.col("path").alias("p"), F.col("ord").alias("_s"), F.col("target").alias("_t"))
     done = None
     for hop in range(MAX_HOPS + 1):
-        met = open_.join(b, ["p", "n", "o"], "left")
+        # what a hop meets is written once, for the names that end there and for those that go on
+        bound = F.col("inner") | F.col("o")
+        met = stored(open_.join(b, ["p", "n"], "left").select(
+            *keys, "p", "n", "o", "way", F.when(bound, F.col("kind")).alias("kind"), "tpath", "tname", "next_outside").filter("kind IS NOT NULL OR o"))
         ended = met.filter("kind IS NOT NULL AND kind <> 'follow'").select(*keys, "way", "kind", "tpath", "tname")
         done = ended if done is None else done.unionByName(ended)
-        if hop == MAX_HOPS:
+        if hop == MAX_HOPS or met.filter("kind IS NULL OR kind = 'follow'").isEmpty():
             break
         onward = met.filter("kind = 'follow'").select(*keys, F.col("tpath").alias("p"), F.col("tname").alias("n"), F.col("next_outside").alias("o"), "way")
         starred = met.filter("kind IS NULL AND o").join(behind, "p").select(*keys, F.col("_t").alias("p"), "n", "o", F.concat("way", F.array(F.col("_s"))).alias("way"))
-        open_ = cut_lineage(onward.unionByName(starred))
-        if open_.isEmpty():
-            break
+        open_ = onward.unionByName(starred)
     return done.groupBy(*keys).agg(F.min_by(F.struct("kind", "tpath", "tname"), "way").alias("r")).select(*keys, "r.*")
 
 
 def call_edges(facts: DataFrame, bindings: DataFrame, stars: DataFrame) -> DataFrame:
     """Distinct resolved calls; local variables and unknown receivers resolve to nothing."""
-    calls = facts.filter("fact = 'call'").select("path", F.col("owner").alias("caller_class"), F.col("name").alias("caller_name"), F.col("detail").alias("call"), "obj", "target").distinct()
+    calls = stored(facts.filter("fact = 'call'").select("path", F.col("owner").alias("caller_class"), F.col("name").alias("caller_name"), F.col("detail").alias("call"), "obj", "target").distinct())
     methods = facts.filter("fact = 'function' AND owner IS NOT NULL").select("path", "owner", "name").distinct()
     fields = facts.filter("fact = 'field'").groupBy("path", F.col("owner").alias("caller_class"), F.col("name").alias("obj")).agg(F.max_by("detail", "ord").alias("first"))
     asked = calls.filter("call = 'plain'").withColumn("first", F.col("target")).unionByName(calls.filter("call = 'attr'").withColumn("first", F.col("obj"))).unionByName(
         calls.filter("call = 'field'").join(fields, ["path", "caller_class", "obj"]).select(*calls.columns, "first"))
     inside = lambda df, n: df.select("path", F.col(n).alias("name"), F.lit(False).alias("outside"))
-    seen = cut_lineage(follow(inside(asked, "first"), bindings, stars))
-    hit = asked.join(seen.select("path", F.col("name").alias("first"), "kind", "tpath", "tname"), ["path", "first"])
+    seen = follow(inside(asked, "first"), bindings, stars)
+    hit = stored(asked.join(seen.select("path", F.col("name").alias("first"), "kind", "tpath", "tname"), ["path", "first"]))
     # a called module means its default export; a member of a module is one of its exports
     second = hit.filter("kind = 'module' AND call IN ('plain', 'attr')").withColumn("second", F.when(F.col("call") == "plain", "default").otherwise(F.col("target")))
     outer = follow(second.select(F.col("tpath").alias("path"), F.col("second").alias("name"), F.lit(True).alias("outside")), bindings, stars)
-    member = second.drop("kind", "tname").join(outer.select(F.col("path").alias("tpath"), F.col("name").alias("second"), "kind", F.col("tpath").alias("_p"), "tname"), ["tpath", "second"], "left")
+    member = stored(second.drop("kind", "tname").join(outer.select(F.col("path").alias("tpath"), F.col("name").alias("second"), "kind", F.col("tpath").alias("_p"), "tname"), ["tpath", "second"], "left"))
     out = lambda df, m, c, n: df.select(F.col("path").alias("caller_module"), "caller_class", "caller_name", m.alias("callee_module"), c.alias("callee_class"), n.alias("callee_name"))
     null = F.lit(None).cast("string")
     own = calls.filter("call = 'this' AND caller_class IS NOT NULL").join(

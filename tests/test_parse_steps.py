@@ -39,3 +39,28 @@ def test_odd_endings_meet_the_same_files(spark):
 def test_imports_alone_look_at_no_calls(spark):
     files = spark.createDataFrame([("a.ts", "import { f } from './b';\nf();\n"), ("b.ts", "export function f() {}\n")], "path string, content string")
     assert [tuple(r) for r in resolve_script.resolve_imports(files).collect()] == [("a.ts", "b.ts")]
+
+
+def test_a_path_is_normalized_once_a_specifier(spark):
+    """A filter on what a specifier means works nothing out a second time, nor before specifiers are distinct."""
+    wanted = spark.createDataFrame([(f"a/f{i}.ts", "./b") for i in range(3)] + [("a/f.ts", "../../up")], "path string, spec string")
+    found = resolve_script.resolve_specifiers(wanted, spark.createDataFrame([("a/b.ts",)], "path string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_position(") == 1
+    assert {tuple(r) for r in found.collect()} == {(f"a/f{i}.ts", "./b", "a/b.ts") for i in range(3)}
+
+
+def test_a_hop_is_followed_once(spark, monkeypatch):
+    """Names go on from what a hop wrote: no binding is met again for the names that end."""
+    written, before = [], resolve_script.stored
+    monkeypatch.setattr(resolve_script, "stored", lambda df: written.append(df) or before(df))
+    sources = {"a.ts": "import { f, g } from './b';\nexport function run() { f(); g(); hidden(); }\n", "b.ts": "export { h as f } from './c';\nexport * from './c';\nfunction own() { return f(); }\n",
+               "c.ts": "export function h() {}\nexport function g() {}\n"}
+    files = spark.createDataFrame(list(sources.items()), "path string, content string")
+    calls = resolve_script.resolve(files)[2]
+    # a re-export binds from outside only, so b.ts itself calls nothing by it
+    assert sorted((r["caller_module"], r["caller_name"], r["callee_module"], r["callee_name"]) for r in calls.collect()) == [("a.ts", "run", "c.ts", "g"), ("a.ts", "run", "c.ts", "h")]
+    hops = [df for df in written if "next_outside" in df.columns and "way" in df.columns]
+    assert len(hops) >= 3
+    plan = calls._jdf.queryExecution().optimizedPlan().toString()
+    assert "next_outside" not in plan  # nothing of the hops is left to do
